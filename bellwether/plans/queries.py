@@ -418,7 +418,7 @@ def growth_score_100(spark, d):
 
 @query
 def market_label_of_growth(spark, d):
-    market_value = _growth(spark, d).select("market_sentiment").limit(1)
+    market_value = _growth(spark, d).agg(F.max("market_sentiment").alias("market_sentiment"))
     return settle(
         market_value.select(
             "market_sentiment", market_label(F.col("market_sentiment")).alias("label")

@@ -92,8 +92,7 @@ def parse_csv_lines(
     lines: DataFrame, column: str, columns: Sequence[str], separator: str = ","
 ) -> DataFrame:
     """Parse one CSV record per row; records with too many fields are skipped."""
-    schema = _text_schema([*columns, _OVERFLOW]).simpleString()
-    ddl = schema[len("struct<") : -1]
+    ddl = ", ".join(f"`{name}` string" for name in [*columns, _OVERFLOW])
     record = F.from_csv(
         F.col(column), F.lit(ddl), {"sep": separator, "nullValue": _NEVER}
     )
