@@ -13,11 +13,11 @@ SHOWN = 15
 SHORTEST = 4
 
 
-def keyword_tokens(text: Column) -> Column:
-    """Word tokens that are long enough and not stop words."""
+def keyword_rows(texts: DataFrame, column: str = "headline") -> DataFrame:
+    """One row per keyword occurrence: long enough and not a stop word."""
     stops = [w for w in STOP_WORDS if len(w) >= SHORTEST]
-    return F.filter(
-        word_tokens(text), lambda t: (F.length(t) >= SHORTEST) & ~t.isin(stops)
+    return texts.select(F.explode(word_tokens(F.col(column))).alias("keyword")).filter(
+        (F.length("keyword") >= SHORTEST) & ~F.col("keyword").isin(stops)
     )
 
 
@@ -29,7 +29,7 @@ def top_keywords(
     Counts are combined per map task, so a frequent word sends one row per task.
     """
     return (
-        texts.select(F.explode(keyword_tokens(F.col(column))).alias("keyword"))
+        keyword_rows(texts, column)
         .groupBy("keyword")
         .agg(F.count("*").alias("frequency"))
         .orderBy(F.desc("frequency"), "keyword")
@@ -37,21 +37,20 @@ def top_keywords(
     )
 
 
-def keyword_array(keywords: DataFrame) -> Column:
-    """The (at most TOP_KEYWORDS) keywords as an array, by a scalar subquery."""
-    return keywords.agg(F.collect_set("keyword")).scalar()
-
-
 def headline_and_source(mentions: DataFrame) -> Column:
     return F.concat_ws(" ", F.col("headline"), F.col("source"))
 
 
 def keyword_feed(mentions: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Every occurrence of a keyword in headline and source, one row each."""
-    wanted = keyword_array(keywords)
+    """Every occurrence of a keyword in headline and source, one row each.
+
+    keywords is a top list: its row limit bounds its size, so Spark broadcasts it
+    and tokens are filtered where they arise.
+    """
     tokens = word_tokens(headline_and_source(mentions))
-    kept = F.filter(tokens, lambda t: F.array_contains(F.col("_wanted"), t))
-    return mentions.withColumn("_wanted", wanted).select(F.explode(kept).alias("keyword"))
+    return mentions.select(F.explode(tokens).alias("keyword")).join(
+        keywords.select("keyword"), "keyword", "left_semi"
+    )
 
 
 def decayed_keywords(
@@ -67,12 +66,11 @@ def decayed_keywords(
     """
     weight = decay(F.col("timestamp"), as_of_column(mentions, as_of), rate)
     tokens = space_tokens(headline_and_source(mentions))
-    kept = F.filter(tokens, lambda t: F.array_contains(F.col("_wanted"), t))
     return (
-        mentions.withColumns({"_wanted": keyword_array(keywords), "_weight": weight})
-        .select(F.explode(kept).alias("keyword"), "_weight")
+        mentions.select(F.explode(tokens).alias("keyword"), weight.alias("weight"))
+        .join(keywords.select("keyword"), "keyword", "left_semi")
         .groupBy("keyword")
-        .agg(F.sum("_weight").alias("weight"))
+        .agg(F.sum("weight").alias("weight"))
         .orderBy(F.desc("weight"), "keyword")
         .limit(limit)
     )

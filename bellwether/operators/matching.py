@@ -87,9 +87,11 @@ def similar_pairs(
         .distinct()
     )
     near = F.expr("levenshtein(left, right, budget) >= 0")
+    # Sizes after exploding are not known when the join is planned: always shuffle
+    # (the adaptive skew join splits a piece many names share), never broadcast.
     return (
         cut.select(*_KEY, "left", "budget")
-        .join(listed, _KEY)
+        .join(listed.hint("merge"), _KEY)
         .filter(near)
         .select("left", "right")
         .distinct()

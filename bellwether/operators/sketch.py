@@ -32,10 +32,15 @@ def build_sketch(
     width: int = NARROW["width"],
     depth: int = NARROW["depth"],
 ) -> DataFrame:
-    """Sketch of a feed of keys; each task sends at most width * depth rows."""
+    """Sketch of a feed of keys, each adding `amount` (default 1).
+
+    Equal keys are added up first (per map task, then over all), so each distinct key
+    is hashed once and a frequent key costs no more than a rare one.
+    """
     amount = F.lit(1) if amount is None else amount
+    totals = feed.groupBy(key).agg(F.sum(amount).alias("n"))
     return (
-        feed.select(amount.alias("n"), F.inline(_cells(F.col(key), width, depth)))
+        totals.select("n", F.inline(_cells(F.col(key), width, depth)))
         .groupBy("depth", "bucket")
         .agg(F.sum("n").cast("bigint").alias("n"))
     )

@@ -298,11 +298,12 @@ def _ratio_pairs(left: str, right: str, a: str, b: str, bound: float) -> str:
     total = f"(length({a}) + length({b}))"
     return f"""
   SELECT * FROM (
-    SELECT {a}, {b}, 200.0::double * {_lcs(a, b)} / {total} AS ratio
-    FROM {left}, {right}
-    WHERE CASE WHEN length({a}) = length({b}) AND {slack}::double * {total} < 2 THEN {a} = {b}
-      ELSE abs(length({a}) - length({b})) <= {slack}::double * {total} + 1e-6
-        AND levenshtein({a}, {b}) <= {slack}::double * {total} + 1e-6 END)
+    WITH close AS MATERIALIZED (
+      SELECT {a}, {b} FROM {left}, {right}
+      WHERE CASE WHEN length({a}) = length({b}) AND {slack}::double * {total} < 2 THEN {a} = {b}
+        ELSE abs(length({a}) - length({b})) <= {slack}::double * {total} + 1e-6
+          AND levenshtein({a}, {b}) <= {slack}::double * {total} + 1e-6 END)
+    SELECT {a}, {b}, 200.0::double * {_lcs(a, b)} / {total} AS ratio FROM close)
   WHERE ratio > {bound}"""
 
 

@@ -146,7 +146,7 @@ def news_listing(spark, d):
     article = F.struct(
         F.when(F.col("lang") == "de", None)
         .when(F.col("lang") == "fr", F.lit(""))
-        .otherwise(F.split_part("text", F.lit("\n"), F.lit(1)))
+        .otherwise(F.substring_index("text", "\n", 1))
         .alias("title"),
         F.col("text").alias("snippet"),
         F.when(F.col("lang") != "es", F.col("source")).alias("source"),
@@ -331,8 +331,7 @@ def cms_keywords(spark, d):
 @query
 def cms_wide(spark, d):
     docs = bindings.table(spark, d, "documents")
-    feed = docs.select(F.explode(keywords.keyword_tokens(F.col("text"))).alias("keyword"))
-    built = sketch.build_sketch(feed, **sketch.WIDE)
+    built = sketch.build_sketch(keywords.keyword_rows(docs, "text"), **sketch.WIDE)
     wanted = keywords.top_keywords(docs, "text")
     return sketch.estimate(built, wanted, **sketch.WIDE)
 

@@ -31,7 +31,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _headline(text: Column) -> Column:
-    return F.split_part(text, F.lit("\n"), F.lit(1))
+    return F.substring_index(text, "\n", 1)
 
 
 def raw_event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
