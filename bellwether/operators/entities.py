@@ -120,26 +120,20 @@ def resolve_aliases(aliases: DataFrame, company_dim: DataFrame) -> DataFrame:
     guesses = aliases.select(
         "common", "official", clean_company_name(F.col("official")).alias("guess")
     )
-    known = guesses.join(names, F.col("official") == F.col("same"), "left").join(
-        listed.select(F.col("clean").alias("guess"), "company"), "guess", "left"
-    )
-    known = known.select("common", "guess", F.coalesce("same", "company").alias("company"))
-    open_guesses = (
-        known.filter(F.col("company").isNull() & (F.col("guess") != ""))
-        .select("guess")
-        .distinct()
-    )
+    forms = guesses.select("guess").filter(F.col("guess") != "").distinct()
     scored = (
-        _name_scores(open_guesses, listed, "guess", "clean", ALIAS_SCORE)
-        .union(_reordered_scores(open_guesses, listed))
-        .union(_substring_scores(open_guesses, listed))
+        _name_scores(forms, listed, "guess", "clean", ALIAS_SCORE)
+        .union(_reordered_scores(forms, listed))
+        .union(_substring_scores(forms, listed))
     )
+    # An equal cleaned form scores 100, so the best match is that one if there is one.
     found = best_match(scored, "guess", "clean", F.col("score")).join(
         listed.select("clean", F.col("company").alias("near")), "clean"
     )
     return (
-        known.join(found.select("guess", "near"), "guess", "left")
-        .select("common", F.coalesce("company", "near").alias("company"))
+        guesses.join(names, F.col("official") == F.col("same"), "left")
+        .join(found.select("guess", "near"), "guess", "left")
+        .select("common", F.coalesce("same", "near").alias("company"))
         .filter(F.col("company").isNotNull())
     )
 
@@ -218,24 +212,20 @@ def resolve_names(
     alias_tickers = aliases.join(
         company_dim.groupBy("company").agg(F.min("ticker").alias("ticker")), "company"
     ).select(F.col("common").alias("cleaned"), F.col("ticker").alias("by_alias"))
-    direct = (
-        wanted.join(tickers.withColumn("by_ticker", F.col("upper")), "upper", "left")
-        .join(alias_tickers, "cleaned", "left")
-        .select(name, "cleaned", F.coalesce("by_ticker", "by_alias").alias("direct"))
-    )
     listed = _listed(company_dim)
-    still_open = (
-        direct.filter(F.col("direct").isNull() & (F.col("cleaned") != ""))
-        .select("cleaned")
-        .distinct()
-    )
-    scored = _name_scores(still_open, listed, "cleaned", "clean", RESOLVE_SCORE)
+    cleaned = wanted.select("cleaned").filter(F.col("cleaned") != "").distinct()
+    scored = _name_scores(cleaned, listed, "cleaned", "clean", RESOLVE_SCORE)
     shown = "ticker" if as_ticker else "company"
     found = best_match(scored, "cleaned", "clean", F.col("score")).join(
         listed.select("clean", F.col(shown).alias("near")), "clean"
     )
-    return direct.join(found.select("cleaned", "near"), "cleaned", "left").select(
-        name, F.coalesce("direct", "near", F.lit("")).alias("company")
+    return (
+        wanted.join(tickers.withColumn("by_ticker", F.col("upper")), "upper", "left")
+        .join(alias_tickers, "cleaned", "left")
+        .join(found.select("cleaned", "near"), "cleaned", "left")
+        .select(
+            name, F.coalesce("by_ticker", "by_alias", "near", F.lit("")).alias("company")
+        )
     )
 
 
@@ -398,3 +388,24 @@ def extract_company(
         .groupBy(key)
         .agg(F.min_by("ticker", first).alias("company"))
     )
+
+
+def attach_companies(mentions: DataFrame, names: DataFrame) -> DataFrame:
+    """Mentions with the company found in their headline, NULL when none is.
+
+    Each distinct headline is searched once, so copies of one headline cost one
+    search; the result joins back by the headline's digest.
+    """
+    digest = F.md5("headline")
+    headlines = (
+        mentions.filter(F.col("headline").isNotNull())
+        .groupBy(digest.alias("digest"))
+        .agg(F.first("headline").alias("headline"))
+    )
+    found = extract_company(headlines, names, key="digest")
+    columns = [c for c in mentions.columns if c != "company"]
+    return (
+        mentions.select(*columns, digest.alias("digest"))
+        .join(found, "digest", "left")
+        .drop("digest")
+    )
