@@ -73,7 +73,7 @@ def similar_pairs(
         slack,
     )
     shifts = F.expr(
-        "sequence((left_length - right_length - budget) div 2, "
+        "sequence((right_length - left_length - budget) div 2, "
         "(right_length - left_length + budget) div 2)"
     )
     listed = (

@@ -38,7 +38,8 @@ FALLBACK_COMPANIES = [
     ("Tesla Inc.", "TSLA"),
 ]
 
-ENCODINGS = ("UTF-8", "ISO-8859-1", "windows-1252")
+# Latin-1 decodes any bytes, so no encoding after it would ever be tried.
+ENCODINGS = ("UTF-8", "ISO-8859-1")
 SEPARATORS = (",", ";", "\t")
 
 _OVERFLOW = "_overflow"
