@@ -70,7 +70,12 @@ def join_headline_text(headline: Column, text: Column) -> Column:
     return F.concat_ws(" ", headline, text)
 
 
-def whole_word(name: Column) -> Column:
-    """Regular expression that finds a lower-cased name between word edges."""
-    quoted = F.replace(F.lower(name), F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
+def word_bounded(literal: Column) -> Column:
+    """Regular expression that finds a literal between word edges."""
+    quoted = F.replace(literal, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
     return F.concat(F.lit("(?U)\\b\\Q"), quoted, F.lit("\\E\\b"))
+
+
+def whole_word(name: Column) -> Column:
+    """The same for a lower-cased name."""
+    return word_bounded(F.lower(name))

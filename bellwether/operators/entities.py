@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from bellwether.functions.text import (
     QUESTION_FILLERS,
     clean_company_name,
+    word_bounded,
     whole_word,
     word_tokens,
 )
@@ -36,6 +37,9 @@ FUZZY_LIST_SCORE = 80.5  # above 80
 ALIAS_SCORE = 89.5  # at least 90
 RESOLVE_SCORE = 94.5  # at least 95
 
+# Names that a search within each row carries at most.
+SHORT_LIST = 500
+
 # Weights of the combined name score, see _name_scores.
 CONTAINED_SCORE = 95.0
 SUBSTRING_SCORE = 90.0
@@ -361,51 +365,108 @@ def name_list(company_dim: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
+def _is_short(names: DataFrame) -> bool:
+    """Whether a name list is small enough to be carried by every row's search."""
+    return names.limit(SHORT_LIST + 1).count() <= SHORT_LIST
+
+
+def _position(text: Column, spelling: Column, as_written: Column) -> Column:
+    """Where a name first stands in a text as a whole word, 0 when it does not."""
+    searched = F.when(as_written, text).otherwise(F.lower(text))
+    looked = F.when(as_written, spelling).otherwise(F.lower(spelling))
+    return F.regexp_instr(searched, word_bounded(looked))
+
+
+def _place(text: Column, spelling: Column, as_written: Column, ticker: Column) -> Column:
+    """Sort key of a name in a text: earliest first, longer first at one place."""
+    return F.struct(
+        _position(text, spelling, as_written).alias("position"),
+        (-F.length(spelling)).alias("size"),
+        ticker.alias("ticker"),
+    )
+
+
+def _company_in(headlines: DataFrame, names: DataFrame, headline: str) -> DataFrame:
+    """Headlines with a company column, searched row by row without a shuffle.
+
+    Only for a short list: it reaches the rows as one scalar array.
+    """
+    listed = (
+        _name_keys(names, "spelling")
+        .agg(F.collect_list(F.struct("word", "spelling", "as_written", "ticker")))
+        .scalar()
+    )
+    text = F.col(headline)
+    near = F.filter("_names", lambda n: F.array_contains(F.col("_words"), n["word"]))
+    placed = F.transform(
+        near, lambda n: _place(text, n["spelling"], n["as_written"], n["ticker"])
+    )
+    found = F.array_min(F.filter(placed, lambda p: p["position"] > 0))
+    return (
+        headlines.withColumns(
+            {"_names": listed, "_words": F.array_distinct(word_tokens(text))}
+        )
+        .withColumn("company", found["ticker"])
+        .drop("_names", "_words")
+    )
+
+
 def extract_company(
-    headlines: DataFrame, names: DataFrame, key: str, headline: str = "headline"
+    headlines: DataFrame,
+    names: DataFrame,
+    key: str,
+    headline: str = "headline",
+    short: bool | None = None,
 ) -> DataFrame:
     """Company of the earliest known name in a headline, as (key, company).
 
     Longer names win at the same place. Headlines without a known name are left out.
-    Only words that begin some name's key travel: the join on words carries keys,
-    and the headline text joins back for headlines with a candidate.
+    A short name list is searched within each row. For a long one, words and names
+    meet by a join that carries keys only, and the headline joins back where there
+    is a candidate. short=None counts the names to choose.
     """
-    keyed = _name_keys(names, "spelling")
+    if _is_short(names) if short is None else short:
+        return (
+            _company_in(headlines.select(key, headline), names, headline)
+            .filter(F.col("company").isNotNull())
+            .select(key, "company")
+        )
     words = headlines.select(
         key, F.explode(F.array_distinct(word_tokens(F.col(headline)))).alias("word")
     )
-    hits = words.join(keyed, "word").select(key, "spelling", "as_written", "ticker")
-    searched = F.when(F.col("as_written"), F.col(headline)).otherwise(F.lower(headline))
-    looked = F.when(F.col("as_written"), F.col("spelling")).otherwise(F.lower("spelling"))
-    quoted = F.replace(looked, F.lit("\\E"), F.lit("\\E\\\\E\\Q"))
-    pattern = F.concat(F.lit("(?U)\\b\\Q"), quoted, F.lit("\\E\\b"))
-    found = hits.join(headlines.select(key, headline), key).withColumn(
-        "position", F.regexp_instr(searched, pattern)
+    hits = words.join(_name_keys(names, "spelling"), "word").drop("word")
+    placed = hits.join(headlines.select(key, headline), key).select(
+        key,
+        _place(
+            F.col(headline), F.col("spelling"), F.col("as_written"), F.col("ticker")
+        ).alias("place"),
     )
-    first = F.struct(F.col("position"), -F.length("spelling"), F.col("ticker"))
     return (
-        found.filter("position > 0")
+        placed.filter(F.col("place.position") > 0)
         .groupBy(key)
-        .agg(F.min_by("ticker", first).alias("company"))
+        .agg(F.min("place")["ticker"].alias("company"))
     )
 
 
-def attach_companies(mentions: DataFrame, names: DataFrame) -> DataFrame:
+def attach_companies(
+    mentions: DataFrame, names: DataFrame, short: bool | None = None
+) -> DataFrame:
     """Mentions with the company found in their headline, NULL when none is.
 
-    Each distinct headline is searched once, so copies of one headline cost one
-    search; the result joins back by the headline's digest.
+    With a short name list no row moves. With a long one each distinct headline is
+    searched once and the result joins back by the headline's digest, so copies of
+    one headline cost one search.
     """
+    bare = mentions.drop("company")
+    if _is_short(names) if short is None else short:
+        return _company_in(bare, names, "headline")
     digest = F.md5("headline")
     headlines = (
         mentions.filter(F.col("headline").isNotNull())
         .groupBy(digest.alias("digest"))
         .agg(F.first("headline").alias("headline"))
     )
-    found = extract_company(headlines, names, key="digest")
-    columns = [c for c in mentions.columns if c != "company"]
+    found = extract_company(headlines, names, key="digest", short=False)
     return (
-        mentions.select(*columns, digest.alias("digest"))
-        .join(found, "digest", "left")
-        .drop("digest")
+        bare.withColumn("digest", digest).join(found, "digest", "left").drop("digest")
     )

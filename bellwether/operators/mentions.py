@@ -34,14 +34,18 @@ def _newest_first(df: DataFrame) -> DataFrame:
     return df.orderBy(F.col("timestamp").desc_nulls_last())
 
 
-def merge_sources(news: DataFrame, posts: DataFrame) -> DataFrame:
-    """Bag union of news and posts in the mention schema, newest first."""
+def merge_sources(news: DataFrame, posts: DataFrame, ordered: bool = True) -> DataFrame:
+    """Bag union of news and posts in the mention schema.
+
+    Newest first; without the order the merge needs no shuffle.
+    """
     merged = _as_mentions(
         news, NEWS_NAMES, "news", MENTION_COLUMNS, to_timestamp
     ).unionByName(
         _as_mentions(posts, POST_NAMES, "reddit", MENTION_COLUMNS, epoch_to_timestamp)
     )
-    return _newest_first(_complete(merged))
+    merged = _complete(merged)
+    return _newest_first(merged) if ordered else merged
 
 
 def merge_available(news: DataFrame, posts: DataFrame) -> DataFrame:

@@ -11,83 +11,93 @@ QUARTILES = (0.25, 0.5, 0.75)
 CELLS = 4096
 
 
+def _cells(values: DataFrame, extent: Column) -> DataFrame:
+    """Give each value its equal-width cell within extent (a struct low, high)."""
+    low, high = extent["low"], extent["high"]
+    share = (F.col("v") - low) / (high - low)
+    cell = F.when(high > low, F.least(F.floor(share * CELLS), F.lit(CELLS - 1)))
+    return values.withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int"))
+
+
+def _narrow(placed: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+    """Move each target rank to the cell that holds it.
+
+    A running sum over the cells of a group (at most CELLS rows) gives the ranks a
+    cell holds. targets has (group, t) with t.rank counted within the group.
+    """
+    histogram = placed.groupBy(*group, "cell").agg(F.sum("n").alias("in_cell"))
+    order = Window.partitionBy(*group).orderBy("cell")
+    before = (F.sum("in_cell").over(order) - F.col("in_cell")).alias("before")
+    held = histogram.select(*group, "cell", "in_cell", before)
+    # Two ranks per share: a handful of rows.
+    return (
+        held.join(F.broadcast(targets), group)
+        .withColumn("rank", F.col("t.rank") - F.col("before"))
+        .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("in_cell")))
+        .select(*group, "cell", F.col("t").withField("rank", F.col("rank")).alias("t"))
+    )
+
+
 def exact_quantiles(
-    df: DataFrame, column: str, shares: Sequence[float] = QUARTILES, cells: int = CELLS
+    df: DataFrame, column: str, shares: Sequence[float] = QUARTILES
 ) -> DataFrame:
     """Exact linearly interpolated quantiles, as (share, value) rows.
 
-    Equal values are counted together first. A histogram of `cells` equal-width
-    cells (so a bounded running sum) tells which cells hold the wanted ranks; only
-    the values of those cells are put in order. No task sees the whole column.
+    Equal values are counted together first. Two histograms, the second within the
+    cells of the first that hold a wanted rank and over the values really there,
+    leave a sliver of the values to put in order, also when most lie close together.
+    No task sees the whole column.
     """
     values = (
-        df.select(F.col(column).cast("double").alias("v"))
+        df.select(F.lit(0).alias("all"), F.col(column).cast("double").alias("v"))
         .filter(F.col("v").isNotNull())
-        .groupBy("v")
+        .groupBy("all", "v")
         .agg(F.count("*").alias("n"))
     )
-    range_of = values.agg(
-        F.struct(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("rows"))
+    whole = values.agg(
+        F.struct(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"))
     ).scalar()
-    placed = values.withColumn("r", range_of).withColumn(
-        "cell",
-        F.when(F.col("r.high") == F.col("r.low"), F.lit(0)).otherwise(
-            F.least(
-                F.floor(
-                    (F.col("v") - F.col("r.low"))
-                    / (F.col("r.high") - F.col("r.low"))
-                    * cells
-                ),
-                F.lit(cells - 1),
+    spark = df.sparkSession
+    # Ranks are 0-based; interpolation needs the two around (n - 1) * share.
+    place = (F.col("w.n") - 1) * F.col("share")
+    ranks = F.array(
+        *[
+            F.struct(
+                F.col("share"),
+                F.least(F.floor(place) + up, F.col("w.n") - 1).alias("rank"),
+                (place - F.floor(place)).alias("fraction"),
+                F.lit(up).alias("up"),
             )
-        ),
-    )
-    histogram = placed.groupBy("cell").agg(
-        F.sum("n").alias("in_cell"), F.first("r.rows").alias("rows")
-    )
-    before = F.sum("in_cell").over(Window.orderBy("cell")) - F.col("in_cell")
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    # Ranks are 0-based; an interpolated quantile needs the two around (rows - 1) * share.
-    ranks = F.flatten(
-        F.transform(
-            wanted,
-            lambda s: F.transform(
-                F.array(F.lit(0), F.lit(1)),
-                lambda up: F.struct(
-                    s.alias("share"),
-                    F.least(
-                        F.floor((F.col("rows") - 1) * s) + up, F.col("rows") - 1
-                    ).alias("rank"),
-                    ((F.col("rows") - 1) * s - F.floor((F.col("rows") - 1) * s)).alias(
-                        "fraction"
-                    ),
-                    up.alias("up"),
-                ),
-            ),
-        )
+            for up in (0, 1)
+        ]
     )
     targets = (
-        histogram.withColumn("before", before)
-        .withColumn("t", F.explode(ranks))
-        .filter(
-            (F.col("t.rank") >= F.col("before"))
-            & (F.col("t.rank") < F.col("before") + F.col("in_cell"))
-        )
-        .select("cell", "before", "t.*")
+        spark.range(1)
+        .select(F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
+        .withColumn("w", whole)
+        .select(F.lit(0).alias("all"), F.explode(ranks).alias("t"))
+    )
+    coarse = _cells(values.withColumn("w", whole), F.col("w")).drop("w")
+    in_coarse = _narrow(coarse, targets, ["all"]).withColumnRenamed("cell", "outer")
+    kept = coarse.withColumnRenamed("cell", "outer").join(
+        F.broadcast(in_coarse.select("outer").distinct()), "outer", "left_semi"
     )
-    ordered = Window.partitionBy("cell").orderBy("v")
-    running = (
-        placed.join(targets.select("cell").distinct(), "cell", "left_semi")
-        .select("cell", "v", "n", F.sum("n").over(ordered).alias("upto"))
+    extents = kept.groupBy("outer").agg(
+        F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("extent")
     )
-    hits = running.join(targets, "cell").filter(
-        (F.col("rank") >= F.col("before") + F.col("upto") - F.col("n"))
-        & (F.col("rank") < F.col("before") + F.col("upto"))
+    fine = _cells(kept.join(F.broadcast(extents), "outer"), F.col("extent"))
+    in_fine = _narrow(fine, in_coarse.select("outer", "t"), ["outer"])
+    order = Window.partitionBy("outer", "cell").orderBy("v")
+    running = fine.join(
+        F.broadcast(in_fine.select("outer", "cell").distinct()), ["outer", "cell"], "left_semi"
+    ).select("outer", "cell", "v", "n", F.sum("n").over(order).alias("upto"))
+    hits = running.join(F.broadcast(in_fine), ["outer", "cell"]).filter(
+        (F.col("t.rank") >= F.col("upto") - F.col("n")) & (F.col("t.rank") < F.col("upto"))
     )
-    low = F.max(F.when(F.col("up") == 0, F.col("v")))
-    high = F.max(F.when(F.col("up") == 1, F.col("v")))
-    return hits.groupBy("share").agg(
-        (low + (high - low) * F.max("fraction")).alias("value")
+    low = F.max(F.when(F.col("t.up") == 0, F.col("v")))
+    high = F.max(F.when(F.col("t.up") == 1, F.col("v")))
+    return hits.groupBy(F.col("t.share").alias("share")).agg(
+        (low + (high - low) * F.max("t.fraction")).alias("value")
     )
 
 

@@ -29,7 +29,9 @@ def scored_mentions(
 ) -> DataFrame:
     """News payloads and posts merged, with company, sentiment and weights."""
     merged = mentions.merge_sources(
-        landed.news_rows(news), posts.withColumn("company", F.lit(None).cast("string"))
+        landed.news_rows(news),
+        posts.withColumn("company", F.lit(None).cast("string")),
+        ordered=False,
     )
     names = entities.name_list(company_dim, aliases)
     named = entities.attach_companies(merged, names)

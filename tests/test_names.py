@@ -296,13 +296,12 @@ def test_extract_company_takes_the_earliest_name(spark, dim, aliases, rows):
         ],
         "id int, headline string",
     )
-    assert rows(entities.extract_company(headlines, names, "id")) == [
-        (1, "TSLA"),
-        (2, "AMD"),
-        (3, "ADP"),
-        (6, "META"),
-    ]
+    wanted = [(1, "TSLA"), (2, "AMD"), (3, "ADP"), (6, "META")]
     copies = headlines.union(headlines).withColumn("company", F.lit("old"))
-    attached = entities.attach_companies(copies, names)
-    assert attached.count() == 12
-    assert attached.filter("company is null").count() == 4
+    for short in (None, True, False):
+        assert rows(entities.extract_company(headlines, names, "id", short=short)) == wanted
+        attached = entities.attach_companies(copies, names, short)
+        assert sorted(attached.columns) == ["company", "headline", "id"]
+        found = attached.filter("company is not null").select("id", "company")
+        assert rows(found) == sorted(wanted * 2)
+        assert attached.count() == 12

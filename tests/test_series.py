@@ -199,6 +199,8 @@ def test_split_is_repeatable_and_leaves_the_last_day_out(spark, bars):
         [random.Random(2).gauss(0, 1) for _ in range(1001)],
         [round(random.Random(i).random(), 2) for i in range(400)] + [1e6],
         [-1.0, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0],
+        [random.Random(7).random() for _ in range(3000)] + [1e12, -1e12],
+        [10.0 ** random.Random(i).uniform(-30, 30) for i in range(500)],
     ],
 )
 def test_summary_is_exact(spark, values):
