@@ -198,7 +198,8 @@ def lexicon_score(text: Column, lexicon: dict[str, float]) -> Column:
         word_tokens(text), lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(0.0))
     )
     total = F.aggregate(known, F.lit(0.0), lambda total, w: total + w)
-    return F.coalesce(total, F.lit(0.0))
+    # Weights are short decimals: rounding makes weights that cancel exactly 0.
+    return F.round(F.coalesce(total, F.lit(0.0)), 9)
 
 
 def lexicon_scorer(lexicon: dict[str, float]) -> Callable[[Column], Column]:

@@ -293,3 +293,10 @@ def test_series_arrays_are_parallel_and_sorted(spark):
     assert [r.name for r in got] == ["A"]
     assert [str(x) for x in got[0].dates] == ["2025-07-27", "2025-07-29"]
     assert got[0].sentiment_scores == [0.5, 0.5]
+
+
+def test_weights_that_cancel_are_neutral(spark):
+    weights = {"a": 0.1, "b": 0.2, "c": -0.3}
+    df = spark.createDataFrame([("a b c", "")], "headline string, text string")
+    row = sentiment.classify(df, sentiment.lexicon_scorer(weights)).first()
+    assert (row.sentiment, row.confidence) == ("neutral", 0.0)
