@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -221,6 +222,25 @@ def lexicon_scorer(lexicon: dict[str, float]) -> Callable[[Column], Column]:
     return scorer
 
 
+def model_scorer(
+    load: Callable[[], Callable[[list[str]], list[tuple[str, float]]]],
+) -> Callable[[Column], Column]:
+    """Scorer by a model of (label, confidence) for a batch of texts.
+
+    `load` runs once per Python worker task, then batches stream through Arrow.
+    """
+
+    @F.pandas_udf("sentiment string, confidence double")
+    def scorer(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for texts in batches:
+            yield pd.DataFrame(
+                model(texts.fillna("").tolist()), columns=["sentiment", "confidence"]
+            )
+
+    return scorer
+
+
 def classify(mentions: DataFrame, scorer: Callable[[Column], Column]) -> DataFrame:
     """Add sentiment and confidence of headline and text.
 

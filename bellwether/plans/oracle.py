@@ -579,12 +579,6 @@ SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.5
 scored AS (SELECT doc_id, round({_lexicon("headline || ' ' || body")}, 9) AS s FROM news)
 SELECT doc_id, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END
   AS sentiment, round(abs(s) / (1 + abs(s)), 9) AS confidence FROM scored""",
-    "company_series": _with(EVENTS) + """
-SELECT company AS name, (row_number() OVER (PARTITION BY company ORDER BY day) - 1)::integer AS position,
-  day AS date, score
-FROM (SELECT company, "timestamp"::date AS day, round(avg(sentiment_score), 6) AS score
-  FROM weighted WHERE "timestamp" IS NOT NULL AND company IN ('C1', 'C3', 'C5', 'C7', 'none')
-  GROUP BY ALL)""",
     "market_series": _with(EVENTS) + """
 SELECT "timestamp"::date AS date, round(avg(sentiment_score), 9) AS sentiment_score
 FROM weighted WHERE "timestamp" IS NOT NULL GROUP BY 1""",
@@ -596,8 +590,8 @@ SELECT count(sentiment_score) AS "count", round(avg(sentiment_score), 9) AS mean
   round(quantile_cont(sentiment_score, 0.75), 9) AS q75, round(max(sentiment_score), 9) AS max
 FROM weighted""",
     "label_value_counts": _with(EVENTS) + """
-SELECT headline, count(*) AS "count" FROM ev WHERE headline IS NOT NULL
-GROUP BY headline ORDER BY "count" DESC, headline LIMIT 10""",
+SELECT sentiment, count(*) AS "count" FROM ev GROUP BY sentiment
+ORDER BY "count" DESC, sentiment LIMIT 10""",
     "top_keywords": _with(TEXTS, _top_words("tm", "headline")) + "SELECT * FROM top_words",
     "cms_keywords": _with(
         TEXTS,
@@ -668,7 +662,7 @@ SELECT company, round(50 + 50 * avg(sentiment_score * exp(-1e-5::double * age_s)
   count(*) AS sentiment_count,
   strftime(make_timestamp(max(now_us)), '%Y-%m-%d %H:%M:%S') || ' UTC' AS last_updated
 FROM weighted WHERE company IS NOT NULL GROUP BY company""",
-    "market_label_of_growth": _with(GROWTH) + """
+    "market_label": _with(GROWTH) + """
 SELECT round(max(market_sentiment), 9) AS market_sentiment,
   CASE WHEN max(market_sentiment) > 0.1 THEN 'Positive'
        WHEN max(market_sentiment) < -0.1 THEN 'Negative' ELSE 'Neutral' END AS label
@@ -767,6 +761,17 @@ UNION ALL
 SELECT 'C' || c_custkey, NULL, NULL FROM customer""",
 }
 
+for _name, _chosen in (
+    ("company_series", ""),
+    ("company_series_chosen", "AND company IN ('C1', 'C3', 'C5', 'C7', 'none')"),
+):
+    ORACLE[_name] = _with(EVENTS) + f"""
+SELECT company AS name,
+  (row_number() OVER (PARTITION BY company ORDER BY day) - 1)::integer AS position,
+  day AS date, score
+FROM (SELECT company, "timestamp"::date AS day, round(avg(sentiment_score), 9) AS score
+  FROM weighted WHERE "timestamp" IS NOT NULL AND company IS NOT NULL {_chosen} GROUP BY ALL)"""
+
 for _name, _days in (("market_indicators", None), ("market_indicators_30_days", 30)):
     ORACLE[_name] = _with(_market(_days)) + """
 SELECT round(arg_max(vix_close, trade_date), 4) AS vix_current, round(avg(vix_close), 4) AS vix_avg,

@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from bellwether.functions import labels
 from bellwether.functions.decay import HOURS_RATE, SECONDS_RATE, decay, reference_time
-from bellwether.functions.labels import graded_label_score, market_label
 from bellwether.functions.text import clean_company_name
 from bellwether.functions.values import to_number, to_timestamp
 from bellwether.operators import (
@@ -263,7 +263,7 @@ def label_map7(spark, d):
         .when(kind == "view", F.lit("mixed"))
     )
     return bindings.table(spark, d, "events").select(
-        "event_id", graded_label_score(label).alias("sentiment_score")
+        "event_id", labels.graded_label_score(label).alias("sentiment_score")
     )
 
 
@@ -287,14 +287,23 @@ def sentiment_lexicon(spark, d):
     return settle(scored.select("doc_id", "sentiment", "confidence"))
 
 
+def _series_points(series: DataFrame) -> DataFrame:
+    points = F.posexplode(F.arrays_zip("dates", "sentiment_scores")).alias("position", "p")
+    return series.select("name", points).select(
+        "name", "position", F.col("p.dates").alias("date"), F.col("p.sentiment_scores").alias("score")
+    )
+
+
 @query
 def company_series(spark, d):
     daily = sentiment.daily_sentiment(_weighted(spark, d))
-    series = sentiment.company_series(settle(daily, 6), "C1, C3 ,C5,C7, none")
-    points = F.arrays_zip("dates", "sentiment_scores")
-    return series.select("name", F.posexplode(points).alias("position", "p")).select(
-        "name", "position", F.col("p.dates").alias("date"), F.col("p.sentiment_scores").alias("score")
-    )
+    return _series_points(sentiment.company_series(settle(daily)))
+
+
+@query
+def company_series_chosen(spark, d):
+    daily = sentiment.daily_sentiment(_weighted(spark, d))
+    return _series_points(sentiment.company_series(settle(daily), "C1, C3 ,C5,C7, none"))
 
 
 @query
@@ -309,7 +318,7 @@ def score_summary(spark, d):
 
 @query
 def label_value_counts(spark, d):
-    return stats.value_counts(bindings.event_mentions(spark, d), "headline")
+    return stats.value_counts(bindings.event_mentions(spark, d), "sentiment")
 
 
 # Keywords and themes
@@ -416,11 +425,11 @@ def growth_score_100(spark, d):
 
 
 @query
-def market_label_of_growth(spark, d):
+def market_label(spark, d):
     market_value = _growth(spark, d).agg(F.max("market_sentiment").alias("market_sentiment"))
     return settle(
         market_value.select(
-            "market_sentiment", market_label(F.col("market_sentiment")).alias("label")
+            "market_sentiment", labels.market_label(F.col("market_sentiment")).alias("label")
         )
     )
 
@@ -428,7 +437,7 @@ def market_label_of_growth(spark, d):
 @query
 def mention_labels(spark, d):
     return _weighted(spark, d).select(
-        "event_id", market_label(F.col("sentiment_score")).alias("label")
+        "event_id", labels.market_label(F.col("sentiment_score")).alias("label")
     )
 
 

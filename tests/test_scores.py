@@ -300,3 +300,41 @@ def test_weights_that_cancel_are_neutral(spark):
     df = spark.createDataFrame([("a b c", "")], "headline string, text string")
     row = sentiment.classify(df, sentiment.lexicon_scorer(weights)).first()
     assert (row.sentiment, row.confidence) == ("neutral", 0.0)
+
+
+def test_model_scorer(spark):
+    def load():
+        return lambda texts: [("positive" if "up" in t else "negative", len(t) / 10) for t in texts]
+
+    df = spark.createDataFrame(
+        [(1, "up", "x"), (2, "low", None), (3, None, None)], "id int, headline string, text string"
+    )
+    scored = sentiment.classify(df, sentiment.model_scorer(load))
+    got = {r.id: (r.sentiment, r.confidence) for r in scored.collect()}
+    assert got == {1: ("positive", 0.4), 2: ("negative", 0.3), 3: ("neutral", 0.0)}
+
+
+def test_a_company_with_a_third_of_all_rows(spark):
+    from bellwether.operators import mentions
+
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = spark.range(30000).select(
+            F.col("id"),
+            F.when(F.col("id") % 3 == 0, "HOT").otherwise(F.concat(F.lit("C"), F.col("id") % 97)).alias("company"),
+            F.concat(F.lit("h"), F.col("id")).alias("headline"),
+            F.timestamp_seconds(F.lit(1704067200) + F.col("id")).alias("timestamp"),
+            F.lit("positive").alias("sentiment"),
+            F.lit(0.5).alias("confidence"),
+        )
+        lists = {r.company_key: r.headlines for r in mentions.headline_lists(df, [F.col("id")]).collect()}
+        assert len(lists) == 98 and lists["HOT"] == ["h29997", "h29994", "h29991"]
+        signals = {r.company: r.article_count for r in sentiment.company_signals(df).collect()}
+        assert signals["HOT"] == 10000 and sum(signals.values()) == 30000
+        joined = mentions.attach_sentiment(
+            df.select("timestamp", "headline", F.lit("t").alias("text")),
+            df.select("timestamp", "headline", F.lit("t").alias("text"), "company", "sentiment"),
+        )
+        assert joined.filter("company = 'HOT'").count() == 10000 and joined.count() == 30000
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
