@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -19,20 +19,21 @@ def _cells(values: DataFrame, extent: Column) -> DataFrame:
     return values.withColumn("cell", F.coalesce(cell, F.lit(0)).cast("int"))
 
 
-def _narrow(placed: DataFrame, targets: DataFrame, group: list[str]) -> DataFrame:
+def _narrow(
+    placed: DataFrame, group: list[str], with_targets: Callable[[DataFrame], DataFrame]
+) -> DataFrame:
     """Move each target rank to the cell that holds it.
 
     A running sum over the cells of a group (at most CELLS rows) gives the ranks a
-    cell holds. targets has (group, t) with t.rank counted within the group.
+    cell holds. with_targets adds to each cell the targets of its group as rows t,
+    with t.rank counted within the group.
     """
     histogram = placed.groupBy(*group, "cell").agg(F.sum("n").alias("in_cell"))
     order = Window.partitionBy(*group).orderBy("cell")
     before = (F.sum("in_cell").over(order) - F.col("in_cell")).alias("before")
-    held = histogram.select(*group, "cell", "in_cell", before)
-    # Two ranks per share: a handful of rows.
+    held = with_targets(histogram.select(*group, "cell", "in_cell", before))
     return (
-        held.join(F.broadcast(targets), group)
-        .withColumn("rank", F.col("t.rank") - F.col("before"))
+        held.withColumn("rank", F.col("t.rank") - F.col("before"))
         .filter((F.col("rank") >= 0) & (F.col("rank") < F.col("in_cell")))
         .select(*group, "cell", F.col("t").withField("rank", F.col("rank")).alias("t"))
     )
@@ -49,36 +50,34 @@ def exact_quantiles(
     No task sees the whole column.
     """
     values = (
-        df.select(F.lit(0).alias("all"), F.col(column).cast("double").alias("v"))
+        df.select(F.col(column).cast("double").alias("v"))
         .filter(F.col("v").isNotNull())
-        .groupBy("all", "v")
+        .groupBy("v")
         .agg(F.count("*").alias("n"))
     )
     whole = values.agg(
         F.struct(F.min("v").alias("low"), F.max("v").alias("high"), F.sum("n").alias("n"))
     ).scalar()
-    spark = df.sparkSession
     # Ranks are 0-based; interpolation needs the two around (n - 1) * share.
-    place = (F.col("w.n") - 1) * F.col("share")
-    ranks = F.array(
-        *[
-            F.struct(
-                F.col("share"),
-                F.least(F.floor(place) + up, F.col("w.n") - 1).alias("rank"),
-                (place - F.floor(place)).alias("fraction"),
-                F.lit(up).alias("up"),
+    rows = F.col("w.n")
+    ranks = []
+    for share in shares:
+        place = (rows - 1) * F.lit(float(share))
+        for up in (0, 1):
+            ranks.append(
+                F.struct(
+                    F.lit(float(share)).alias("share"),
+                    F.least(F.floor(place) + up, rows - 1).alias("rank"),
+                    (place - F.floor(place)).alias("fraction"),
+                    F.lit(up).alias("up"),
+                )
             )
-            for up in (0, 1)
-        ]
-    )
-    targets = (
-        spark.range(1)
-        .select(F.explode(F.array(*[F.lit(float(s)) for s in shares])).alias("share"))
-        .withColumn("w", whole)
-        .select(F.lit(0).alias("all"), F.explode(ranks).alias("t"))
-    )
     coarse = _cells(values.withColumn("w", whole), F.col("w")).drop("w")
-    in_coarse = _narrow(coarse, targets, ["all"]).withColumnRenamed("cell", "outer")
+    in_coarse = _narrow(
+        coarse,
+        [],
+        lambda held: held.withColumn("w", whole).withColumn("t", F.explode(F.array(*ranks))),
+    ).withColumnRenamed("cell", "outer")
     kept = coarse.withColumnRenamed("cell", "outer").join(
         F.broadcast(in_coarse.select("outer").distinct()), "outer", "left_semi"
     )
@@ -86,7 +85,10 @@ def exact_quantiles(
         F.struct(F.min("v").alias("low"), F.max("v").alias("high")).alias("extent")
     )
     fine = _cells(kept.join(F.broadcast(extents), "outer"), F.col("extent"))
-    in_fine = _narrow(fine, in_coarse.select("outer", "t"), ["outer"])
+    # Two ranks per share: the broadcast tables hold a handful of rows.
+    in_fine = _narrow(
+        fine, ["outer"], lambda held: held.join(F.broadcast(in_coarse), "outer")
+    )
     order = Window.partitionBy("outer", "cell").orderBy("v")
     running = fine.join(
         F.broadcast(in_fine.select("outer", "cell").distinct()), ["outer", "cell"], "left_semi"
