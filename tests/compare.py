@@ -72,7 +72,14 @@ def main() -> int:
     wanted = sys.argv[2:] or list(entry.queries())
     sf_dir = f"/root/testdata/sf{sf}"
     spark = build_session(
-        "compare", "local[8]", 8, {"spark.ui.enabled": "false", "spark.driver.memory": "12g"}
+        "compare",
+        "local[8]",
+        8,
+        {
+            "spark.ui.enabled": "false",
+            "spark.ui.showConsoleProgress": "false",
+            "spark.driver.memory": "12g",
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     con = duck(sf_dir)
