@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
 
 
@@ -15,6 +16,11 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed_sources(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op6_entropy_mixing": op6_entropy_mixing,
 }
