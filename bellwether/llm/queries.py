@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
 
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
+from bellwether.llm.scratch import new_path
+from bellwether.llm.token_files import checksums, token_files, write_tokens
+
+TOKENIZERS = os.environ.get("BELLWETHER_TOKENIZERS")
+
+
+def tokenizer_path(name: str) -> str:
+    """A public tokenizer's file: in the folder BELLWETHER_TOKENIZERS, else the installed one."""
+    if TOKENIZERS:
+        return os.path.join(TOKENIZERS, name)
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -20,7 +35,14 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
 
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = new_path(spark, "tokens")
+    write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
+    return checksums(token_files(spark, folder))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op9_token_files": op9_token_files,
 }
