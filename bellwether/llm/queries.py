@@ -5,7 +5,9 @@ from __future__ import annotations
 import os
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from bellwether.llm.exact_search import nearest, quantised
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.scratch import new_path
@@ -41,8 +43,14 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checksums(token_files(spark, folder))
 
 
+def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "embeddings").select("vec_id", quantised("embedding").alias("v"))
+    return nearest(rows, F.col("vec_id") % 50 == 0)
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op9_token_files": op9_token_files,
+    "op10_exact_top_k": op10_exact_top_k,
 }
