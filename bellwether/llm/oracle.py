@@ -2,6 +2,10 @@
 
 WORDS = r"""[x FOR x IN string_split_regex({text}, '[\x20\x09-\x0D]+') IF x <> '']"""
 LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+LINE = (
+    "trim(regexp_replace(regexp_replace(translate({text}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+    r"'abcdefghijklmnopqrstuvwxyz'), '[0-9]', '0', 'g'), '[\x20\x09-\x0D]+', ' ', 'g'))"
+)
 
 ORACLE = {
     "op1_minhash_near_dedup": f"""
@@ -39,4 +43,50 @@ ORACLE = {
         )
         SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5
     """,
+    "op3_quality_rules": f"""
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS text,
+                {WORDS.format(text="coalesce(text, '')")} AS ws,
+                string_split(coalesce(text, ''), chr(10)) AS ls
+            FROM documents
+        ), win AS (
+            SELECT r, i, concat(ws[i], ' ', ws[i + 1], ' ', ws[i + 2]) AS g
+            FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM d WHERE len(ws) > 2)
+        ), twice AS (
+            SELECT r, i FROM (SELECT r, i, count(*) OVER (PARTITION BY r, g) AS c FROM win) WHERE c > 1
+        ), rep AS (
+            SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM twice) GROUP BY r
+        ), line AS (
+            SELECT r, source, l, len({WORDS.format(text="l")}) AS n,
+                {LINE.format(text="l")} AS key
+            FROM (SELECT r, source, unnest(ls) AS l FROM d)
+        ), own AS (SELECT * FROM line WHERE n > 0),
+        dup AS (SELECT r, count(*) - count(DISTINCT l) AS n FROM own GROUP BY r),
+        per_doc AS (SELECT r, source, key, sum(n) AS n FROM own GROUP BY r, source, key),
+        content AS (
+            SELECT d.source, d.r, string_agg(key, chr(10) ORDER BY key) AS c
+            FROM d LEFT JOIN own USING (r) GROUP BY d.source, d.r
+        ), one AS (SELECT source, min(r) AS r FROM content GROUP BY source, c),
+        host AS (SELECT source, count(*) AS docs FROM one GROUP BY source),
+        common AS (
+            SELECT p.source, p.key FROM per_doc p JOIN one ON one.r = p.r
+            JOIN host h ON h.source IS NOT DISTINCT FROM p.source
+            GROUP BY p.source, p.key, docs HAVING count(*) > greatest(5.0, docs * 0.002)
+        ), removed AS (
+            SELECT p.r, sum(p.n) AS n FROM per_doc p
+            JOIN common c ON c.key = p.key AND c.source IS NOT DISTINCT FROM p.source GROUP BY p.r
+        ), f AS (
+            SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words,
+                CAST(coalesce(list_sum([length(w) FOR w IN ws]), 0) AS BIGINT) AS word_chars,
+                CAST(length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
+                CAST(coalesce(dup.n, 0) AS BIGINT) AS n_dup_lines,
+                CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
+                CAST(coalesce(removed.n, 0) AS BIGINT) AS n_common_words
+            FROM d LEFT JOIN dup USING (r) LEFT JOIN rep USING (r) LEFT JOIN removed USING (r)
+        )
+        SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
+            NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words)
+                AND 100 * n_common_words <= 50 * n_words AS kept
+        FROM f
+    """,
 }

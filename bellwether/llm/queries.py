@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from bellwether.llm.exact_search import nearest, quantised
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
+from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_files import checksums, token_files, write_tokens
 
@@ -33,6 +34,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(_table(spark, sf_dir, "documents"))
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
@@ -50,6 +55,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
+    "op3_quality_rules": op3_quality_rules,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
