@@ -13,6 +13,7 @@ from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_files import checksums, token_files, write_tokens
+from bellwether.llm.toxicity import toxicity
 
 TOKENIZERS = os.environ.get("BELLWETHER_TOKENIZERS")
 
@@ -38,6 +39,11 @@ def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(_table(spark, sf_dir, "documents"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = _table(spark, sf_dir, "labels").select("doc_id", "toxic")
+    return toxicity(_table(spark, sf_dir, "documents"), labels)
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
@@ -56,6 +62,7 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
+    "op4_toxicity": op4_toxicity,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
