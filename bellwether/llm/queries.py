@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from bellwether.llm.exact_search import nearest, quantised
+from bellwether.llm.language import identify, page_evidence
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.quality import quality
@@ -44,6 +45,11 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(_table(spark, sf_dir, "documents"), labels)
 
 
+def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = page_evidence(_table(spark, sf_dir, "pages"))
+    return identify(_table(spark, sf_dir, "documents"), pages)
+
+
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
@@ -63,6 +69,7 @@ QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op3_quality_rules": op3_quality_rules,
     "op4_toxicity": op4_toxicity,
+    "op5_language_id": op5_language_id,
     "op6_entropy_mixing": op6_entropy_mixing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
