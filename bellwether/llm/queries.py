@@ -11,6 +11,7 @@ from bellwether.llm.exact_search import nearest, quantised
 from bellwether.llm.language import identify, page_evidence
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
+from bellwether.llm.packing import packed_documents
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_files import checksums, token_files, write_tokens
@@ -54,6 +55,10 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packed_documents(_table(spark, sf_dir, "documents"))
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = new_path(spark, "tokens")
     write_tokens(_table(spark, sf_dir, "documents"), folder, tokenizer_path("word_bpe_49k.json"))
@@ -71,6 +76,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
 }
