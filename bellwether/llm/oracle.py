@@ -89,4 +89,29 @@ ORACLE = {
                 AND 100 * n_common_words <= 50 * n_words AS kept
         FROM f
     """,
+    "op7_suffix_array_dedup": """
+        WITH d AS (
+            SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents
+        ), w AS (
+            SELECT r, i, md5(substr(h, 2 * i + 1, 400)) AS g
+            FROM (SELECT r, h, unnest(range(0, len(h) // 2 - 199)) AS i FROM d)
+        ), hit AS (
+            SELECT r, i FROM w SEMI JOIN (SELECT g FROM w GROUP BY g HAVING count(*) > 1) t USING (g)
+        ), edge AS (
+            SELECT r, i, i > 200 + lag(i, 1, -1000) OVER (PARTITION BY r ORDER BY i) AS starts FROM hit
+        ), part AS (
+            SELECT r, i, sum(CAST(starts AS INT)) OVER (PARTITION BY r ORDER BY i) AS p FROM edge
+        ), span AS (SELECT r, p, min(i) AS s, max(i) + 200 AS e FROM part GROUP BY r, p),
+        gap AS (
+            SELECT r, e AS s, lead(s) OVER (PARTITION BY r ORDER BY s) AS e FROM span
+            UNION ALL SELECT r, 0, min(s) FROM span GROUP BY r
+        ), left_over AS (
+            SELECT r, string_agg(substr(h, 2 * s + 1, 2 * (coalesce(e, len(h) // 2) - s)), '' ORDER BY s) AS h
+            FROM gap JOIN d USING (r) GROUP BY r
+        ), total AS (SELECT r, sum(e - s) AS n, count(*) AS c FROM span GROUP BY r)
+        SELECT doc_id, CAST(len(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n, 0) AS BIGINT) AS n_removed,
+            CAST(coalesce(c, 0) AS BIGINT) AS n_spans,
+            sha256(unhex(CASE WHEN c IS NULL THEN d.h ELSE left_over.h END)) AS kept_sha256
+        FROM d LEFT JOIN total USING (r) LEFT JOIN left_over USING (r)
+    """,
 }

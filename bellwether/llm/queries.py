@@ -13,6 +13,7 @@ from bellwether.llm.line_dedup import line_report
 from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.packing import packed_documents
+from bellwether.llm.passages import repeated_passages
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_files import checksums, token_files, write_tokens
@@ -60,6 +61,10 @@ def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed_sources(_table(spark, sf_dir, "documents"))
 
 
+def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_passages(_table(spark, sf_dir, "documents").select("doc_id", "text")).drop("spans")
+
+
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed_documents(_table(spark, sf_dir, "documents"))
 
@@ -82,6 +87,7 @@ QUERIES = {
     "op4_toxicity": op4_toxicity,
     "op5_language_id": op5_language_id,
     "op6_entropy_mixing": op6_entropy_mixing,
+    "op7_suffix_array_dedup": op7_suffix_array_dedup,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
