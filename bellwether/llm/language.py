@@ -123,7 +123,9 @@ def _smoothed(own: Column, parent: Column) -> Column:
 
 
 def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
-    """(doc_id, language, posterior, kept) of every row of docs(doc_id, text, lang, source).
+    """(doc_id, tid, language, posterior, kept) of every row of docs(doc_id, text, lang, source).
+
+    tid is a hash of the text.
 
     lang is the language the data declares, evidence (doc_id, markup, host) what
     pages declare; a document without a page has its source as host. All in one
@@ -143,7 +145,7 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     bounded_batches(docs.sparkSession)
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     declared = F.lower(F.nullif(F.trim(F.col("lang")), F.lit(""))).alias("declared")
-    items = docs.select("doc_id", "text", F.col("source").alias("own_host"), declared, letters)
+    items = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text", F.col("source").alias("own_host"), declared, letters)
     if evidence is not None:
         pages = evidence.select(F.col("doc_id").alias("page_of"), "markup", F.col("host").alias("page_host"))
         items = items.join(pages, F.col("doc_id") == F.col("page_of"), "left").drop("page_of")
@@ -203,9 +205,12 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     scored = joined.withColumn("score", score).withColumn("top", F.array_max("score"))
     spread = F.aggregate("score", F.lit(0.0), lambda a, x: a + F.exp(x - F.col("top")))
     language = F.array(*[F.lit(n) for n in names])[F.array_position("score", F.col("top")).cast("int") - 1]
-    return scored.select("doc_id", language.alias("language"), (1 / spread).alias("posterior"), "letters").select(
+    return scored.select(
         "doc_id",
-        "language",
-        "posterior",
-        (F.col("letters") & (F.col("language") != UNKNOWN) & (F.col("posterior") >= MIN_POSTERIOR)).alias("kept"),
+        "tid",
+        language.alias("language"),
+        (1 / spread).alias("posterior"),
+        (
+            F.col("letters") & (language != UNKNOWN) & (1 / spread >= MIN_POSTERIOR)
+        ).alias("kept"),
     )

@@ -132,10 +132,11 @@ def _same(lines: DataFrame, wanted: DataFrame) -> Column:
     )
 
 
-def with_lines_removed(docs: DataFrame) -> DataFrame:
+def with_lines_removed(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """docs with the redundant lines cut out of text (and n_chars, if there, counted anew).
 
-    Every row stays, also one that loses all its lines; null and empty texts stay
+    Every row stays, but a text that loses its last line with a word goes if
+    keep_emptied is false: all it said stays elsewhere. Null and empty texts stay
     as they are, lines without a word are never removed. Rows that repeat doc_id and text
     are cut alike, and count as one place of a line; a null doc_id is an id like any other.
     Other columns are kept, whatever their names. An empty table gives no rows.
@@ -150,7 +151,10 @@ def with_lines_removed(docs: DataFrame) -> DataFrame:
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
         columns["n_chars"] = F.when(F.col("gone_pos_").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(kind))
-    return docs.join(gone, same, "left").select(*[value.alias(name) for name, value in columns.items()])
+    joined = docs.join(gone, same, "left")
+    if not keep_emptied:
+        joined = joined.filter(F.col("gone_pos_").isNull() | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    return joined.select(*[value.alias(name) for name, value in columns.items()])
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -212,19 +212,24 @@ def draw(doc_id: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id), 1)
 
 
-def with_copies(sized: DataFrame, plan: DataFrame) -> DataFrame:
-    """sized (any columns, with doc_id, source, size) plus source_size, target and copies."""
-    names = {c: f"plan_{c}_of_mix" for c in plan.columns}
-    plan = plan.withColumnsRenamed(names)
-    col = {c: F.col(f"`{n}`") for c, n in names.items()}
-    taken = col["base"] + F.when(draw("doc_id") <= col["mark"], 1).otherwise(0)
-    return (
-        sized.join(plan, sized["source"].eqNullSafe(col["source"]) & (sized["size"] == col["size"]))
-        .withColumns({"source_size": col["source_size"], "target": col["target"], "copies": taken})
-        .drop(*names.values())
+def with_copies(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
+    """docs (any columns, with doc_id and source) plus mix_source_size, mix_target and mix_copies."""
+    plan = plan.withColumnsRenamed({c: f"mix_{c}" for c in plan.columns})
+    same = docs["source"].eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))
+    more = F.when(draw(docs["doc_id"]) <= F.col("mix_mark"), 1).otherwise(0)
+    return docs.join(plan, same).select(
+        *[docs[c] for c in docs.columns], "mix_source_size", "mix_target", (F.col("mix_base") + more).alias("mix_copies")
     )
 
 
+def taken_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
+    """The rows of docs, each as often as the mix takes it; columns as they are (see mixed_sources)."""
+    plan = copy_plan(docs.select("doc_id", "source", word_count("text").alias("size")), weights, cap)
+    counted = with_copies(docs, plan, word_count(docs["text"]))
+    repeated = counted.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
+    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+
+
 def mixed_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """(doc_id, size, source_size, target, copies, taken) of every row of docs(doc_id, text, source).
 
@@ -236,11 +241,11 @@ def mixed_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     plan = copy_plan(sized, weights, cap)
-    return with_copies(sized, plan).select(
+    return with_copies(sized, plan, sized["size"]).select(
         "doc_id",
         "size",
-        "source_size",
-        "target",
-        "copies",
-        (F.col("copies") * F.col("size")).alias("taken"),
+        F.col("mix_source_size").alias("source_size"),
+        F.col("mix_target").alias("target"),
+        F.col("mix_copies").alias("copies"),
+        (F.col("mix_copies") * F.col("size")).alias("taken"),
     )

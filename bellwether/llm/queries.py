@@ -36,7 +36,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85)
+    return near_duplicates(_table(spark, sf_dir, "documents"), k=3, percent=85).drop("tid")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,7 +54,7 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = page_evidence(_table(spark, sf_dir, "pages"))
-    return identify(_table(spark, sf_dir, "documents"), pages)
+    return identify(_table(spark, sf_dir, "documents"), pages).drop("tid")
 
 
 def op6_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
