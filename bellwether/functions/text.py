@@ -9,15 +9,15 @@ WORD = r"[\p{L}\p{N}_]"
 
 # Legal-form words that carry no name.
 LEGAL_FORMS = (
-    "inc llc ltd corp corporation company co plc holdings technologies "
-    "international group"
-).split()
+    "inc", "llc", "ltd", "corp", "corporation", "company", "co", "plc", "holdings",
+    "technologies", "international", "group",
+)
 
 # Words of a question that never name a company.
 QUESTION_FILLERS = (
-    "stock stocks company companies sector market tomorrow growth prediction "
-    "about for show me what is the of will grow"
-).split()
+    "stock", "stocks", "company", "companies", "sector", "market", "tomorrow", "growth",
+    "prediction", "about", "for", "show", "me", "what", "is", "the", "of", "will", "grow",
+)
 
 # The English stop words that Spark ML ships
 # (StopWordsRemover.loadDefaultStopWords("english")).

@@ -15,7 +15,9 @@ def to_timestamp(text: Column) -> Column:
 
 
 def epoch_to_timestamp(seconds: Column) -> Column:
-    return F.timestamp_micros((seconds.cast("double") * 1e6).cast("bigint"))
+    """Timestamp of seconds since 1970, NULL when they are not a number or out of range."""
+    micros = F.nanvl(seconds.try_cast("double"), F.lit(None).cast("double")) * 1e6
+    return F.timestamp_micros(micros.try_cast("bigint"))
 
 
 def to_number(text: Column) -> Column:

@@ -15,8 +15,15 @@ QUOTE_COLUMNS = [
 
 
 def join_ignoring_case(left: DataFrame, right: DataFrame, name: str = "company"):
-    """Left join on the upper-cased name; the left spelling stays."""
-    keyed = right.withColumn("company_key", F.upper(name)).drop(name)
+    """Left join on the upper-cased name; the left spelling stays.
+
+    Of several right rows whose names differ in case only, the first spelling counts.
+    """
+    others = [c for c in right.columns if c != name]
+    firsts = right.groupBy(F.upper(name).alias("company_key")).agg(
+        F.min(F.struct(name, *others)).alias("row_")
+    )
+    keyed = firsts.select("company_key", *[F.col(f"row_.`{c}`").alias(c) for c in others])
     clashes = [c for c in keyed.columns if c in left.columns and c != "company_key"]
     keyed = keyed.withColumnsRenamed({c: f"{c}_right" for c in clashes})
     return (

@@ -37,9 +37,6 @@ FUZZY_LIST_SCORE = 80.5  # above 80
 ALIAS_SCORE = 89.5  # at least 90
 RESOLVE_SCORE = 94.5  # at least 95
 
-# Names that a search within each row carries at most.
-SHORT_LIST = 500
-
 # Weights of the combined name score, see _name_scores.
 CONTAINED_SCORE = 95.0
 SUBSTRING_SCORE = 90.0
@@ -215,7 +212,7 @@ def resolve_names(
     tickers = company_dim.select(F.col("ticker").alias("upper")).distinct()
     alias_tickers = aliases.join(
         company_dim.groupBy("company").agg(F.min("ticker").alias("ticker")), "company"
-    ).select(F.col("common").alias("cleaned"), F.col("ticker").alias("by_alias"))
+    ).groupBy(F.col("common").alias("cleaned")).agg(F.min("ticker").alias("by_alias"))
     listed = _listed(company_dim)
     cleaned = wanted.select("cleaned").filter(F.col("cleaned") != "").distinct()
     scored = _name_scores(cleaned, listed, "cleaned", "clean", RESOLVE_SCORE)
@@ -325,7 +322,7 @@ def question_terms(
     """Terms of a question that may name a company, as (key, term)."""
     terms = F.split(F.col(text), r"(?i)[\s,]+(?:and|or)?[\s,]*")
     trimmed = F.transform(terms, lambda t: F.trim(t))
-    kept = F.filter(trimmed, lambda t: (t != "") & ~F.lower(t).isin(QUESTION_FILLERS))
+    kept = F.filter(trimmed, lambda t: (t != "") & ~F.lower(t).isin(*QUESTION_FILLERS))
     return questions.select(key, F.explode(F.array_distinct(kept)).alias("term"))
 
 
@@ -365,11 +362,6 @@ def name_list(company_dim: DataFrame, aliases: DataFrame) -> DataFrame:
     )
 
 
-def _is_short(names: DataFrame) -> bool:
-    """Whether a name list is small enough to be carried by every row's search."""
-    return names.limit(SHORT_LIST + 1).count() <= SHORT_LIST
-
-
 def _position(text: Column, spelling: Column, as_written: Column) -> Column:
     """Where a name first stands in a text as a whole word, 0 when it does not."""
     searched = F.when(as_written, text).otherwise(F.lower(text))
@@ -386,51 +378,18 @@ def _place(text: Column, spelling: Column, as_written: Column, ticker: Column) -
     )
 
 
-def _company_in(headlines: DataFrame, names: DataFrame, headline: str) -> DataFrame:
-    """Headlines with a company column, searched row by row without a shuffle.
-
-    Only for a short list: it reaches the rows as one scalar array.
-    """
-    listed = (
-        _name_keys(names, "spelling")
-        .agg(F.collect_list(F.struct("word", "spelling", "as_written", "ticker")))
-        .scalar()
-    )
-    text = F.col(headline)
-    near = F.filter("_names", lambda n: F.array_contains(F.col("_words"), n["word"]))
-    placed = F.transform(
-        near, lambda n: _place(text, n["spelling"], n["as_written"], n["ticker"])
-    )
-    found = F.array_min(F.filter(placed, lambda p: p["position"] > 0))
-    return (
-        headlines.withColumns(
-            {"_names": listed, "_words": F.array_distinct(word_tokens(text))}
-        )
-        .withColumn("company", found["ticker"])
-        .drop("_names", "_words")
-    )
-
-
 def extract_company(
     headlines: DataFrame,
     names: DataFrame,
     key: str,
     headline: str = "headline",
-    short: bool | None = None,
 ) -> DataFrame:
     """Company of the earliest known name in a headline, as (key, company).
 
     Longer names win at the same place. Headlines without a known name are left out.
-    A short name list is searched within each row. For a long one, words and names
-    meet by a join that carries keys only, and the headline joins back where there
-    is a candidate. short=None counts the names to choose.
+    Words and names meet by a join that carries keys only, and the headline joins
+    back where there is a candidate; a short name list is broadcast by its size.
     """
-    if _is_short(names) if short is None else short:
-        return (
-            _company_in(headlines.select(key, headline), names, headline)
-            .filter(F.col("company").isNotNull())
-            .select(key, "company")
-        )
     words = headlines.select(
         key, F.explode(F.array_distinct(word_tokens(F.col(headline)))).alias("word")
     )
@@ -448,25 +407,20 @@ def extract_company(
     )
 
 
-def attach_companies(
-    mentions: DataFrame, names: DataFrame, short: bool | None = None
-) -> DataFrame:
+def attach_companies(mentions: DataFrame, names: DataFrame) -> DataFrame:
     """Mentions with the company found in their headline, NULL when none is.
 
-    With a short name list no row moves. With a long one each distinct headline is
-    searched once and the result joins back by the headline's digest, so copies of
-    one headline cost one search.
+    Each distinct headline is searched once and the result joins back by the
+    headline's digest, so copies of one headline cost one search.
     """
     bare = mentions.drop("company")
-    if _is_short(names) if short is None else short:
-        return _company_in(bare, names, "headline")
     digest = F.md5("headline")
     headlines = (
         mentions.filter(F.col("headline").isNotNull())
         .groupBy(digest.alias("digest"))
         .agg(F.first("headline").alias("headline"))
     )
-    found = extract_company(headlines, names, key="digest", short=False)
+    found = extract_company(headlines, names, key="digest")
     return (
         bare.withColumn("digest", digest).join(found, "digest", "left").drop("digest")
     )

@@ -13,12 +13,28 @@ SHOWN = 15
 SHORTEST = 4
 
 
+def distinct_texts(mentions: DataFrame, as_of=None, rate: float = SECONDS_RATE) -> DataFrame:
+    """(headline, source, times, weight): each distinct text once, with its mentions' count and decay.
+
+    A text is tokenised once, however often it is mentioned.
+    """
+    weight = decay(F.col("timestamp"), as_of_column(mentions, as_of), rate)
+    return mentions.groupBy("headline", "source").agg(
+        F.count("*").alias("times"), F.sum(weight).alias("weight")
+    )
+
+
+def _times(texts: DataFrame) -> Column:
+    """How often a text counts: its column times, or once."""
+    return F.col("times") if "times" in texts.columns else F.lit(1)
+
+
 def keyword_rows(texts: DataFrame, column: str = "headline") -> DataFrame:
-    """One row per keyword occurrence: long enough and not a stop word."""
+    """(keyword, times) of every keyword occurrence: long enough and not a stop word."""
     stops = [w for w in STOP_WORDS if len(w) >= SHORTEST]
-    return texts.select(F.explode(word_tokens(F.col(column))).alias("keyword")).filter(
-        (F.length("keyword") >= SHORTEST) & ~F.col("keyword").isin(stops)
-    )
+    return texts.select(
+        F.explode(word_tokens(F.col(column))).alias("keyword"), _times(texts).alias("times")
+    ).filter((F.length("keyword") >= SHORTEST) & ~F.col("keyword").isin(stops))
 
 
 def top_keywords(
@@ -26,12 +42,13 @@ def top_keywords(
 ) -> DataFrame:
     """Most frequent keywords with their counts; ties by keyword.
 
-    Counts are combined per map task, so a frequent word sends one row per task.
+    Counts are combined per map task, so a frequent word sends one row per task. A
+    column times says how often a text counts.
     """
     return (
         keyword_rows(texts, column)
         .groupBy("keyword")
-        .agg(F.count("*").alias("frequency"))
+        .agg(F.sum("times").cast("bigint").alias("frequency"))
         .orderBy(F.desc("frequency"), "keyword")
         .limit(limit)
     )
@@ -42,15 +59,15 @@ def headline_and_source(mentions: DataFrame) -> Column:
 
 
 def keyword_feed(mentions: DataFrame, keywords: DataFrame) -> DataFrame:
-    """Every occurrence of a keyword in headline and source, one row each.
+    """(keyword, times) of every occurrence of a keyword in headline and source.
 
     keywords is a top list: its row limit bounds its size, so Spark broadcasts it
     and tokens are filtered where they arise.
     """
     tokens = word_tokens(headline_and_source(mentions))
-    return mentions.select(F.explode(tokens).alias("keyword")).join(
-        keywords.select("keyword"), "keyword", "left_semi"
-    )
+    return mentions.select(
+        F.explode(tokens).alias("keyword"), _times(mentions).alias("times")
+    ).join(keywords.select("keyword"), "keyword", "left_semi")
 
 
 def decayed_keywords(
@@ -62,12 +79,14 @@ def decayed_keywords(
 ) -> DataFrame:
     """Keywords by the summed decay of the mentions that hold them.
 
-    Tokens are the white-space pieces of headline and source.
+    Tokens are the white-space pieces of headline and source. Texts that already
+    carry a weight (see distinct_texts) are taken as they are.
     """
-    weight = decay(F.col("timestamp"), as_of_column(mentions, as_of), rate)
+    if "weight" not in mentions.columns:
+        mentions = distinct_texts(mentions, as_of, rate)
     tokens = space_tokens(headline_and_source(mentions))
     return (
-        mentions.select(F.explode(tokens).alias("keyword"), weight.alias("weight"))
+        mentions.select(F.explode(tokens).alias("keyword"), "weight")
         .join(keywords.select("keyword"), "keyword", "left_semi")
         .groupBy("keyword")
         .agg(F.sum("weight").alias("weight"))

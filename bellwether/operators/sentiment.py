@@ -183,18 +183,24 @@ def market_series(mentions: DataFrame) -> DataFrame:
     )
 
 
-def keyword_weights(lexicon: dict[str, float]) -> Column:
-    """A signed keyword table as a map literal."""
+def keyword_weights(lexicon: dict[str, float] | DataFrame) -> Column:
+    """A signed keyword table as a map: a literal, or (keyword, weight) rows read once.
+
+    The latter is a scalar subquery: make it a column before a score uses it.
+    """
+    if isinstance(lexicon, DataFrame):
+        entries = F.sort_array(F.collect_list(F.struct("keyword", "weight")))
+        return lexicon.agg(F.map_from_entries(entries)).scalar()
     return F.create_map(*[F.lit(x) for pair in lexicon.items() for x in pair])
 
 
-def lexicon_score(text: Column, lexicon: dict[str, float]) -> Column:
+def lexicon_score(text: Column, lexicon: dict[str, float] | Column) -> Column:
     """Sum of the weights of the words of a text, each occurrence counts.
 
-    The lexicon is a parameter of the job, a literal in the plan, so words are
-    looked up inside the row without exploding or shuffling the text.
+    The lexicon is a short table, a literal or a map column, so words are looked up
+    inside the row without exploding or shuffling the text.
     """
-    weights = keyword_weights(lexicon)
+    weights = lexicon if isinstance(lexicon, Column) else keyword_weights(lexicon)
     known = F.transform(
         word_tokens(text), lambda w: F.coalesce(F.try_element_at(weights, w), F.lit(0.0))
     )
@@ -203,7 +209,7 @@ def lexicon_score(text: Column, lexicon: dict[str, float]) -> Column:
     return F.round(F.coalesce(total, F.lit(0.0)), 9)
 
 
-def lexicon_scorer(lexicon: dict[str, float]) -> Callable[[Column], Column]:
+def lexicon_scorer(lexicon: dict[str, float] | Column) -> Callable[[Column], Column]:
     """Scorer of a text: label by the sign of the score, |s| / (1 + |s|) confidence."""
 
     def graded(score: Column) -> Column:

@@ -51,7 +51,7 @@ def exact_quantiles(
     """
     values = (
         df.select(F.col(column).cast("double").alias("v"))
-        .filter(F.col("v").isNotNull())
+        .filter(F.col("v").isNotNull() & ~F.isnan("v"))
         .groupBy("v")
         .agg(F.count("*").alias("n"))
     )
@@ -104,8 +104,8 @@ def exact_quantiles(
 
 
 def summary(df: DataFrame, column: str) -> DataFrame:
-    """count, mean, sample std, min, quartiles and max as one row."""
-    value = F.col(column).cast("double")
+    """count, mean, sample std, min, quartiles and max as one row; NaN counts as missing."""
+    value = F.nanvl(F.col(column).cast("double"), F.lit(None).cast("double"))
     quantiles = (
         exact_quantiles(df, column)
         .agg(F.map_from_entries(F.collect_list(F.struct("share", "value"))))

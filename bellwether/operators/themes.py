@@ -7,30 +7,30 @@ from pyspark.sql import functions as F
 
 from bellwether.functions.text import space_tokens
 
+LABELS = ("positive", "neutral", "negative")
+
 
 def theme_sentiment(mentions: DataFrame, theme_keywords: DataFrame) -> DataFrame:
     """Label counts and net score per theme; every matching token counts.
 
-    theme_keywords has (keyword, theme) rows. Tokens are counted by keyword and
-    label first, so the join sees one row per distinct pair, not per token.
+    theme_keywords has (keyword, theme) rows. Mentions have a sentiment, or are
+    texts with a count of mentions per label. Labels are counted per distinct headline
+    first and per keyword next, so a text is tokenised once and the join sees one
+    row per keyword.
     """
-    counted = (
-        mentions.select(
-            F.explode(space_tokens(F.col("headline"))).alias("keyword"), "sentiment"
+    if "sentiment" in mentions.columns:
+        mentions = mentions.groupBy("headline").agg(
+            *[F.count_if(F.col("sentiment") == label).alias(label) for label in LABELS]
         )
-        .join(theme_keywords.select("keyword").distinct(), "keyword", "left_semi")
-        .groupBy("keyword", "sentiment")
-        .agg(F.count("*").alias("n"))
-    )
-
-    def total(label: str):
-        hit = F.when(F.col("sentiment") == label, F.col("n")).otherwise(F.lit(0))
-        return F.sum(hit).alias(label)
-
+    totals = [F.sum(label).cast("bigint").alias(label) for label in LABELS]
     counts = (
-        counted.join(theme_keywords, "keyword")
+        mentions.select(F.explode(space_tokens(F.col("headline"))).alias("keyword"), *LABELS)
+        .join(theme_keywords.select("keyword").distinct(), "keyword", "left_semi")
+        .groupBy("keyword")
+        .agg(*totals)
+        .join(theme_keywords, "keyword")
         .groupBy("theme")
-        .agg(total("positive"), total("neutral"), total("negative"))
+        .agg(*totals)
     )
     everything = F.col("positive") + F.col("neutral") + F.col("negative")
     net = F.try_divide(F.col("positive") - F.col("negative"), everything)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from bellwether.functions.text import LEGAL_FORMS, QUESTION_FILLERS, STOP_WORDS
 from bellwether.operators.prices import FEATURES, STEPS
-from bellwether.sources.bindings import LEXICON, THEMES
+from bellwether.sources.bindings import LEXICON_WORDS, THEMES
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -18,9 +18,7 @@ def _texts(words) -> str:
 RAW_EVENTS = """
 raw_ev AS (
   SELECT event_id,
-    CASE WHEN value >= 1 AND value < 2 THEN NULL ELSE ts END AS "timestamp",
-    CASE WHEN value >= 2 AND value < 3 THEN NULL ELSE event_type || ' ' || props END AS headline,
-    CASE WHEN value < 0.5 THEN NULL WHEN value < 1 THEN '' ELSE 'C' || user_id END AS company,
+    ts AS "timestamp", event_type || ' ' || props AS headline, 'C' || user_id AS company,
     CASE WHEN event_type IN ('purchase', 'signup') THEN 'positive'
          WHEN event_type = 'error' THEN 'negative' ELSE 'neutral' END AS sentiment,
     value / 1000 AS confidence, value
@@ -82,12 +80,13 @@ growth AS (
 
 DOCS = """
 art AS (
-  SELECT doc_id, split_part(text, chr(10), 1) AS headline, text, 'doc:' || doc_id AS url, source
+  SELECT doc_id, coalesce(nullif(split_part(text, chr(10), 1), ''), text) AS headline, text,
+    'doc:' || doc_id AS url, source
   FROM documents)"""
 
 TEXTS = EVENTS + "," + DOCS + """,
 tm AS (
-  SELECT w.event_id, w."timestamp", w.company, w.sentiment, w.age_s, art.headline, art.source
+  SELECT w.event_id, w."timestamp", w.company, w.sentiment, w.age_s, art.headline, art.text, art.source
   FROM weighted w JOIN art ON art.doc_id = w.event_id % (SELECT count(*) FROM documents))"""
 
 HEADLINES = TEXTS + """,
@@ -102,13 +101,13 @@ heads AS (
 NEWS = """
 news AS (
   SELECT doc_id, make_timestamp((1704067200 + doc_id * 60) * 1000000) AS published,
-    split_part(text, chr(10), 1) AS headline,
-    CASE WHEN n_chars < 100 THEN '' ELSE text END AS body, text AS whole,
+    coalesce(nullif(split_part(text, chr(10), 1), ''), text) AS headline,
+    text AS body,
     'doc:' || doc_id AS url, source
   FROM documents),
 post AS (
   SELECT conv_id, turn, role, 1704067200.0::double + conv_id * 60 + turn AS created_utc,
-    split_part(text, chr(10), 1) AS headline, text,
+    coalesce(nullif(split_part(text, chr(10), 1), ''), text) AS headline, text,
     'conv:/' || conv_id || '/' || turn AS url
   FROM conversations)"""
 
@@ -257,12 +256,23 @@ estimates AS (
   FROM asked LEFT JOIN grid USING (depth, bucket) GROUP BY keyword)"""
 
 
-def _lexicon(column: str) -> str:
-    weights = " ".join(f"WHEN '{k}' THEN {v}::double" for k, v in LEXICON.items())
-    return (
-        f"coalesce(list_sum(list_transform({_word_tokens(column)}, "
-        f"lambda t: CASE t {weights} ELSE 0::double END)), 0)"
-    )
+LEXICON = f"""
+held AS (
+  SELECT quality, unnest(list_distinct({_word_tokens("text")})) AS keyword
+  FROM labels JOIN documents USING (doc_id)),
+lexicon AS (
+  SELECT keyword, round(ln((count(*) FILTER (quality = 1) + 1)
+    / (count(*) FILTER (quality = 0) + 1)::double), 6) AS weight
+  FROM held WHERE length(keyword) >= 4 GROUP BY keyword
+  ORDER BY count(*) FILTER (quality IN (0, 1)) DESC, keyword LIMIT {LEXICON_WORDS})"""
+
+
+def _lexicon(column: str, source: str) -> str:
+    return f"""
+found AS (SELECT doc_id, unnest({_word_tokens(column)}) AS keyword FROM {source}),
+lexicon_sums AS (SELECT doc_id, sum(weight) AS s FROM found JOIN lexicon USING (keyword) GROUP BY doc_id),
+lexicon_scored AS (
+  SELECT doc_id, round(coalesce(s, 0), 9) AS s FROM {source} LEFT JOIN lexicon_sums USING (doc_id))"""
 
 
 def _themes() -> str:
@@ -505,10 +515,7 @@ FUSED_COLUMNS = "company, article_count, ml_prediction, ml_prediction_score, " +
 
 ORACLE: dict[str, str] = {
     "scan_lenient": _with(RAW_EVENTS) + """
-SELECT nullif(company, '') AS company, sentiment,
-  CASE WHEN confidence * 1000 >= 4 AND confidence * 1000 < 5 THEN 0 ELSE confidence END
-    AS sentiment_score, "timestamp"
-FROM raw_ev WHERE NOT (confidence * 1000 >= 3 AND confidence * 1000 < 4)""",
+SELECT company, sentiment, confidence AS sentiment_score, "timestamp" FROM raw_ev""",
     "optional_source": _with(PREDICTIONS) + "SELECT * FROM pred",
     "flatten_json": _with(NEWS) + """,
 lines AS (SELECT *, string_split(body, chr(10)) AS parts FROM news)
@@ -526,10 +533,8 @@ SELECT make_timestamp((created_utc * 1000000)::bigint) AS "timestamp", 'reddit'
     )
     + "SELECT * FROM bars",
     "news_listing": """
-SELECT coalesce(CASE WHEN lang NOT IN ('de', 'fr') THEN nullif(split_part(text, chr(10), 1), '') END,
-    'No Title') AS title,
-  CASE WHEN lang = 'es' THEN 'N/A' ELSE source END AS source,
-  CASE WHEN lang = 'es' THEN lang ELSE 'day ' || doc_id END AS date,
+SELECT coalesce(nullif(split_part(text, chr(10), 1), ''), 'No Title') AS title, source,
+  lang AS date,
   'N/A' AS company_name, text AS snippet, 'doc:' || doc_id AS url
 FROM documents""",
     "merge_sources": _with(MERGED) + "SELECT * FROM merged",
@@ -574,11 +579,12 @@ FROM cs JOIN customer ON company = 'C' || c_custkey GROUP BY 1""",
     "label_map7": """
 SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.5
   WHEN 'error' THEN -1.0 ELSE 0.0 END::double AS sentiment_score FROM events""",
-    "lexicon_score": f"SELECT doc_id, round({_lexicon('text')}, 9) AS lexicon_score FROM documents",
-    "sentiment_lexicon": _with(NEWS) + f""",
-scored AS (SELECT doc_id, round({_lexicon("headline || ' ' || body")}, 9) AS s FROM news)
+    "lexicon_weights": _with(LEXICON) + "SELECT * FROM lexicon",
+    "lexicon_score": _with(LEXICON, _lexicon("text", "documents"))
+    + "SELECT doc_id, s AS lexicon_score FROM lexicon_scored",
+    "sentiment_lexicon": _with(NEWS, LEXICON, _lexicon("headline || ' ' || body", "news")) + """
 SELECT doc_id, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END
-  AS sentiment, round(abs(s) / (1 + abs(s)), 9) AS confidence FROM scored""",
+  AS sentiment, round(abs(s) / (1 + abs(s)), 9) AS confidence FROM lexicon_scored""",
     "market_series": _with(EVENTS) + """
 SELECT "timestamp"::date AS date, round(avg(sentiment_score), 9) AS sentiment_score
 FROM weighted WHERE "timestamp" IS NOT NULL GROUP BY 1""",
@@ -592,14 +598,14 @@ FROM weighted""",
     "label_value_counts": _with(EVENTS) + """
 SELECT sentiment, count(*) AS "count" FROM ev GROUP BY sentiment
 ORDER BY "count" DESC, sentiment LIMIT 10""",
-    "top_keywords": _with(TEXTS, _top_words("tm", "headline")) + "SELECT * FROM top_words",
+    "top_keywords": _with(TEXTS, _top_words("tm", "text")) + "SELECT * FROM top_words",
     "cms_keywords": _with(
         TEXTS,
-        _top_words("tm", "headline"),
+        _top_words("tm", "text"),
         f"""
 feed AS (
   SELECT keyword FROM (
-    SELECT unnest({_word_tokens("headline || ' ' || source")}) AS keyword FROM tm)
+    SELECT unnest({_word_tokens("text || ' ' || source")}) AS keyword FROM tm)
   WHERE keyword IN (SELECT keyword FROM top_words))""",
         _sketch("feed", 500, 5),
     )
@@ -614,10 +620,10 @@ feed AS (
     + "SELECT * FROM estimates",
     "edw_keywords": _with(
         TEXTS,
-        _top_words("tm", "headline"),
+        _top_words("tm", "text"),
         f"""
 pieces AS (
-  SELECT unnest({_space_tokens("headline || ' ' || source")}) AS keyword,
+  SELECT unnest({_space_tokens("text || ' ' || source")}) AS keyword,
     coalesce(exp(-1e-5::double * age_s), 0) AS weight FROM tm)""",
     )
     + """
@@ -627,7 +633,7 @@ GROUP BY keyword ORDER BY sum(weight) DESC, keyword LIMIT 15""",
     "theme_sentiment": _with(
         TEXTS,
         _themes(),
-        f"pieces AS (SELECT unnest({_space_tokens('headline')}) AS keyword, sentiment FROM tm)",
+        f"pieces AS (SELECT unnest({_space_tokens('text')}) AS keyword, sentiment FROM tm)",
     )
     + """
 SELECT theme, count(*) FILTER (sentiment = 'positive') AS positive,

@@ -68,7 +68,7 @@ def _headline_lists(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _top_keywords(spark: SparkSession, d: str) -> DataFrame:
-    return keywords.top_keywords(bindings.text_mentions(spark, d))
+    return keywords.top_keywords(bindings.mentioned_texts(spark, d))
 
 
 # Sources
@@ -77,16 +77,11 @@ def _top_keywords(spark: SparkSession, d: str) -> DataFrame:
 @query
 def scan_lenient(spark, d):
     raw = bindings.raw_event_mentions(spark, d)
-    value = F.col("confidence") * 1000
-    score = F.when((value >= 4) & (value < 5), F.lit("n/a")).otherwise(
-        F.col("confidence").cast("string")
-    )
-    cells = [F.col("company"), F.col("sentiment"), score, F.col("timestamp").cast("string")]
+    cells = [F.col(c).cast("string") for c in ("company", "sentiment", "confidence", "timestamp")]
     line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in cells])
-    extra = F.when((value >= 3) & (value < 4), F.lit(",more,cells")).otherwise(F.lit(""))
     header = ["Company", "Sentiment", "Sentiment_Score", "Date"]
     parsed = readers.repair_columns(
-        readers.parse_csv_lines(raw.select(F.concat(line, extra).alias("line")), "line", header)
+        readers.parse_csv_lines(raw.select(line.alias("line")), "line", header)
     )
     return parsed.select(
         "company",
@@ -144,14 +139,11 @@ def price_range_scan(spark, d):
 def news_listing(spark, d):
     docs = bindings.table(spark, d, "documents")
     article = F.struct(
-        F.when(F.col("lang") == "de", None)
-        .when(F.col("lang") == "fr", F.lit(""))
-        .otherwise(F.substring_index("text", "\n", 1))
-        .alias("title"),
+        F.substring_index("text", "\n", 1).alias("title"),
         F.col("text").alias("snippet"),
-        F.when(F.col("lang") != "es", F.col("source")).alias("source"),
+        F.col("source"),
         F.concat(F.lit("day "), F.col("doc_id")).alias("date"),
-        F.when(F.col("lang") == "es", F.col("lang")).alias("formatted_date"),
+        F.col("lang").alias("formatted_date"),
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"),
     )
     parsed = docs.select(landed.parse_listing(F.to_json(article)).alias("a"))
@@ -267,23 +259,29 @@ def label_map7(spark, d):
     )
 
 
+@query
+def lexicon_weights(spark, d):
+    return bindings.lexicon(spark, d)
+
+
 @query
 def lexicon_score(spark, d):
-    docs = bindings.table(spark, d, "documents")
-    return settle(
-        docs.select(
-            "doc_id",
-            sentiment.lexicon_score(F.col("text"), bindings.LEXICON).alias("lexicon_score"),
-        )
-    )
+    weights = sentiment.keyword_weights(bindings.lexicon(spark, d))
+    docs = bindings.table(spark, d, "documents").select("doc_id", "text", weights.alias("weights"))
+    score = sentiment.lexicon_score(F.col("text"), F.col("weights"))
+    return settle(docs.select("doc_id", score.alias("lexicon_score")))
 
 
 @query
 def sentiment_lexicon(spark, d):
+    weights = sentiment.keyword_weights(bindings.lexicon(spark, d))
     articles = bindings.news(spark, d).select(
-        "doc_id", F.col("title").alias("headline"), F.col("description").alias("text")
+        "doc_id",
+        F.col("title").alias("headline"),
+        F.col("description").alias("text"),
+        weights.alias("weights"),
     )
-    scored = sentiment.classify(articles, sentiment.lexicon_scorer(bindings.LEXICON))
+    scored = sentiment.classify(articles, sentiment.lexicon_scorer(F.col("weights")))
     return settle(scored.select("doc_id", "sentiment", "confidence"))
 
 
@@ -331,9 +329,9 @@ def top_keywords(spark, d):
 
 @query
 def cms_keywords(spark, d):
-    rows = bindings.text_mentions(spark, d)
+    rows = bindings.mentioned_texts(spark, d)
     wanted = _top_keywords(spark, d)
-    built = sketch.build_sketch(keywords.keyword_feed(rows, wanted))
+    built = sketch.build_sketch(keywords.keyword_feed(rows, wanted), amount=F.col("times"))
     return sketch.estimate(built, wanted).orderBy(F.desc("count"), "keyword")
 
 
@@ -354,14 +352,14 @@ def cms_builtin(spark, d):
 
 @query
 def edw_keywords(spark, d):
-    rows = bindings.text_mentions(spark, d)
+    rows = bindings.mentioned_texts(spark, d)
     return settle(keywords.decayed_keywords(rows, _top_keywords(spark, d)))
 
 
 @query
 def theme_sentiment(spark, d):
     pairs = landed.theme_keywords(bindings.themes(spark), "document")
-    return themes.theme_sentiment(bindings.text_mentions(spark, d), pairs)
+    return themes.theme_sentiment(bindings.mentioned_texts(spark, d), pairs)
 
 
 # Growth

@@ -10,14 +10,13 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from bellwether.functions.decay import SECONDS_RATE, decay, reference_time
+from bellwether.functions.text import word_tokens
 from bellwether.schemas import PREDICTIONS
 from bellwether.sources.prices import daily_bars, in_range
 
-# A signed keyword list of frequent words of the documents.
-LEXICON = {
-    "that": 1.5, "with": 1.3, "this": 1.4, "from": 1.2, "tion": -1.3,
-    "ther": -1.5, "than": -1.4, "there": 1.6, "para": -1.6, "nicht": 1.5, "dans": -1.5,
-}
+LEXICON_WORDS = 40
+LABELS = ("positive", "neutral", "negative")
 THEMES = {
     "rates": ["that", "with", "nicht"],
     "growth": ["this", "from", "with"],
@@ -31,25 +30,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _headline(text: Column) -> Column:
-    return F.substring_index(text, "\n", 1)
+    """The first line; the whole text where that is empty."""
+    first = F.substring_index(text, "\n", 1)
+    return F.when(first != "", first).otherwise(text)
 
 
 def raw_event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One mention per event, with missing and empty cells as a file would have."""
+    """One mention per event, its kind and payload as headline."""
     value, kind = F.col("value"), F.col("event_type")
     return table(spark, sf_dir, "events").select(
         "event_id",
-        F.when((value >= 1) & (value < 2), None)
-        .otherwise(F.col("ts"))
-        .cast("timestamp")
-        .alias("timestamp"),
-        F.when((value >= 2) & (value < 3), None)
-        .otherwise(F.concat(kind, F.lit(" "), F.col("props")))
-        .alias("headline"),
-        F.when(value < 0.5, None)
-        .when(value < 1, F.lit(""))
-        .otherwise(F.concat(F.lit("C"), F.col("user_id")))
-        .alias("company"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
+        F.concat(kind, F.lit(" "), F.col("props")).alias("headline"),
+        F.concat(F.lit("C"), F.col("user_id")).alias("company"),
         F.when(kind.isin("purchase", "signup"), F.lit("positive"))
         .when(kind == "error", F.lit("negative"))
         .otherwise(F.lit("neutral"))
@@ -83,8 +76,46 @@ def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.join(articles, "doc_id")
 
 
+def mentioned_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document that events mention, whole, with what its mentions add up to.
+
+    times, weight (summed decay) and the label counts are per document, so a text
+    is read and tokenised once, however often it is mentioned.
+    """
+    docs = table(spark, sf_dir, "documents")
+    rows = event_mentions(spark, sf_dir)
+    weight = decay(F.col("timestamp"), reference_time(rows), SECONDS_RATE)
+    counted = rows.groupBy((F.col("event_id") % docs.agg(F.count("*")).scalar()).alias("doc_id")).agg(
+        F.count("*").alias("times"),
+        F.sum(weight).alias("weight"),
+        *[F.count_if(F.col("sentiment") == label).alias(label) for label in LABELS],
+    )
+    return docs.select("doc_id", F.col("text").alias("headline"), "source").join(counted, "doc_id")
+
+
+def lexicon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(keyword, weight): the log odds of a word in labelled texts of quality 1 against 0.
+
+    The words in most labelled texts, LEXICON_WORDS of them.
+    """
+    labelled = table(spark, sf_dir, "labels").select("doc_id", "quality").join(
+        table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id"
+    )
+    words = F.explode(F.array_distinct(word_tokens(F.col("text")))).alias("keyword")
+    good, bad = F.count_if(F.col("quality") == 1), F.count_if(F.col("quality") == 0)
+    return (
+        labelled.select("quality", words)
+        .filter(F.length("keyword") >= 4)
+        .groupBy("keyword")
+        .agg(good.alias("good"), bad.alias("bad"))
+        .orderBy(F.desc(F.col("good") + F.col("bad")), "keyword")
+        .limit(LEXICON_WORDS)
+        .select("keyword", F.round(F.log((F.col("good") + 1) / (F.col("bad") + 1)), 6).alias("weight"))
+    )
+
+
 def news(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents as fetched news articles; the shortest texts are empty."""
+    """Documents as fetched news articles."""
     return table(spark, sf_dir, "documents").select(
         "doc_id",
         F.date_format(
@@ -92,7 +123,7 @@ def news(spark: SparkSession, sf_dir: str) -> DataFrame:
             "yyyy-MM-dd'T'HH:mm:ss'Z'",
         ).alias("publishedAt"),
         _headline(F.col("text")).alias("title"),
-        F.when(F.col("n_chars") < 100, F.lit("")).otherwise(F.col("text")).alias("description"),
+        F.col("text").alias("description"),
         F.concat(F.lit("doc:"), F.col("doc_id")).alias("url"),
         F.col("source").alias("company"),
     )

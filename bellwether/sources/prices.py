@@ -48,8 +48,12 @@ def read_price_files(
 
 
 def write_price_table(prices: DataFrame, path: str) -> None:
-    """One directory per ticker, so a ticker filter prunes directories."""
-    prices.write.mode("overwrite").partitionBy("ticker").parquet(path)
+    """One directory per ticker, so a ticker filter prunes directories.
+
+    A ticker's bars of one year go through one task, so a year is one file.
+    """
+    year = F.year("trade_date")
+    prices.repartition("ticker", year).write.mode("overwrite").partitionBy("ticker").parquet(path)
 
 
 def daily_bars(

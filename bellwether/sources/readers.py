@@ -105,15 +105,14 @@ def read_lenient(
     path: str,
     required: Iterable[str],
     aliases: dict[str, str] = MENTION_ALIASES,
-    multi_line: bool = True,
+    multi_line: bool = False,
 ) -> DataFrame:
     """CSV as text columns, rows with too many fields skipped.
 
     Dialects are tried in order (plain, unquoted per encoding, other separators)
     until the header, after alias repair, has the required columns. Only headers
     are read to choose. multi_line allows line breaks inside quoted cells, which
-    makes one file the unit of parallelism; switch it off for single-line data
-    in large files.
+    makes one file the unit of parallelism.
     """
     required = list(required)
     dialects = [{"sep": ","}]
@@ -135,16 +134,25 @@ def read_lenient(
     raise ValueError(f"no dialect gives columns {required}, first read gave {found}")
 
 
+# Conditions under which a source counts as missing.
+_ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
+
+
 def read_or_else(
     primary: Callable[[], DataFrame], *others: Callable[[], DataFrame]
 ) -> DataFrame:
-    """First source that can be opened; the last failure is raised."""
+    """First source that is there and fits; the last failure is raised.
+
+    Only a missing path, a file without a schema and a header without the wanted
+    columns (ValueError) go on to the next source.
+    """
     sources = (primary, *others)
     for position, source in enumerate(sources):
         try:
             return source()
-        except (AnalysisException, ValueError):
-            if position == len(sources) - 1:
+        except (AnalysisException, ValueError) as error:
+            absent = not isinstance(error, AnalysisException) or error.getCondition() in _ABSENT
+            if position == len(sources) - 1 or not absent:
                 raise
     raise AssertionError("unreachable")
 
@@ -164,10 +172,12 @@ def fallback_companies(spark: SparkSession) -> DataFrame:
 def read_or_empty(
     spark: SparkSession, source: Callable[[], DataFrame], schema: T.StructType
 ) -> DataFrame:
-    """Optional source: an empty frame of the schema when it does not exist."""
+    """Optional source: an empty frame of the schema when its path does not exist."""
     try:
         return source()
-    except AnalysisException:
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
         return spark.createDataFrame([], schema)
 
 

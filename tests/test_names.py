@@ -298,10 +298,17 @@ def test_extract_company_takes_the_earliest_name(spark, dim, aliases, rows):
     )
     wanted = [(1, "TSLA"), (2, "AMD"), (3, "ADP"), (6, "META")]
     copies = headlines.union(headlines).withColumn("company", F.lit("old"))
-    for short in (None, True, False):
-        assert rows(entities.extract_company(headlines, names, "id", short=short)) == wanted
-        attached = entities.attach_companies(copies, names, short)
-        assert sorted(attached.columns) == ["company", "headline", "id"]
-        found = attached.filter("company is not null").select("id", "company")
-        assert rows(found) == sorted(wanted * 2)
-        assert attached.count() == 12
+    assert rows(entities.extract_company(headlines, names, "id")) == wanted
+    attached = entities.attach_companies(copies, names)
+    assert sorted(attached.columns) == ["company", "headline", "id"]
+    found = attached.filter("company is not null").select("id", "company")
+    assert rows(found) == sorted(wanted * 2)
+    assert attached.count() == 12
+
+
+def test_repeated_alias_resolves_once(spark, dim, rows):
+    aliases = spark.createDataFrame(
+        [("big fruit", "Apple Inc."), ("big fruit", "Tesla, Inc.")], "common string, company string"
+    )
+    names = spark.createDataFrame([("Big Fruit",)], "name string")
+    assert entities.resolve_names(names, dim, aliases).count() == 1

@@ -6,8 +6,10 @@ from datetime import datetime
 import pytest
 from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from bellwether.operators import context, entities, mentions, sentiment
+from bellwether.functions.values import epoch_to_timestamp
+from bellwether.operators import context, entities, mentions, sentiment, stats
 from bellwether.plans import daily
 from bellwether.schemas import GROWTH, PREDICTIONS, require_columns
 from bellwether.sources import landed, prices, readers, sinks
@@ -24,7 +26,9 @@ def test_lenient_scan_skips_long_rows_and_repairs_names(spark, tmp_path, rows):
         'Company,Sentiment,Sentiment_Score,Date\nA,positive,0.5,2024-01-01T00:00:00Z\n'
         'B,x,1,2,3,4\nC,negative\n"D, Inc.",neutral,bad,"2024-01-02\n00:00:00"\n',
     )
-    df = readers.read_lenient(spark, path, ["company", "sentiment_score", "timestamp"])
+    df = readers.read_lenient(
+        spark, path, ["company", "sentiment_score", "timestamp"], multi_line=True
+    )
     assert df.columns == ["company", "sentiment", "sentiment_score", "timestamp"]
     assert rows(df, "company", "sentiment_score") == [("A", "0.5"), ("C", None), ("D, Inc.", "bad")]
     scored = readers.mention_scores(df)
@@ -297,3 +301,36 @@ def test_daily_run(spark, tmp_path, rows):
     assert growth["GOOGL"].growth_score == pytest.approx(-0.75)
     counts = dict((r.keyword, r["count"]) for r in tables["cms_keywords"].collect())
     assert counts["profit"] == 3
+
+
+def test_bad_epochs_are_missing(spark):
+    rows = spark.createDataFrame([("abc",), ("NaN",), ("1e300",), (None,), ("86400",)], "s string")
+    got = [r.t for r in rows.select(epoch_to_timestamp(F.col("s")).alias("t")).collect()]
+    assert got[:4] == [None] * 4 and got[4] is not None
+
+
+def test_only_a_missing_path_is_empty(spark, tmp_path):
+    schema = "company string"
+    gone = readers.read_or_empty(
+        spark, lambda: spark.read.parquet(str(tmp_path / "none")), T.StructType.fromDDL(schema)
+    )
+    assert gone.collect() == []
+    with pytest.raises(AnalysisException):
+        readers.read_or_empty(
+            spark, lambda: spark.range(1).select("nope"), T.StructType.fromDDL(schema)
+        )
+
+
+def test_case_clashes_join_once(spark, rows):
+    left = spark.createDataFrame([("acme", 1)], "company string, a int")
+    right = spark.createDataFrame([("ACME", 2), ("Acme", 3)], "company string, b int")
+    assert rows(context.join_ignoring_case(left, right)) == [("acme", 1, 2)]
+
+
+def test_summary_skips_nan_and_keeps_infinity(spark):
+    values = [1.0, 2.0, float("nan"), 3.0, None]
+    row = stats.summary(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    assert (row["count"], row["mean"], row["min"], row["q50"], row["max"]) == (3, 2.0, 1.0, 2.0, 3.0)
+    values += [float("inf")]
+    row = stats.summary(spark.createDataFrame([(v,) for v in values], "v double"), "v").first()
+    assert (row["count"], row["min"], row["max"]) == (4, 1.0, float("inf"))
