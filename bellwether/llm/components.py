@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from bellwether.llm.scratch import dropped, written
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(
-        edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.hash("u", "v"))).first()
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The written links, and a count and digest of them taken while writing."""
+    seen = Observation()
+    digest = F.xxhash64("u", "v")
+    measured = edges.observe(
+        seen, F.count("*").alias("n"), F.bit_xor(digest).alias("x"), F.sum(F.shiftright(digest, 20)).alias("s")
     )
+    table = written(measured, "links")
+    return table, tuple(seen.get[name] for name in ("n", "x", "s"))
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -23,7 +28,6 @@ def _large_star(edges: DataFrame) -> DataFrame:
         .join(least, "u")
         .filter("v <> m")
         .select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .distinct()
     )
 
 
@@ -43,17 +47,12 @@ def components(links: DataFrame) -> DataFrame:
     ordered type. Null ids and links of an id to itself are ignored; ids that
     are absent from the result are their own component.
     """
-    now = written(
-        links.filter("a <> b")
-        .select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v"))
-        .distinct(),
-        "links",
+    now, state = _written(
+        links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    state = _state(now)
     while state[0]:
         large = written(_large_star(now), "links")
-        after = written(_small_star(large), "links")
-        new = _state(after)
+        after, new = _written(_small_star(large))
         dropped(now)
         dropped(large)
         now = after

@@ -10,11 +10,12 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from bellwether.llm.components import components
-from bellwether.llm.scratch import bounded_batches, dropped, written
+from bellwether.llm.buckets import bucket_components
+from bellwether.llm.scratch import bounded_batches, written
 from bellwether.llm.words import hashed, mixed, seed, shingle_hashes, slices, split_words
 
 BINS, ROWS = 96, 4  # 24 bands of 4 coordinates
+RARE = 64  # holders of a rare item, at most
 _EMPTY = np.uint64(2**64 - 1)
 _BIN = seed(1 << 20)
 
@@ -69,7 +70,7 @@ def _signed(sets: list[np.ndarray]) -> pa.Array:
 
 
 def sketches(docs: DataFrame, k: int) -> DataFrame:
-    """(doc_id, n, d1, d2, bands): set size, 128-bit digest of the set, band keys; whole texts."""
+    """(doc_id, tid, n, d1, d2, bands): hash of the text, set size, 128-bit digest of the set, band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
@@ -79,16 +80,17 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("tid"),
                     pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array(first, np.uint64).view(np.int64)),
                     pa.array(np.array(second, np.uint64).view(np.int64)),
                     _signed(bands),
                 ],
-                ["doc_id", "n", "d1", "d2", "bands"],
+                ["doc_id", "tid", "n", "d1", "d2", "bands"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(
-        run, "doc_id long, n long, d1 long, d2 long, bands array<long>"
+    return docs.select("doc_id", F.xxhash64("text").alias("tid"), "text").mapInArrow(
+        run, "doc_id long, tid long, n long, d1 long, d2 long, bands array<long>"
     )
 
 
@@ -103,134 +105,86 @@ def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough."""
+    """The rows of pairs(a, b, ...) whose full sets are similar enough."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("x"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("y"))
-    shared = F.size(F.array_intersect("x", "y"))
     return (
         pairs.join(left, "a")
         .join(right, "b")
-        .withColumn("shared", shared)
+        .withColumn("shared", F.size(F.array_intersect("x", "y")))
         .filter(100 * F.col("shared") >= percent * (F.size("x") + F.size("y") - F.col("shared")))
+        .select(*pairs.columns)
+    )
+
+
+def _rare(ids: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(id, own, alone) and (a, b): how many rare items each id has, and all pairs that share one.
+
+    An item is rare if at most RARE of these ids hold it, so a rare item makes
+    few pairs. All other pairs share none of their rare items; an id that has too few
+    others is alone among those.
+    """
+    held = sets.join(ids, "id").select("id", F.explode("items").alias("item"))
+    few = held.groupBy("item").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE).select("item")
+    rare = written(held.join(few, "item"), "rare")
+    counts = rare.groupBy("id").agg(F.count("*").alias("own"))
+    sizes = sets.join(ids, "id").select("id", F.size("items").alias("n"))
+    alone = 100 * (F.col("n") - F.col("own")) < percent * F.col("n")
+    pairs = (
+        rare.select("item", F.col("id").alias("a"))
+        .join(rare.select("item", F.col("id").alias("b")), "item")
+        .filter("a > b")
         .select("a", "b")
+        .distinct()
     )
+    return sizes.join(counts, "id").select("id", "own", alone.alias("alone")), pairs
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) of every row of docs(doc_id, text).
+    """(doc_id, tid, n_shingles, component_id, kept) of every row of docs(doc_id, text).
 
     Documents link when their sets of distinct k-word shingles (A-Z lower-cased)
     have 100 * intersection >= percent * union; component_id is the smallest
-    doc_id reachable over links, and kept says that it is the row's own.
+    doc_id reachable over links, and kept says that it is the row's own. tid is a
+    hash of the text.
 
     Equal sets are one class before anything is paired. Classes that share a
-    band key form a bucket; a bucket compares all members with its smallest one,
-    and what is still in different components goes on with twice the pivots, so
-    a large group of copies costs a row per member and not a row per pair. The
-    rounds end when no bucket holds an unchecked pair of two components: the
-    candidates of all bands are decided, on the full sets, whatever their number.
+    band key form a bucket, and bucket_components() decides all candidates, on
+    the full sets, whatever the size of a bucket. Members of large buckets that share
+    a rare item are compared directly; what is not rare bounds what others can share.
 
     Null and empty texts and texts without a word have no shingles, link with
     nothing and stay. A null doc_id cannot be linked: component_id is null and
-    the row is kept. A repeated doc_id is one node with several texts; each row
-    is returned. Other columns are ignored.
+    the row is kept. Rows that repeat a doc_id are each judged by their own text.
+    Other columns are ignored; an empty table gives no rows.
     """
     bounded_batches(docs.sparkSession)
     table = written(sketches(docs, k), "sketches")
     known = table.filter("n > 0 and doc_id is not null")
-    classes = known.groupBy("n", "d1", "d2").agg(
-        F.min("doc_id").alias("id"), F.min(F.struct("doc_id", "bands"))["bands"].alias("bands")
-    )
-    keyed = classes.select("id", "n", F.explode("bands").alias("key"))
-    shared = keyed.groupBy("key").agg(F.count("*").alias("members"), F.min("id").alias("pivot"))
-    buckets = written(keyed.join(shared.filter("members > 1"), "key").drop("members"), "buckets")
-    wanted = buckets.select(F.col("id").alias("doc_id")).distinct()
+    classes = known.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
+    classes = classes.select("n", "d1", "d2", F.col("least.doc_id").alias("id"), "least.bands")
+    keyed = classes.select("id", "n", F.explode("bands").alias("key")).distinct()
+    shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
+    own = F.lit(0).cast("long").alias("own")
+    buckets = written(keyed.join(shared, "key").select("key", "id", "n", own), "buckets")
+    wanted = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
 
-    copies = known.join(classes.drop("bands"), ["n", "d1", "d2"]).select(
-        F.col("doc_id").alias("a"), F.col("id").alias("b")
-    )
-    near = F.greatest("n", "m") * percent <= F.least("n", "m") * 100
-    sizes = buckets.select(F.col("id").alias("pivot"), F.col("n").alias("m")).distinct()
-    first = (
-        buckets.filter("id <> pivot")
-        .select(F.col("id").alias("a"), "n", "pivot")
-        .distinct()
-        .join(sizes, "pivot")
-        .filter(near)
-        .select("a", F.col("pivot").alias("b"))
+    most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
+    label = bucket_components(
+        buckets,
+        100 * most >= percent * (F.col("n") + F.col("n_2") - most),
+        lambda pairs: _linked(pairs, sets, percent),
+        lambda ids: _rare(ids, sets, percent),
     )
-    links = written(_linked(first, sets, percent).distinct(), "near")
-    label = components(links.unionByName(copies.filter("a <> b")))
-
-    # Members that the pivot of their bucket has not settled.
-    open_rows, pivots = buckets.filter("id <> pivot").select("key", "id", "n"), 16
-    while True:
-        named = (
-            open_rows.join(label, "id", "left")
-            .withColumn("component", F.coalesce("component", "id"))
-        )
-        mixed_keys = (
-            named.groupBy("key")
-            .agg(F.min("component").alias("low"), F.max("component").alias("high"))
-            .filter("low < high")
-            .select("key")
-        )
-        pending = written(named.join(mixed_keys, "key"), "pending")
-        if pending.isEmpty():
-            break
-        ranked = _ranked(pending)
-        heads = ranked.filter(F.col("place") <= pivots)
-        pairs = (
-            ranked.alias("x")
-            .join(
-                heads.select(
-                    "key",
-                    F.col("id").alias("b"),
-                    F.col("n").alias("m"),
-                    F.col("component").alias("other"),
-                    F.col("place").alias("head"),
-                ),
-                "key",
-            )
-            .filter((F.col("head") < F.col("place")) & (F.col("component") != F.col("other")) & near)
-            .select(F.col("id").alias("a"), "b")
-            .distinct()
-        )
-        links = written(links.unionByName(_linked(pairs, sets, percent)).distinct(), "near")
-        label = components(links.unionByName(copies.filter("a <> b")))
-        open_rows = written(ranked.filter(F.col("place") > pivots).select("key", "id", "n"), "open")
-        dropped(pending)
-        pivots *= 2
-
-    found = table.select("doc_id", F.col("n").alias("n_shingles")).join(
-        label.select(F.col("id").alias("doc_id"), "component"), "doc_id", "left"
-    )
-    whole = F.coalesce("component", "doc_id")
+    heads = classes.select("n", "d1", "d2", F.col("id").alias("head"))
+    found = table.join(heads, ["n", "d1", "d2"], "left")
+    found = found.join(label.select(F.col("id").alias("head"), "component"), "head", "left")
+    whole = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "head", "doc_id"))
     return found.select(
         "doc_id",
-        "n_shingles",
+        "tid",
+        F.col("n").alias("n_shingles"),
         whole.alias("component_id"),
         F.coalesce(F.col("doc_id") == whole, F.lit(True)).alias("kept"),
     )
-
-
-def _ranked(pending: DataFrame) -> DataFrame:
-    """Members of every bucket numbered from 1, without a bucket in one task.
-
-    Members fall into cells by a hash of their id; places count within a cell,
-    after the sizes of the cells before it.
-    """
-    from pyspark.sql import Window
-
-    celled = pending.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(64)))
-    counts = celled.groupBy("key", "cell").agg(F.count("*").alias("size"))
-    before = Window.partitionBy("key").orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("key", "cell", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
-    within = F.row_number().over(Window.partitionBy("key", "cell").orderBy("id"))
-    return (
-        celled.withColumn("within", within)
-        .join(offsets, ["key", "cell"])
-        .withColumn("place", F.col("offset") + F.col("within"))
-        .drop("cell", "offset", "within")
-    )
