@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.llm.buckets import bucket_components
+from bellwether.llm.membership import possible
 from bellwether.llm.scratch import bounded_batches, written
 from bellwether.llm.words import hashed, mixed, seed, shingle_hashes, slices, split_words
 
@@ -168,7 +169,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     own = F.lit(0).cast("long").alias("own")
     buckets = written(keyed.join(shared, "key").select("key", "id", "n", own), "buckets")
     wanted = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
-    sets = written(shingle_sets(docs.join(wanted, "doc_id", "left_semi"), k), "sets")
+    near_docs = possible(docs.select("doc_id", "text"), ["doc_id"], wanted)
+    sets = written(shingle_sets(near_docs.join(wanted, "doc_id", "left_semi"), k), "sets")
 
     most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
     label = bucket_components(
