@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.llm.buckets import bucket_components
+from bellwether.llm.membership import impossible, possible
 from bellwether.llm.scratch import written
 
 DISTANCE = 3  # SimHash bits that may differ
@@ -90,9 +91,16 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     met = keyed.join(shared, "key").join(distinct.select("id", "sim", "chars"), "id")
     buckets = written(met.select("key", "id", "sim", "chars"), "buckets")
     wanted = distinct.join(buckets.select("id").distinct(), "id", "left_semi").select("id", "first.*")
+    wanted = written(wanted, "wanted")
+    place = ["doc_id", "tid", "pos"]
     texts = written(
-        lines.select("doc_id", "tid", "pos", "line")
-        .join(wanted, _same(lines, wanted))
+        possible(lines.select(*place, "line"), place, wanted.select(*place))
+        .join(
+            wanted.toDF("id", "of", "of_tid", "of_pos"),
+            F.col("doc_id").eqNullSafe(F.col("of"))
+            & (F.col("tid") == F.col("of_tid"))
+            & (F.col("pos") == F.col("of_pos")),
+        )
         .groupBy("id")
         .agg(F.min("line").alias("line")),
         "texts",
@@ -124,14 +132,6 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     )
 
 
-def _same(lines: DataFrame, wanted: DataFrame) -> Column:
-    return (
-        lines["doc_id"].eqNullSafe(wanted["doc_id"])
-        & (lines["tid"] == wanted["tid"])
-        & (lines["pos"] == wanted["pos"])
-    )
-
-
 def with_lines_removed(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """docs with the redundant lines cut out of text (and n_chars, if there, counted anew).
 
@@ -141,20 +141,28 @@ def with_lines_removed(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     are cut alike, and count as one place of a line; a null doc_id is an id like any other.
     Other columns are kept, whatever their names. An empty table gives no rows.
     """
-    gone = repeated_lines(docs.select("doc_id", "text")).toDF("gone_doc_id_", "gone_tid_", "gone_pos_")
-    same = docs["doc_id"].eqNullSafe(F.col("gone_doc_id_")) & (F.xxhash64(docs["text"]) == F.col("gone_tid_"))
-    parts = F.split(docs["text"], "\n")
-    left = F.filter(parts, lambda x, i: ~F.array_contains(F.col("gone_pos_"), i))
-    text = F.when(F.col("gone_pos_").isNull(), docs["text"]).otherwise(F.array_join(left, "\n"))
-    columns = {c: F.col(f"`{c}`") for c in docs.columns}
+    gone = written(repeated_lines(docs.select("doc_id", "text")), "gone").toDF(*_GONE)
+    tid, keys = F.xxhash64(docs["text"]), ["doc_id", "gone_text_tid_"]
+    rows = docs.withColumn("gone_text_tid_", tid)
+    lost = gone.select(*_GONE[:2])
+    touched, untouched = possible(rows, keys, lost), impossible(rows, keys, lost)
+    same = touched["doc_id"].eqNullSafe(F.col(_GONE[0])) & (touched["gone_text_tid_"] == F.col(_GONE[1]))
+    gone_at = F.col(_GONE[2])
+    left = F.filter(F.split(touched["text"], "\n"), lambda x, i: ~F.array_contains(gone_at, i))
+    text = F.when(gone_at.isNull(), touched["text"]).otherwise(F.array_join(left, "\n"))
+    joined = touched.join(gone, same, "left")
+    if not keep_emptied:
+        joined = joined.filter(gone_at.isNull() | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
+    columns = {c: touched[c] for c in docs.columns}
     columns["text"] = text
     if "n_chars" in columns:
         kind = docs.schema["n_chars"].dataType
-        columns["n_chars"] = F.when(F.col("gone_pos_").isNull(), docs["n_chars"]).otherwise(F.length(text).cast(kind))
-    joined = docs.join(gone, same, "left")
-    if not keep_emptied:
-        joined = joined.filter(F.col("gone_pos_").isNull() | F.coalesce(text.rlike(r"[^\x20\x09-\x0D]"), F.lit(False)))
-    return joined.select(*[value.alias(name) for name, value in columns.items()])
+        columns["n_chars"] = F.when(gone_at.isNull(), touched["n_chars"]).otherwise(F.length(text).cast(kind))
+    cut = joined.select(*[value.alias(name) for name, value in columns.items()])
+    return cut.unionByName(untouched.select(*[untouched[c] for c in docs.columns]))
+
+
+_GONE = ("gone_doc_id_", "gone_tid_", "gone_pos_")
 
 
 def line_report(docs: DataFrame) -> DataFrame:

@@ -212,22 +212,20 @@ def draw(doc_id: Column | str) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id), 1)
 
 
-def with_copies(docs: DataFrame, plan: DataFrame, size: Column) -> DataFrame:
-    """docs (any columns, with doc_id and source) plus mix_source_size, mix_target and mix_copies."""
-    plan = plan.withColumnsRenamed({c: f"mix_{c}" for c in plan.columns})
-    same = docs["source"].eqNullSafe(F.col("mix_source")) & (size == F.col("mix_size"))
-    more = F.when(draw(docs["doc_id"]) <= F.col("mix_mark"), 1).otherwise(0)
-    return docs.join(plan, same).select(
-        *[docs[c] for c in docs.columns], "mix_source_size", "mix_target", (F.col("mix_base") + more).alias("mix_copies")
-    )
+def _copies(docs: DataFrame, plan: DataFrame, size: Column) -> tuple[DataFrame, Column]:
+    """docs (with doc_id and source) joined with its plan, and the copies of a row."""
+    same = docs["source"].eqNullSafe(plan["source"]) & (size == plan["size"])
+    more = F.when(draw(docs["doc_id"]) <= plan["mark"], 1).otherwise(0)
+    return docs.join(plan, same), plan["base"] + more
 
 
 def taken_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns as they are (see mixed_sources)."""
     plan = copy_plan(docs.select("doc_id", "source", word_count("text").alias("size")), weights, cap)
-    counted = with_copies(docs, plan, word_count(docs["text"]))
-    repeated = counted.withColumn("mix_copy", F.explode(F.array_repeat(F.lit(1), F.col("mix_copies").cast("int"))))
-    return repeated.select(*[F.col(f"`{c}`") for c in docs.columns])
+    joined, copies = _copies(docs, plan, word_count(docs["text"]))
+    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    repeated = joined.select(row, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy"))
+    return repeated.select("row.*")
 
 
 def mixed_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
@@ -241,11 +239,12 @@ def mixed_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     """
     sized = docs.select("doc_id", "source", word_count("text").alias("size"))
     plan = copy_plan(sized, weights, cap)
-    return with_copies(sized, plan, sized["size"]).select(
-        "doc_id",
-        "size",
-        F.col("mix_source_size").alias("source_size"),
-        F.col("mix_target").alias("target"),
-        F.col("mix_copies").alias("copies"),
-        (F.col("mix_copies") * F.col("size")).alias("taken"),
+    joined, copies = _copies(sized, plan, sized["size"])
+    return joined.select(
+        sized["doc_id"],
+        sized["size"],
+        plan["source_size"],
+        plan["target"],
+        copies.alias("copies"),
+        (copies * sized["size"]).alias("taken"),
     )

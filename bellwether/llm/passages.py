@@ -11,6 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from bellwether.llm.membership import possible
 from bellwether.llm.scratch import bounded_batches, written
 from bellwether.llm.suffixes import SEPARATOR, repeated_windows
 from bellwether.llm.words import mixed, seed
@@ -281,6 +282,12 @@ _REMOVED = (
 )
 
 
+def _with_rows(rows: DataFrame, found: DataFrame) -> DataFrame:
+    """found(of, of_tid, ...) with the rows(doc_id, tid, text) it is about; others are not moved."""
+    near = possible(rows, ["doc_id", "tid"], found.select("of", "of_tid"))
+    return near.join(found, near["doc_id"].eqNullSafe(F.col("of")) & (near["tid"] == F.col("of_tid")))
+
+
 def repeated_passages(docs: DataFrame) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every row of docs(doc_id, text).
 
@@ -329,8 +336,8 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     )
     wanted = wanted.groupBy("rid").agg(F.collect_list("w").alias("wanted"))
     wanted = wanted.join(table.select("rid", F.col("doc_id").alias("of"), F.col("tid").alias("of_tid")), "rid")
-    same = rows["doc_id"].eqNullSafe(F.col("of")) & (rows["tid"] == F.col("of_tid"))
-    data = rows.join(wanted, same).select("text", "wanted").mapInArrow(
+    wanted = written(wanted.drop("rid"), "wanted", compression="zstd")
+    data = _with_rows(rows, wanted).select("text", "wanted").mapInArrow(
         _cut, "anchor long, key long, part long, parts long, data binary"
     )
     shards = max(1, -(-total // SHARD))
@@ -374,7 +381,7 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     ids = table.select("rid", F.col("doc_id").alias("of"), F.col("tid").alias("of_tid"))
     hit = spans.join(ids, "rid").groupBy("of", "of_tid").agg(F.flatten(F.collect_list("spans")).alias("spans"))
     hit = written(hit, "spans", compression="zstd")
-    cut = rows.join(hit, same).select("doc_id", "text", "spans").mapInArrow(_removed, _REMOVED)
+    cut = _with_rows(rows, hit).select("doc_id", "text", "spans").mapInArrow(_removed, _REMOVED)
     whole_texts = table.join(
         hit, table["doc_id"].eqNullSafe(hit["of"]) & (table["tid"] == hit["of_tid"]), "left_anti"
     ).select(

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from bellwether.llm.language import identify, page_evidence
 from bellwether.llm.line_dedup import with_lines_removed
+from bellwether.llm.membership import impossible, possible
 from bellwether.llm.mixing import taken_documents
 from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.packing import packed_documents
@@ -17,9 +18,16 @@ from bellwether.llm.scratch import written
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
-def _row_of(docs: DataFrame, verdicts: DataFrame) -> Column:
-    """A verdict is about a text of a document; verdicts holds of_id and of_tid."""
-    return docs["doc_id"].eqNullSafe(verdicts["of_id"]) & (F.xxhash64(docs["text"]) == verdicts["of_tid"])
+def _apart(docs: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, DataFrame, Column]:
+    """Rows of docs that no verdict (of_id, of_tid, ...) is about for sure, the others, and what joins those.
+
+    A verdict is about a text of a document. Only rows that may have one are shuffled.
+    """
+    rows, keys = docs.withColumn("of_text_tid", F.xxhash64("text")), ["doc_id", "of_text_tid"]
+    names = verdicts.select("of_id", "of_tid")
+    free, judged = impossible(rows, keys, names), possible(rows, keys, names)
+    same = judged["doc_id"].eqNullSafe(verdicts["of_id"]) & (judged["of_text_tid"] == verdicts["of_tid"])
+    return free.drop("of_text_tid"), judged, same
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +35,9 @@ def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
     found = identify(docs, page_evidence(pages))
     rejected = found.filter("not kept").select(F.col("doc_id").alias("of_id"), F.col("tid").alias("of_tid"))
-    return docs.join(rejected, _row_of(docs, rejected), "left_anti")
+    rejected = written(rejected.distinct(), "rejected")
+    free, judged, same = _apart(docs, rejected)
+    return free.unionByName(judged.join(rejected, same, "left_anti").drop("of_text_tid"))
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -44,12 +54,13 @@ def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows = found.groupBy(F.col("doc_id").alias("of_id"), F.col("tid").alias("of_tid")).agg(
         F.min("kept").alias("of_kept"), F.count("*").alias("of_rows")
     )
-    marked = rows.filter("not of_kept or of_rows > 1")
-    judged = docs.join(marked, _row_of(docs, marked), "left").filter("of_kept is null or of_kept")
+    marked = written(rows.filter("not of_kept or of_rows > 1"), "marked")
+    free, judged, same = _apart(docs, marked)
+    judged = judged.join(marked, same, "left").filter("of_kept is null or of_kept")
     columns = [F.col(f"`{c}`") for c in docs.columns]
     single = judged.filter("of_rows is null or of_rows = 1").select(*columns)
     several = judged.filter("of_rows > 1").dropDuplicates(["of_id", "of_tid"]).select(*columns)
-    return single.unionByName(several)
+    return free.unionByName(single).unionByName(several)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
