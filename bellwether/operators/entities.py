@@ -16,6 +16,7 @@ from bellwether.sources.readers import literal_rows
 from bellwether.operators.matching import (
     best_match,
     containing_pairs,
+    rarest_words,
     rounded,
     similar_pairs,
 )
@@ -265,13 +266,12 @@ def companies_of(tickers: DataFrame, company_dim: DataFrame) -> DataFrame:
     )
 
 
-def _name_keys(names: DataFrame, name: str) -> DataFrame:
-    """Names with their longest word, which any text holding the name holds too."""
-    words = word_tokens(F.col(name))
-    keyed = F.transform(words, lambda w: F.struct((-F.length(w)).alias("n"), w.alias("w")))
-    return names.withColumn("word", F.array_min(keyed)["w"]).filter(
-        F.col("word").isNotNull()
-    )
+def _name_keys(names: DataFrame, name: str, words: DataFrame) -> DataFrame:
+    """Names with the rarest of their words in words(word), which any text holding the name holds too."""
+    each = names.select(
+        name, F.explode(F.array_distinct(word_tokens(F.col(name)))).alias("word")
+    ).distinct()
+    return names.join(rarest_words(each, name, words.select("word")), name)
 
 
 def gazetteer_match(
@@ -285,7 +285,7 @@ def gazetteer_match(
     """
     low = F.lower(F.col(text))
     words = questions.select(key, F.explode(F.array_distinct(word_tokens(F.col(text)))).alias("word"))
-    hits = words.join(_name_keys(known.select(name).distinct(), name), "word").select(key, name)
+    hits = words.join(_name_keys(known.select(name).distinct(), name, words), "word").select(key, name)
     in_text = (
         hits.join(questions.select(key, low.alias("low")), key)
         .filter(F.regexp_like("low", whole_word(F.col(name))))
@@ -393,7 +393,7 @@ def extract_company(
     words = headlines.select(
         key, F.explode(F.array_distinct(word_tokens(F.col(headline)))).alias("word")
     )
-    hits = words.join(_name_keys(names, "spelling"), "word").drop("word")
+    hits = words.join(_name_keys(names, "spelling", words), "word").drop("word")
     placed = hits.join(headlines.select(key, headline), key).select(
         key,
         _place(

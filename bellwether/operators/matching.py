@@ -105,10 +105,18 @@ def _token_set(name: str) -> Column:
     return F.array_distinct(F.split(F.col(name), " "))
 
 
-def _rarest(tokens: Column) -> Column:
-    """Longest token, the alphabetically first of them: the least common by guess."""
-    keyed = F.transform(tokens, lambda t: F.struct((-F.length(t)).alias("n"), t.alias("t")))
-    return F.array_min(keyed)["t"]
+def rarest_words(words: DataFrame, name: str, others: DataFrame) -> DataFrame:
+    """words(name, word) cut to the word of each name that makes the fewest pairs with others(word).
+
+    A word makes as many pairs as names times others hold it; both are counted, so
+    a long word that all names share is no key. A word that no other holds makes
+    none, whatever the name. Ties go to the alphabetically first word.
+    """
+    names = words.groupBy("word").agg(F.count("*").alias("n_names"))
+    held = others.groupBy("word").agg(F.count("*").alias("n_others"))
+    cost = F.col("n_names") * F.coalesce("n_others", F.lit(0))
+    counted = words.join(names.join(held, "word", "left").select("word", cost.alias("cost")), "word")
+    return counted.groupBy(name).agg(F.min(F.struct("cost", "word"))["word"].alias("word"))
 
 
 def containing_pairs(
@@ -116,16 +124,24 @@ def containing_pairs(
 ) -> DataFrame:
     """Pairs where the words of one name are all among the words of the other.
 
-    The longest word of the contained name must be among the other's words, so that
-    word is the join key; both directions are looked up.
+    Every word of the contained name must be among the other's words, so its rarest
+    one is the join key; both directions are looked up.
     """
     one = left.select(F.col(left_col), _token_set(left_col).alias("left_words"))
     two = right.select(F.col(right_col), _token_set(right_col).alias("right_words"))
-    left_inside = one.withColumn("word", _rarest(F.col("left_words"))).join(
-        two.withColumn("word", F.explode("right_words")), "word"
+    left_each = one.select(left_col, F.explode("left_words").alias("word"))
+    right_each = two.select(right_col, F.explode("right_words").alias("word"))
+    left_inside = (
+        rarest_words(left_each, left_col, right_each)
+        .join(right_each, "word")
+        .join(one, left_col)
+        .join(two, right_col)
     )
-    right_inside = one.withColumn("word", F.explode("left_words")).join(
-        two.withColumn("word", _rarest(F.col("right_words"))), "word"
+    right_inside = (
+        rarest_words(right_each, right_col, left_each)
+        .join(left_each, "word")
+        .join(one, left_col)
+        .join(two, right_col)
     )
     contained = F.size(F.array_except("left_words", "right_words")) == 0
     contains = F.size(F.array_except("right_words", "left_words")) == 0

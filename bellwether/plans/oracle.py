@@ -697,6 +697,14 @@ SELECT ticker, trade_date, target, {_rounded("ma_5 ma_10 sentiment")} FROM scale
 SELECT ticker, trade_date, target, {_steps(1)} FROM scaled
 WINDOW t AS (PARTITION BY ticker ORDER BY trade_date)
 QUALIFY row_number() OVER t > {STEPS}""",
+    "direction_split": _with(SCALED) + f"""
+, samples AS (
+  SELECT target, ('0x' || substr(md5(ticker || '|' || strftime(trade_date, '%Y-%m-%d')), 1, 8))::bigint % 10
+    AS cell
+  FROM (SELECT * FROM scaled QUALIFY row_number() OVER (PARTITION BY ticker ORDER BY trade_date) > {STEPS})
+  WHERE NOT is_last)
+SELECT CASE WHEN cell < 8 THEN 'train' ELSE 'test' END AS part, count(*) AS samples,
+  round(avg(target::double), 9) AS rising FROM samples GROUP BY 1""",
     "latest_sequences": _with(SCALED) + f"""
 SELECT * EXCLUDE is_last FROM (
   SELECT ticker, trade_date, is_last, {_steps(0)} FROM scaled

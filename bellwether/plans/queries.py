@@ -551,6 +551,13 @@ def market_indicators_30_days(spark, d):
     )
 
 
+@query
+def direction_split(spark, d):
+    scores = sentiment.company_sentiment(_weighted(spark, d))
+    rows = direction.model_rows(bindings.prices(spark, d), scores)
+    return settle(direction.split_summary(prices.sequences(rows)))
+
+
 @query
 def predict_direction(spark, d):
     scores = sentiment.company_sentiment(_weighted(spark, d))
