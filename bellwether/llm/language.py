@@ -159,8 +159,9 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
         for row in named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(*order).limit(LANGUAGES).collect()
         if row.declared != UNKNOWN
     )
-    chosen = named.filter(F.col("declared").isin(names)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE_ROWS)
-    sample = docs.select("doc_id", "text").join(chosen, "doc_id")
+    chosen = named.filter(F.col("declared").isin(names)).distinct()
+    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "declared").limit(SAMPLE_ROWS)
+    sample = docs.select("doc_id", declared, "text").join(chosen, ["doc_id", "declared"])
     table = np.full((len(names) + 1, BUCKETS), 0.5)
     for row in letter_counts(sample).collect() if names else []:
         table[names.index(row.declared), row.bucket] += row.n

