@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from bellwether.llm.components import components
-from bellwether.llm.scratch import written
+from bellwether.llm.scratch import dropped, written
 
 PIVOTS, GROWTH = 64, 4  # pivots of a bucket in the second round, and how many times more in each later one
 SMALL = 256  # members of a bucket that need no screening
@@ -104,9 +104,12 @@ def bucket_components(
     label = components(verify(pairs))
     rows = compared.select("key", "id", *carried)
 
-    pivots, screened = PIVOTS, screen is None
+    pivots, screened, source = PIVOTS, screen is None, None
     while True:
         pending = written(_undecided(rows, label), "pending")
+        if source is not None:
+            dropped(source)  # the table that rows came from
+        source = pending
         if pending.isEmpty():
             return label
         if not screened:
@@ -142,4 +145,6 @@ def bucket_components(
         links = verify(pairs).select(F.col("component").alias("a"), F.col("b_component").alias("b"))
         label = merged(label, links)
         rows = placed.filter(F.col("place").isNull() | (F.col("place") > pivots)).select("key", "id", *carried)
+        dropped(pending)
+        source = placed
         pivots *= GROWTH

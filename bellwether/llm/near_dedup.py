@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from bellwether.llm.buckets import bucket_components
 from bellwether.llm.membership import possible
-from bellwether.llm.scratch import bounded_batches, written
+from bellwether.llm.scratch import bounded_batches, dropped, written
 from bellwether.llm.words import hashed, mixed, seed, shingle_hashes, slices, split_words
 
 BINS, ROWS = 96, 4  # 24 bands of 4 coordinates
@@ -163,7 +163,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     table = written(sketches(docs, k), "sketches")
     known = table.filter("n > 0 and doc_id is not null")
     classes = known.groupBy("n", "d1", "d2").agg(F.min(F.struct("doc_id", "bands")).alias("least"))
-    classes = classes.select("n", "d1", "d2", F.col("least.doc_id").alias("id"), "least.bands")
+    classes = written(classes.select("n", "d1", "d2", F.col("least.doc_id").alias("id"), "least.bands"), "classes")
     keyed = classes.select("id", "n", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     own = F.lit(0).cast("long").alias("own")
@@ -179,6 +179,8 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
         lambda pairs: _linked(pairs, sets, percent),
         lambda ids: _rare(ids, sets, percent),
     )
+    for done in (buckets, wanted, sets):
+        dropped(done)
     heads = classes.select("n", "d1", "d2", F.col("id").alias("head"))
     found = table.join(heads, ["n", "d1", "d2"], "left")
     found = found.join(label.select(F.col("id").alias("head"), "component"), "head", "left")
