@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from bellwether.llm.buckets import bucket_components
 from bellwether.llm.membership import impossible, possible
-from bellwether.llm.scratch import written
+from bellwether.llm.scratch import dropped, written
 
 DISTANCE = 3  # SimHash bits that may differ
 BLOCKS = (13, 13, 13, 13, 12)  # bits; with 3 differing bits, 2 of the 5 blocks agree
@@ -18,17 +19,21 @@ _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
 
 
-def normalised(line: Column) -> Column:
-    """Lower case, digits as 0, runs of blanks and tabs as one blank, none at the ends."""
-    plain = F.translate(F.lower(line), "123456789\t\v\f\r", "000000000    ")
-    return F.trim(F.regexp_replace(plain, " +", " "))
+def normalised(low: Column) -> Column:
+    """A lower-case line with runs of white space as one blank, none at the ends."""
+    # Most lines hold single blanks only, which a plain search tells faster than a pattern.
+    odd = reduce(lambda a, b: a | b, [low.contains(x) for x in ("  ", "\t", "\r", "\v", "\f")])
+    return F.trim(F.when(odd, F.regexp_replace(low, r"[ \t\x0B\f\r]+", " ")).otherwise(low))
 
 
 def _lines(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, pos, k1, k2, chars, line) of every line with a word, normalised."""
-    found = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.posexplode(F.split("text", "\n")).alias("pos", "raw"))
-    plain = found.select("doc_id", "tid", "pos", normalised(F.col("raw")).alias("line")).filter("line <> ''")
-    return plain.select(
+    # Hash and split come first, so that neither is repeated for every line; the outer
+    # form keeps the optimizer from splitting once more to look for empty arrays.
+    parts = docs.select("doc_id", F.xxhash64("text").alias("tid"), F.split(F.lower("text"), "\n").alias("parts"))
+    found = parts.select("doc_id", "tid", F.posexplode_outer("parts").alias("pos", "raw"))
+    worded = found.filter(F.col("raw").rlike(r"[^ \t\x0B\f\r]"))
+    return worded.select("doc_id", "tid", "pos", normalised(F.col("raw")).alias("line")).select(
         "doc_id",
         "tid",
         "pos",
@@ -40,21 +45,29 @@ def _lines(docs: DataFrame) -> DataFrame:
 
 
 def _simhash(lines: DataFrame) -> DataFrame:
-    """(k1, k2, sim): bit j is set if more than half of the line's words have bit j in their hash.
+    """(doc_id, tid, pos, k1, k2, chars, sim) of every line.
 
-    A sum holds two bits, 32 apart. Repeats of a line scale all its sums alike.
+    Bit j of sim is set if more than half of the line's different words have it in
+    their hash. A sum over the words holds two bits, 32 apart; it is complete in the
+    task that reads the line, so one row per line is shuffled.
     """
-    hashes = lines.select("k1", "k2", F.explode(F.split("line", " ")).alias("word")).select(
-        "k1", "k2", F.xxhash64("word").alias("h")
-    )
+    place = ["doc_id", "tid", "pos", "k1", "k2", "chars"]
+    words = F.explode(F.array_distinct(F.split("line", " "))).alias("word")
+    hashes = lines.select(*place, words).select(*place, F.xxhash64("word").alias("h"))
     sums = [F.sum(F.shiftrightunsigned("h", j).bitwiseAND(F.lit(_PAIR))).alias(f"s{j}") for j in range(32)]
-    counted = hashes.groupBy("k1", "k2").agg(F.count("*").alias("words"), *sums)
-    bits = F.lit(0).cast("long")
-    for j in range(32):
-        for shift, part in ((0, F.col(f"s{j}").bitwiseAND(F.lit(_LOW))), (32, F.shiftrightunsigned(f"s{j}", 32))):
-            one = F.lit(1 << (j + shift) if j + shift < 63 else -(1 << 63)).cast("long")
-            bits = bits.bitwiseOR(F.when(2 * part > F.col("words"), one).otherwise(F.lit(0).cast("long")))
-    return counted.select("k1", "k2", bits.alias("sim"))
+    counted = hashes.groupBy(*place).agg(F.count("*").alias("words"), *sums)
+    # The sign of words - 2 * count is set where more than half have the bit.
+    words, table = F.col("words"), F.array(*[f"s{j}" for j in range(32)])
+
+    def bit(count: Column, place: Column) -> Column:
+        return F.call_function("shiftleft", F.shiftrightunsigned(words - 2 * count, 63), place)
+
+    pairs = F.transform(
+        table,
+        lambda s, j: bit(s.bitwiseAND(F.lit(_LOW)), j).bitwiseOR(bit(F.shiftrightunsigned(s, 32), j + 32)),
+    )
+    sim = F.aggregate(pairs, F.lit(0).cast("long"), lambda a, x: a.bitwiseOR(x))
+    return counted.select(*place, sim.alias("sim"))
 
 
 def _block_keys(sim: str) -> Column:
@@ -70,6 +83,19 @@ def _block_keys(sim: str) -> Column:
     return F.array(*keys)
 
 
+def _edits_in_place(x: str, y: str) -> Column:
+    """Letters that change if the n-th word of x becomes the n-th of y, and words left over come or go."""
+    changed = F.zip_with(
+        F.split(x, " "),
+        F.split(y, " "),
+        lambda a, b: F.when(a == b, 0)
+        .when(a.isNull(), F.length(b) + 1)
+        .when(b.isNull(), F.length(a) + 1)
+        .otherwise(F.greatest(F.length(a), F.length(b))),
+    )
+    return F.aggregate(changed, F.lit(0), lambda total, n: total + n)
+
+
 def repeated_lines(docs: DataFrame) -> DataFrame:
     """(doc_id, tid, removed): positions of the lines of each text that an earlier line makes redundant.
 
@@ -80,12 +106,13 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     """
     lines = written(_lines(docs), "lines", compression="zstd")
     where = F.struct("doc_id", "tid", "pos")
-    firsts = lines.groupBy("k1", "k2").agg(
-        F.min(where).alias("first"), F.count("*").alias("times"), F.max("chars").alias("chars")
-    )
-    distinct = written(
-        firsts.join(_simhash(lines), ["k1", "k2"]).withColumn("id", F.monotonically_increasing_id()), "distinct"
+    firsts = _simhash(lines).groupBy("k1", "k2").agg(
+        F.min(where).alias("first"),
+        F.count("*").alias("times"),
+        F.max("chars").alias("chars"),
+        F.max("sim").alias("sim"),
     )
+    distinct = written(firsts.withColumn("id", F.monotonically_increasing_id()), "distinct")
     keyed = distinct.select("id", F.explode(_block_keys("sim")).alias("key"))
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     met = keyed.join(shared, "key").join(distinct.select("id", "sim", "chars"), "id")
@@ -111,8 +138,11 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
         b = texts.select(F.col("id").alias("b"), F.col("line").alias("y"))
         both = pairs.join(a, "a").join(b, "b")
         most = F.floor(F.greatest(F.length("x"), F.length("y")) * (100 - PERCENT) / 100).cast("int")
-        edits = F.expr("levenshtein(x, y, most)")
-        return both.withColumn("most", most).filter(edits >= 0).select(*pairs.columns)
+        exact = F.expr("levenshtein(x, y, most)") >= 0
+        # Edits in place, word by word, are an upper bound that settles most pairs.
+        return both.withColumn("most", most).filter((_edits_in_place("x", "y") <= F.col("most")) | exact).select(
+            *pairs.columns
+        )
 
     near = (F.bit_count(F.col("sim").bitwiseXOR(F.col("sim_2"))) <= DISTANCE) & (
         100 * F.least("chars", "chars_2") >= PERCENT * F.greatest("chars", "chars_2")
@@ -125,23 +155,27 @@ def repeated_lines(docs: DataFrame) -> DataFrame:
     # Only groups of several lines remove any.
     several = grouped.join(heads.filter("all > 1"), "component").select("k1", "k2", "stays")
     gone = lines.select("doc_id", "tid", "pos", "k1", "k2").join(several, ["k1", "k2"])
-    return (
+    removed = written(
         gone.filter(~where.eqNullSafe(F.col("stays")))
         .groupBy("doc_id", "tid")
-        .agg(F.sort_array(F.collect_set("pos")).alias("removed"))
+        .agg(F.sort_array(F.collect_set("pos")).alias("removed")),
+        "removed",
     )
+    for done in (lines, distinct, buckets, wanted, texts):
+        dropped(done)
+    return removed
 
 
 def with_lines_removed(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
     """docs with the redundant lines cut out of text (and n_chars, if there, counted anew).
 
-    Every row stays, but a text that loses its last line with a word goes if
+    Every row stays, but a text that loses its last such line goes if
     keep_emptied is false: all it said stays elsewhere. Null and empty texts stay
     as they are, lines without a word are never removed. Rows that repeat doc_id and text
     are cut alike, and count as one place of a line; a null doc_id is an id like any other.
     Other columns are kept, whatever their names. An empty table gives no rows.
     """
-    gone = written(repeated_lines(docs.select("doc_id", "text")), "gone").toDF(*_GONE)
+    gone = repeated_lines(docs.select("doc_id", "text")).toDF(*_GONE)
     tid, keys = F.xxhash64(docs["text"]), ["doc_id", "gone_text_tid_"]
     rows = docs.withColumn("gone_text_tid_", tid)
     lost = gone.select(*_GONE[:2])
@@ -166,7 +200,10 @@ _GONE = ("gone_doc_id_", "gone_tid_", "gone_pos_")
 
 
 def line_report(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_lines, n_removed, removed) of every row of docs(doc_id, text): lines with a word, and which go."""
+    """(doc_id, n_lines, n_removed, removed) of every row of docs(doc_id, text).
+
+    n_lines counts the lines with a word, removed has the positions of those that go.
+    """
     gone = repeated_lines(docs).toDF("gone_doc_id", "gone_tid", "gone")
     worded = F.size(F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")))
     rows = docs.select(
