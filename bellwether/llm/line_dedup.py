@@ -13,7 +13,8 @@ from bellwether.llm.membership import impossible, possible
 from bellwether.llm.scratch import dropped, written
 
 DISTANCE = 3  # SimHash bits that may differ
-BLOCKS = (13, 13, 13, 13, 12)  # bits; with 3 differing bits, 2 of the 5 blocks agree
+BLOCKS = (11, 11, 11, 11, 10, 10)  # bits; with 3 differing bits, 3 of the 6 blocks agree
+AGREE = len(BLOCKS) - DISTANCE
 PERCENT = 80  # edit similarity of linked lines, at least
 _PAIR = 0x0000000100000001
 _LOW = 0xFFFFFFFF
@@ -71,15 +72,17 @@ def _simhash(lines: DataFrame) -> DataFrame:
 
 
 def _block_keys(sim: str) -> Column:
-    """Array of keys, one per pair of blocks: the pair's number and the bits of both blocks."""
+    """Array of keys, one per choice of AGREE blocks: the choice's number and the bits of its blocks."""
     parts, start = [], 0
     for width in BLOCKS:
         parts.append((F.shiftrightunsigned(sim, start).bitwiseAND(F.lit((1 << width) - 1)), width))
         start += width
     keys = []
-    for number, ((a, _), (b, width)) in enumerate(combinations(parts, 2)):
-        joined = F.shiftleft(a, width).bitwiseOR(b)
-        keys.append(F.shiftleft(F.lit(number).cast("long"), 32).bitwiseOR(joined))
+    for number, chosen in enumerate(combinations(parts, AGREE)):
+        joined = F.lit(number).cast("long")
+        for bits, width in chosen:
+            joined = F.shiftleft(joined, width).bitwiseOR(bits)
+        keys.append(joined)
     return F.array(*keys)
 
 

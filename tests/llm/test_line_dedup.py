@@ -7,7 +7,7 @@ import pytest
 import xxhash
 
 from bellwether.llm import buckets
-from bellwether.llm.line_dedup import BLOCKS, DISTANCE, PERCENT, line_report, with_lines_removed
+from bellwether.llm.line_dedup import AGREE, BLOCKS, DISTANCE, PERCENT, line_report, with_lines_removed
 
 SCHEMA = "doc_id long, text string, source string, n_chars int, key string, removed string"
 
@@ -115,7 +115,7 @@ def test_against_all_pairs(spark, monkeypatch, pivots):
 
 
 def test_blocks_hold_all_bits():
-    assert sum(BLOCKS) == 64 and len(BLOCKS) - DISTANCE == 2
+    assert sum(BLOCKS) == 64 and len(BLOCKS) - DISTANCE == AGREE
 
 
 def test_empty(spark):
