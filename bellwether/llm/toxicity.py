@@ -258,12 +258,14 @@ def fit(docs: DataFrame, labels: DataFrame, fairness: float = FAIRNESS) -> tuple
         .groupBy("doc_id", "toxic")
         .agg(F.sort_array(F.collect_list(F.when(F.col("known") == 1, F.col("feature")))).alias("features"))
         .orderBy("doc_id", "features")
-        .collect()
+        .toArrow()  # a bounded sample; no Python object per feature on the driver
+        .combine_chunks()
     )
-    toxic = np.array([row.toxic for row in matrix], float)
-    lengths = [len(row.features) for row in matrix]
-    index = np.repeat(np.arange(len(matrix)), lengths)
-    columns = np.searchsorted(features, np.array([f for row in matrix for f in row.features], np.int64))
+    toxic = matrix.column("toxic").to_numpy().astype(float)
+    lists = matrix.column("features").combine_chunks()
+    index = np.repeat(np.arange(len(toxic)), lists.value_lengths().to_numpy())
+    columns = np.searchsorted(features, lists.flatten().to_numpy())
+    del matrix, lists
     weight = np.where(toxic == 1, sizes[1] / max(1, toxic.sum()), sizes[0] / max(1, (1 - toxic).sum()))
     weight *= len(toxic) / weight.sum()
     swaps = [(r.plus, r.minus, r.times) for r in counterfactuals(sample, features).orderBy("plus", "minus").collect()]
