@@ -92,8 +92,9 @@ def bucket_components(
     links that could join components are found; only pairs within one are left out.
     For the members of buckets with more than SMALL undecided rows, screen may name all
     pairs with some property and tell what bounds the others: it gets (id) and
-    returns (id, ..., alone) and (a, b). The pairs are verified; all other pairs meet
-    with the new values of the carried columns, and ids that are alone leave.
+    returns (id, ..., alone) and (a, b). The pairs are verified; all other pairs meet in
+    these buckets with the new values of the carried columns, and ids that are alone
+    leave them. Smaller buckets stay as they are.
     """
     carried = [c for c in buckets.columns if c not in ("key", "id")]
     row = F.struct("id", *carried)
@@ -117,9 +118,11 @@ def bucket_components(
             told, special = screen(pending.filter(F.col("size") > SMALL).select("id").distinct())
             news = [c for c in told.columns if c in carried]
             told = told.withColumnsRenamed({c: f"new_{c}" for c in news})
-            sharper = pending.join(told, "id", "left").filter("alone is null or not alone")
+            # A smaller key can hold ids that were not screened, of which nothing is told.
+            large = F.col("size") > SMALL
+            sharper = pending.join(told, "id", "left").filter(~large | F.col("alone").isNull() | ~F.col("alone"))
             for c in news:
-                sharper = sharper.withColumn(c, F.coalesce(f"new_{c}", c))
+                sharper = sharper.withColumn(c, F.when(large, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)))
             rows = sharper.select("key", "id", *carried)
             label = merged(label, _between(verify(special), label))
             continue

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from bellwether.llm import buckets, near_dedup
@@ -106,6 +107,39 @@ def test_against_all_pairs(spark, monkeypatch, k, percent, small):
     assert len(got) == len(rows)
 
 
+def test_screen_leaves_small_buckets(spark, monkeypatch):
+    """Near pairs of which one member lies in a large bucket of a template, the other in small ones only."""
+    monkeypatch.setattr(buckets, "SMALL", 8)
+    monkeypatch.setattr(near_dedup, "RARE", 4)
+    template = range(20)
+    sets, keys = {}, {0: []}
+    for g in range(12):
+        first, x, y = 3 * g, 3 * g + 1, 3 * g + 2
+        own = range(100 * g + 100, 100 * g + 110)
+        sets[first] = [*template, *range(100 * g + 150, 100 * g + 160)]
+        sets[x], sets[y] = [*template, *own, -g - 1], [*template, *own]
+        # The smallest of the small bucket is near to neither.
+        keys[g + 1], keys[0] = [first, x, y], [*keys[0], y]
+    want = set()
+    for ids in keys.values():
+        for a in ids:
+            for b in ids:
+                both = len({*sets[a]} & {*sets[b]})
+                if a < b and 100 * both >= 80 * len({*sets[a]} | {*sets[b]}):
+                    want.add((b, a))
+    assert len(want) == 12
+    items = spark.createDataFrame(list(sets.items()), "id long, items array<long>").cache()
+    rows = [(key, i, len(sets[i]), 0) for key, ids in keys.items() for i in ids]
+    most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
+    label = buckets.bucket_components(
+        spark.createDataFrame(rows, "key long, id long, n long, own long"),
+        100 * most >= 80 * (F.col("n") + F.col("n_2") - most),
+        lambda pairs: near_dedup._linked(pairs, items, 80),
+        lambda ids: near_dedup._rare(ids, items, 80),
+    )
+    assert {(r.id, r.component) for r in label.collect()} == want
+
+
 def test_nulls_repeats_and_empty(spark):
     text = "a b c d e f g h"
     rows = [(None, text), (5, text), (5, text), (4, text), (9, None), (8, "")]
