@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from bellwether.llm.scratch import bounded_batches, written
 from bellwether.llm.words import slices
 
-SAMPLE_ROWS = 20_000  # declared texts that the letter model reads, at most
-LANGUAGES = 64  # most frequent declared languages that are told apart
+SAMPLE_ROWS = 20_000  # declared documents of each language that the letter model reads, about, at most
 BUCKETS = 1 << 15  # hashed letter triples
 TEXT_GRAMS = 100  # a text counts at most like so many independent triples
 OWN_WEIGHT = 20.0  # documents of the parent that a host's own counts are smoothed with
@@ -113,8 +112,11 @@ def _parent(host: Column) -> Column:
 
 def _counts(rows: DataFrame, key: str, languages: int) -> DataFrame:
     """(key, n): how often each language was the best by text, per value of key."""
-    each = [F.sum(F.when(F.col("best") == i, F.col("times")).otherwise(0)).cast("double") for i in range(languages)]
-    return rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.array(*each).alias("n"))
+    each = rows.filter(F.col(key).isNotNull()).groupBy(key, F.col("best").cast("int").alias("best"))
+    found = each.agg(F.sum("times").cast("double").alias("n")).groupBy(key)
+    found = found.agg(F.map_from_entries(F.collect_list(F.struct("best", "n"))).alias("found"))
+    places = F.sequence(F.lit(0), F.lit(languages - 1))
+    return found.select(key, F.transform(places, lambda i: F.coalesce(F.col("found")[i], F.lit(0.0))).alias("n"))
 
 
 def _smoothed(own: Column, parent: Column) -> Column:
@@ -133,8 +135,10 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     triples at most), the chance of the declared languages and of the address
     suffix given a language, and the prior of the host, smoothed with that of its
     parent domain and of all documents. These tables are counts of the best
-    languages by text, grouped over all rows. The letter model reads a bounded
-    sample of declared texts, the ones with the smallest hash of doc_id.
+    languages by text, grouped over all rows. The letter model reads a sample of
+    each declared language by hash of doc_id: all documents of up to SAMPLE_ROWS,
+    about so many of more. Every declared language whose texts hold a letter triple is
+    told apart, at 256 KB of driver memory each; one without any is no class.
 
     "und" is a language of its own under which all triples are equally likely.
     kept is false for it, for a posterior under MIN_POSTERIOR and for a text without
@@ -152,19 +156,18 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     else:
         items = items.withColumns({"markup": F.lit(None).cast("string"), "page_host": F.lit(None).cast("string")})
 
-    named = docs.select("doc_id", declared).filter("declared is not null and doc_id is not null")
-    order = [F.desc("n"), F.col("declared")]
-    names = sorted(
-        row.declared
-        for row in named.groupBy("declared").agg(F.count("*").alias("n")).orderBy(*order).limit(LANGUAGES).collect()
-        if row.declared != UNKNOWN
-    )
-    chosen = named.filter(F.col("declared").isin(names)).distinct()
-    chosen = chosen.orderBy(F.xxhash64("doc_id"), "doc_id", "declared").limit(SAMPLE_ROWS)
-    sample = docs.select("doc_id", declared, "text").join(chosen, ["doc_id", "declared"])
+    named = docs.select("doc_id", declared, "text", letters).filter("letters and doc_id is not null")
+    named = named.filter((F.col("declared") != UNKNOWN) & F.col("declared").isNotNull())
+    each = named.select("doc_id", "declared").distinct().groupBy("declared").agg(F.count("*").alias("n"))
+    parts = each.select(F.col("declared").alias("of"), (F.lit(float(SAMPLE_ROWS << 30)) / F.col("n")).alias("part"))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part")
+    sample = named.join(parts, F.col("declared") == F.col("of")).filter(drawn)
+    counted = letter_counts(sample).toArrow().combine_chunks()
+    names = sorted(pc.unique(counted.column("declared")).to_pylist())
     table = np.full((len(names) + 1, BUCKETS), 0.5)
-    for row in letter_counts(sample).collect() if names else []:
-        table[names.index(row.declared), row.bucket] += row.n
+    if names:
+        rows = pc.index_in(counted.column("declared"), pa.array(names, counted.column("declared").type))
+        table[rows.to_numpy(), counted.column("bucket").to_numpy()] += counted.column("n").to_numpy()
     table[-1] = 1.0
     table = np.log(table / table.sum(axis=1, keepdims=True))
     names.append(UNKNOWN)
@@ -197,9 +200,8 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     for key in ("declared", "markup", "suffix"):
         kinds = _counts(seen, key, size)
         values = kinds.count() + 1
-        chance = F.array(
-            *[F.log((F.col("n")[i] + 1) / F.lit(float(everyone.get(i, 0) + values))) for i in range(size)]
-        )
+        totals = F.array(*[F.lit(float(everyone.get(i, 0) + values)) for i in range(size)])
+        chance = F.zip_with("n", totals, lambda n, t: F.log((n + 1) / t))
         joined = joined.join(kinds.select(key, chance.alias(f"by_{key}")), key, "left")
         logs.append(F.coalesce(f"by_{key}", F.array(*[F.lit(0.0)] * size)))
     score = reduce(lambda a, b: F.zip_with(a, b, lambda x, y: x + y), logs)

@@ -115,6 +115,27 @@ def test_against_plain_sums(spark):
     assert identify(docs.limit(0), evidence).collect() == []
 
 
+def test_rare_and_many_languages(spark, monkeypatch):
+    """Each of 70 languages has its share of the sample, and the unknown one keeps its texts."""
+    monkeypatch.setattr(language, "SAMPLE_ROWS", 40)
+    rng = random.Random(8)
+
+    def own(k, n):
+        letters = [chr(0x4E00 + 40 * k + j) for j in range(8)]
+        return " ".join("".join(rng.choices(letters, k=4)) for _ in range(n))
+
+    rows = [(i, prose(rng, "aa", 40), "aa", None) for i in range(600)]
+    rows += [(1000 + k, own(k, 60), f"l{k:02}", None) for k in range(69)]
+    rows += [(2000, own(200, 60), None, None), (2001, "7", "zz", None), (2002, "", "zz", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    got = {r.doc_id: r for r in identify(docs).collect()}
+    assert len(got) == len(rows)
+    for i, _, lang, _ in rows[:-3]:
+        assert got[i].language == lang and got[i].kept, got[i]
+    assert got[2000].language == "und"
+    assert not any(got[i].kept for i in (2000, 2001, 2002))
+
+
 def test_nothing_declared(spark):
     docs = spark.createDataFrame([(1, "some text", None, None)], "doc_id long, text string, lang string, source string")
     got = identify(docs).collect()
