@@ -56,15 +56,17 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
     line_codes = coded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
     line_words = pc.count_substring_regex(coded.dictionary, r"[^\x20\x09-\x0D]+").to_numpy(zero_copy_only=False)
     keys = hashed(normalised_lines(coded.dictionary))
-    rows: list[list] = [[], [], [], [], []]
+    rows: list[list] = [[], [], [], [], [], []]
     for i in range(len(texts)):
         own = line_codes[edges[i] : edges[i + 1]]
-        own = own[line_words[own] > 0]
+        worded = np.flatnonzero(line_words[own] > 0)
+        own = own[worded]
         rows[0].append(len(own) - len(np.unique(own)))
         rows[1].append(repeated_words(codes[starts[i] : starts[i + 1]]))
         lines, place = np.unique(keys[own], return_inverse=True)
         rows[2].append(lines.view(np.int64))
         rows[3].append(np.bincount(place, weights=line_words[own], minlength=len(lines)).astype(np.int64))
+        rows[5].append(np.split(worded[np.argsort(place, kind="stable")], np.cumsum(np.bincount(place))[:-1]))
         rows[4].append(int(mixed(keys[own] + seed(3)).sum(dtype=np.uint64) >> np.uint64(1)))
     long_list = pa.list_(pa.int64())
     return pa.RecordBatch.from_arrays(
@@ -78,7 +80,9 @@ def _features(batch: pa.RecordBatch) -> pa.RecordBatch:
             pa.array(rows[1], pa.int64()),
             pa.array(rows[2], long_list),
             pa.array(rows[3], long_list),
+            pa.array(rows[5], pa.list_(pa.list_(pa.int32()))),
             pa.array(rows[4], pa.int64()),
+            batch.column("tid"),
         ],
         list(_SCHEMA),
     )
@@ -94,27 +98,30 @@ _SCHEMA = {
     "n_repeat_words": "long",
     "lines": "array<long>",
     "line_words": "array<long>",
+    "line_places": "array<array<int>>",
     "content": "long",
+    "tid": "long",
 }
 
 
-def quality(docs: DataFrame) -> DataFrame:
-    """Figures and verdict of every row of docs(doc_id, text, source).
+_FIGURES = (
+    "doc_id",
+    "n_words",
+    "word_chars",
+    "n_symbols",
+    "n_dup_lines",
+    "n_repeat_words",
+    "n_common_words",
+    "base_failed",
+    "kept",
+)
 
-    n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
-    with a word that equal an earlier one) and n_repeat_words (words in
-    three-word windows found twice) describe the whole text; base_failed is
-    fewer than 50 words or more than half of them repeated.
 
-    Lines are normalised and hashed. A line is common on a host (the source)
-    if more than COMMON_DOCUMENTS documents and more than COMMON_SHARE of the host's
-    documents of different lines hold it; copies of one document count once.
-    n_common_words are the words on such lines, and a document with more than half
-    of its words there is depleted. kept is false if base_failed or depleted.
+def judged(docs: DataFrame) -> DataFrame:
+    """Figures and verdict of every row of docs(doc_id, text, source), plus tid, source and cut.
 
-    Null and empty texts have no words and fail; a null source is a host; a null
-    or repeated doc_id is returned as it is. An empty table gives no rows; other
-    columns are ignored.
+    tid is a hash of the text, cut has the positions (from 0, between line feeds) of
+    its lines that are common on its host. The figures are those of quality().
     """
     bounded_batches(docs.sparkSession)
 
@@ -123,7 +130,7 @@ def quality(docs: DataFrame) -> DataFrame:
             for part in slices(batch, "text"):
                 yield _features(part)
 
-    found = docs.select("doc_id", "text", "source").mapInArrow(
+    found = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("tid")).mapInArrow(
         run, ", ".join(f"{name} {kind}" for name, kind in _SCHEMA.items())
     )
     table = written(found.withColumn("row", F.monotonically_increasing_id()), "features")
@@ -145,34 +152,75 @@ def quality(docs: DataFrame) -> DataFrame:
         .filter(F.col("times") > limit)
         .select(F.col("l.source").alias("host"), F.col("line").alias("common"))
     )
-    zipped = table.select("source", "row", F.inline(F.arrays_zip("lines", "line_words")))
+    zipped = table.select("source", "row", F.inline(F.arrays_zip("lines", "line_words", "line_places")))
     removed = (
         zipped.join(common, F.col("source").eqNullSafe(F.col("host")) & (F.col("lines") == F.col("common")))
         .groupBy("row")
-        .agg(F.sum("line_words").alias("removed"))
+        .agg(
+            F.sum("line_words").alias("removed"),
+            F.sort_array(F.flatten(F.collect_list("line_places"))).alias("cut"),
+        )
     )
     n_common = F.coalesce("removed", F.lit(0)).cast("long")
     base_failed = (F.col("n_words") < MIN_WORDS) | (
         100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
     )
     return (
-        table.drop("lines", "line_words", "content")
+        table.drop("lines", "line_words", "line_places", "content")
         .join(removed, "row", "left")
         .withColumns({"n_common_words": n_common, "base_failed": base_failed})
+        .withColumn("cut", F.coalesce("cut", F.array().cast("array<int>")))
         .withColumn(
             "kept",
             ~F.col("base_failed")
             & (100 * F.col("n_common_words") <= MAX_REMOVED_PERCENT * F.col("n_words")),
         )
-        .select(
-            "doc_id",
-            "n_words",
-            "word_chars",
-            "n_symbols",
-            "n_dup_lines",
-            "n_repeat_words",
-            "n_common_words",
-            "base_failed",
-            "kept",
-        )
+        .select(*_FIGURES, "tid", "source", "cut")
     )
+
+
+def quality(docs: DataFrame) -> DataFrame:
+    """Figures and verdict of every row of docs(doc_id, text, source).
+
+    n_words, word_chars (code points in words), n_symbols, n_dup_lines (lines
+    with a word that equal an earlier one) and n_repeat_words (words in
+    three-word windows found twice) describe the whole text; base_failed is
+    fewer than 50 words or more than half of them repeated.
+
+    Lines are normalised and hashed. A line is common on a host (the source)
+    if more than COMMON_DOCUMENTS documents and more than COMMON_SHARE of the host's
+    documents of different lines hold it; copies of one document count once.
+    n_common_words are the words on such lines, and a document with more than half
+    of its words there is depleted. kept is false if base_failed or depleted.
+    with_common_lines_removed() gives the kept documents without these lines.
+
+    Null and empty texts have no words and fail; a null source is a host; a null
+    or repeated doc_id is returned as it is. An empty table gives no rows; other
+    columns are ignored.
+    """
+    return judged(docs).select(*_FIGURES)
+
+
+_VERDICT = ("quality_doc_id_", "quality_tid_", "quality_source_", "quality_cut_")
+
+
+def with_common_lines_removed(docs: DataFrame) -> DataFrame:
+    """The kept rows of docs with the lines that are common on their host cut out of text.
+
+    n_chars, if there, is counted anew where lines went. Rows that repeat doc_id, text
+    and source all stay. Other columns are kept, whatever their names.
+    """
+    kept = judged(docs).filter("kept").select("doc_id", "tid", "source", "cut").toDF(*_VERDICT)
+    # Rows of equal doc_id, text and source have equal verdicts.
+    verdicts = kept.groupBy(*_VERDICT[:3]).agg(F.first(_VERDICT[3]).alias(_VERDICT[3]))
+    of_id, of_tid, of_source, cut = (F.col(c) for c in _VERDICT)
+    same = docs["doc_id"].eqNullSafe(of_id) & docs["source"].eqNullSafe(of_source)
+    joined = docs.join(verdicts, same & (F.xxhash64(docs["text"]) == of_tid))
+    left = F.filter(F.split(docs["text"], "\n", -1), lambda x, i: ~F.array_contains(cut, i))
+    text = F.when(F.size(cut) == 0, docs["text"]).otherwise(F.array_join(left, "\n"))
+    columns = {c: docs[c] for c in docs.columns}
+    columns["text"] = text
+    if "n_chars" in columns:
+        kind = docs.schema["n_chars"].dataType
+        columns["n_chars"] = F.when(F.size(cut) == 0, docs["n_chars"]).otherwise(F.length(text).cast(kind))
+    return joined.select(*[value.alias(name) for name, value in columns.items()])

@@ -4,7 +4,7 @@ import random
 
 import numpy as np
 
-from bellwether.llm.quality import quality, repeated_words
+from bellwether.llm.quality import quality, repeated_words, with_common_lines_removed
 
 SCHEMA = "doc_id long, text string, source string, kept string, row long, lines string"
 
@@ -51,3 +51,29 @@ def test_edges(spark):
     assert all(got[40 + i][0].kept and got[40 + i][0].n_common_words == 0 for i in range(30))
     assert got[80][0].n_common_words == 0 and got[80][0].kept and got[None][0].kept
     assert quality(docs.limit(0)).collect() == []
+
+
+def test_common_lines_are_cut(spark):
+    """Kept documents lose the lines of the host's boilerplate, in any case, number and place."""
+    rng = random.Random(4)
+
+    def prose(n):
+        return " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+
+    rows, want = [], []
+    for i in range(12):
+        body = [prose(40), "", prose(40)]
+        cut = [f"Page {100 + i} of 12", *body, "", "  all RIGHTS  reserved", f"page {200 + i} OF 12"]
+        rows.append((i, "\n".join(cut), "h", -1))
+        kept = "\n".join([*body, ""])
+        want.append((i, kept, "h", len(kept)))
+    rows += [(20, "Page 101 of 12\n" + prose(60), "other", -1), (None, prose(60), None, -1), (21, "all rights reserved", "h", -1)]
+    depleted = " ".join(f"common{j}" for j in range(60))
+    rows += [(30 + i, f"{depleted}\n{prose(20)}", "g", -1) for i in range(9)]
+    rows += [rows[0], (40, None, "h", -1)]
+    want += [rows[12], rows[13], want[0]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars int").repartition(4)
+    got = with_common_lines_removed(docs)
+    assert got.columns == docs.columns
+    assert sorted(map(tuple, got.collect()), key=str) == sorted(want, key=str)
+    assert with_common_lines_removed(docs.limit(0)).collect() == []
