@@ -114,6 +114,35 @@ def test_against_all_pairs(spark, monkeypatch, pivots):
     assert {i for i, _ in rows} - filled == emptied - {9}
 
 
+# Percent of one-word edits of similarity 0.8 or more to be found, by words of the line.
+RECALL = {(10, 19): 40, (20, 29): 65, (30, 59): 80, (60, 120): 90}
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    rng = random.Random(8)
+    vocabulary = ["".join(rng.choices("abcdefghijklmnoprstuvw", k=rng.randrange(2, 10))) for _ in range(3000)]
+    rows, of_class = [], {}
+    for span in RECALL:
+        for _ in range(80):
+            w = rng.choices(vocabulary, k=rng.randint(*span))
+            line, i = " ".join(w), rng.randrange(len(w))
+            w[i] = rng.choice((rng.choice(vocabulary), w[i][:-1] + "z"))
+            edited = " ".join(w)
+            most = max(len(line), len(edited)) * (100 - PERCENT) // 100
+            if edited != line and max(len(w[i]), len(line.split(" ")[i])) <= most:
+                of_class[len(rows) + 1] = span
+                rows += [(len(rows), line), (len(rows) + 1, edited)]
+    docs = spark.createDataFrame([(i, t, "s", 1, "k", "r") for i, t in rows], SCHEMA)
+    found = {r.doc_id for r in line_report(docs).collect() if r.n_removed}
+    assert found <= of_class.keys()
+    recall = {}
+    for span in RECALL:
+        ids = [i for i, c in of_class.items() if c == span]
+        recall[span] = 100 * sum(i in found for i in ids) / len(ids)
+    print(recall)
+    assert all(recall[span] >= least for span, least in RECALL.items()), recall
+
+
 def test_blocks_hold_all_bits():
     assert sum(BLOCKS) == 64 and len(BLOCKS) - DISTANCE == AGREE
 
