@@ -14,6 +14,7 @@ from bellwether.llm.mixing import mixed_sources
 from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.packing import packed_documents
 from bellwether.llm.passages import repeated_passages
+from bellwether.llm.periodic_runs import periodic_runs, run_report, with_repeats
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_files import checksums, token_files, write_tokens
@@ -80,6 +81,10 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, F.col("vec_id") % 50 == 0)
 
 
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_report(periodic_runs(with_repeats(_table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {
     "op1_minhash_near_dedup": op1_minhash_near_dedup,
     "op2_line_dedup": op2_line_dedup,
@@ -91,4 +96,5 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
+    "op13_periodic_runs": op13_periodic_runs,
 }

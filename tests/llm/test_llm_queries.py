@@ -20,6 +20,6 @@ def test_query(spark, name):
 
 def test_registry():
     numbers = {name.split("_")[0] for name in QUERIES}
-    assert numbers == {f"op{n}" for n in range(1, 11)} and len(QUERIES) == 10
+    assert numbers == {f"op{n}" for n in range(1, 14)} and len(QUERIES) == 13
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
     assert set(ORACLE) <= set(entry.oracle_sql()) and set(ORACLE) <= set(QUERIES)
