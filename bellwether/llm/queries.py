@@ -17,6 +17,7 @@ from bellwether.llm.passages import repeated_passages
 from bellwether.llm.periodic_runs import periodic_runs, run_report, with_repeats
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
+from bellwether.llm.token_alignment import aligned_documents, pair_counts, scores
 from bellwether.llm.token_files import checksums, token_files, write_tokens
 from bellwether.llm.toxicity import toxicity
 
@@ -81,6 +82,20 @@ def op10_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest(rows, F.col("vec_id") % 50 == 0)
 
 
+def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # Texts without tokens have an empty column in place of a digest.
+    digest = F.when(F.col("n_a") > 0, F.sha2(F.col("groups").cast("binary"), 256)).otherwise("")
+    documents, index = aligned_documents(
+        _table(spark, sf_dir, "documents"),
+        tokenizer_path("byte_bpe_50k.json"),
+        tokenizer_path("piece_bpe_32k.model"),
+        {"groups_sha256": digest},
+    )
+    found = scores(documents, index, pair_counts(index))
+    figures = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
+    return found.select("doc_id", *figures, "groups_sha256")
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(with_repeats(_table(spark, sf_dir, "documents"))))
 
@@ -96,5 +111,6 @@ QUERIES = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
+    "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
     "op13_periodic_runs": op13_periodic_runs,
 }
