@@ -15,6 +15,7 @@ from bellwether.llm.near_dedup import near_duplicates
 from bellwether.llm.packing import packed_documents
 from bellwether.llm.passages import repeated_passages
 from bellwether.llm.periodic_runs import periodic_runs, run_report, with_repeats
+from bellwether.llm.personal_data import personal_data, span_report
 from bellwether.llm.quality import quality
 from bellwether.llm.scratch import new_path
 from bellwether.llm.token_alignment import aligned_documents, pair_counts, scores
@@ -96,6 +97,10 @@ def op11_cross_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFram
     return found.select("doc_id", *figures, "groups_sha256")
 
 
+def op12_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return span_report(personal_data(_table(spark, sf_dir, "documents")))
+
+
 def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_report(periodic_runs(with_repeats(_table(spark, sf_dir, "documents"))))
 
@@ -112,5 +117,6 @@ QUERIES = {
     "op9_token_files": op9_token_files,
     "op10_exact_top_k": op10_exact_top_k,
     "op11_cross_tokenizer_alignment": op11_cross_tokenizer_alignment,
+    "op12_personal_data": op12_personal_data,
     "op13_periodic_runs": op13_periodic_runs,
 }
