@@ -92,6 +92,27 @@ def latest_sequences(
     )
 
 
+def known_and_latest(
+    scaled: DataFrame, columns: list[str] = FEATURES, steps: int = STEPS
+) -> DataFrame:
+    """sequences() and latest_sequences() in one pass, told apart by known."""
+    cell = F.struct(*columns)
+    windows = {
+        "before": F.collect_list(cell).over(_by_date().rowsBetween(-steps, -1)),
+        "upto": F.collect_list(cell).over(_by_date().rowsBetween(-(steps - 1), 0)),
+    }
+    cases = F.array(
+        F.struct(F.lit(True).alias("known"), F.col("before").alias("steps")),
+        F.struct(F.lit(False).alias("known"), F.col("upto").alias("steps")),
+    )
+    whole = F.filter(cases, lambda c: (F.size(c["steps"]) == steps) & (c["known"] | F.col("is_last")))
+    return (
+        scaled.withColumns(windows)
+        .select("ticker", "trade_date", "target", "is_last", F.explode(whole).alias("case"))
+        .select("ticker", "trade_date", "target", "is_last", "case.known", "case.steps")
+    )
+
+
 def _newest_days(prices: DataFrame, days: int) -> DataFrame:
     """The newest `days` rows of each ticker; ranks are limited before the shuffle."""
     newest = Window.partitionBy("ticker").orderBy(F.desc("trade_date"))

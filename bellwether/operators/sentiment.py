@@ -209,21 +209,39 @@ def lexicon_score(text: Column, lexicon: dict[str, float] | Column) -> Column:
     return F.round(F.coalesce(total, F.lit(0.0)), 9)
 
 
+def word_sums(words: DataFrame, keys: list[str], weights: DataFrame, word: str, sums: list[str]) -> DataFrame:
+    """Sums of the weights of the words of each key, 0 where none has any; one row per key.
+
+    words has a row for each word of a key, and one with a null word for a key without any. The
+    weight table is joined by its size, the sums start in the task that reads the words.
+    """
+    met = words.join(weights, word, "left")
+    return met.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+
+
+def lexicon_scores(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
+    """(key, lexicon_score) of every text by a table (keyword, weight); each occurrence counts."""
+    words = texts.select(key, F.explode_outer(word_tokens(F.col(text))).alias("keyword"))
+    sums = word_sums(words, [key], lexicon.select("keyword", "weight"), "keyword", ["weight"])
+    return sums.select(key, F.round("weight", 9).alias("lexicon_score"))
+
+
+def graded(score: Column) -> tuple[Column, Column]:
+    """Label by the sign of a score, and |s| / (1 + |s|) as confidence."""
+    label = F.when(score > 0, F.lit("positive")).when(score < 0, F.lit("negative")).otherwise(F.lit("neutral"))
+    return label, F.abs(score) / (F.abs(score) + 1)
+
+
 def lexicon_scorer(lexicon: dict[str, float] | Column) -> Callable[[Column], Column]:
     """Scorer of a text: label by the sign of the score, |s| / (1 + |s|) confidence."""
 
-    def graded(score: Column) -> Column:
-        size = F.abs(score)
-        label = (
-            F.when(score > 0, F.lit("positive"))
-            .when(score < 0, F.lit("negative"))
-            .otherwise(F.lit("neutral"))
-        )
-        return F.struct(label.alias("sentiment"), (size / (size + 1)).alias("confidence"))
+    def both(score: Column) -> Column:
+        label, confidence = graded(score)
+        return F.struct(label.alias("sentiment"), confidence.alias("confidence"))
 
     def scorer(text: Column) -> Column:
         # One-element transform: the score is computed once per row.
-        return F.get(F.transform(F.array(lexicon_score(text, lexicon)), graded), 0)
+        return F.get(F.transform(F.array(lexicon_score(text, lexicon)), both), 0)
 
     return scorer
 

@@ -585,6 +585,10 @@ SELECT event_id, CASE event_type WHEN 'purchase' THEN 1.0 WHEN 'signup' THEN 0.5
     "sentiment_lexicon": _with(NEWS, LEXICON, _lexicon("headline || ' ' || body", "news")) + """
 SELECT doc_id, CASE WHEN s > 0 THEN 'positive' WHEN s < 0 THEN 'negative' ELSE 'neutral' END
   AS sentiment, round(abs(s) / (1 + abs(s)), 9) AS confidence FROM lexicon_scored""",
+    "held_out_labels": """
+SELECT CASE WHEN toxic = 1 THEN 'negative' WHEN quality = 1 THEN 'positive' ELSE 'neutral' END AS sentiment,
+  count(*) AS documents FROM labels JOIN documents USING (doc_id)
+WHERE ('0x' || substr(md5(doc_id::varchar), 1, 8))::bigint % 5 = 0 GROUP BY 1""",
     "market_series": _with(EVENTS) + """
 SELECT "timestamp"::date AS date, round(avg(sentiment_score), 9) AS sentiment_score
 FROM weighted WHERE "timestamp" IS NOT NULL GROUP BY 1""",

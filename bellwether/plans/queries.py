@@ -10,9 +10,10 @@ from pyspark.sql import types as T
 
 from bellwether.functions import labels
 from bellwether.functions.decay import HOURS_RATE, SECONDS_RATE, decay, reference_time
-from bellwether.functions.text import clean_company_name
+from bellwether.functions.text import clean_company_name, join_headline_text
 from bellwether.functions.values import to_number, to_timestamp
 from bellwether.operators import (
+    classifier,
     context,
     direction,
     entities,
@@ -266,23 +267,48 @@ def lexicon_weights(spark, d):
 
 @query
 def lexicon_score(spark, d):
-    weights = sentiment.keyword_weights(bindings.lexicon(spark, d))
-    docs = bindings.table(spark, d, "documents").select("doc_id", "text", weights.alias("weights"))
-    score = sentiment.lexicon_score(F.col("text"), F.col("weights"))
-    return settle(docs.select("doc_id", score.alias("lexicon_score")))
+    docs = bindings.table(spark, d, "documents").select("doc_id", "text")
+    return settle(sentiment.lexicon_scores(docs, bindings.lexicon(spark, d), "doc_id"))
 
 
 @query
 def sentiment_lexicon(spark, d):
-    weights = sentiment.keyword_weights(bindings.lexicon(spark, d))
     articles = bindings.news(spark, d).select(
-        "doc_id",
-        F.col("title").alias("headline"),
-        F.col("description").alias("text"),
-        weights.alias("weights"),
+        "doc_id", join_headline_text(F.col("title"), F.col("description")).alias("text")
     )
-    scored = sentiment.classify(articles, sentiment.lexicon_scorer(F.col("weights")))
-    return settle(scored.select("doc_id", "sentiment", "confidence"))
+    scores = sentiment.lexicon_scores(articles, bindings.lexicon(spark, d), "doc_id")
+    label, confidence = sentiment.graded(F.col("lexicon_score"))
+    return settle(scores.select("doc_id", label.alias("sentiment"), confidence.alias("confidence")))
+
+
+def _fitted(spark: SparkSession, d: str):
+    texts = bindings.labelled_texts(spark, d)
+    return classifier.fit(texts.filter(~classifier.held_out(F.col("doc_id"))))
+
+
+@query
+def label_classifier(spark, d):
+    docs = bindings.table(spark, d, "documents").select("doc_id", "text")
+    return settle(classifier.classified(docs, _fitted(spark, d), "doc_id"), 6)
+
+
+@query
+def held_out_labels(spark, d):
+    texts = bindings.labelled_texts(spark, d).filter(classifier.held_out(F.col("doc_id")))
+    return texts.groupBy("sentiment").agg(F.count("*").alias("documents"))
+
+
+@query
+def classifier_accuracy(spark, d):
+    texts = bindings.labelled_texts(spark, d).filter(classifier.held_out(F.col("doc_id")))
+    scores = sentiment.lexicon_scores(texts, bindings.lexicon(spark, d), "doc_id")
+    by_lexicon = scores.select("doc_id", sentiment.graded(F.col("lexicon_score"))[0].alias("sentiment"))
+    by_model = classifier.classified(texts, _fitted(spark, d), "doc_id")
+    rows = [
+        classifier.accuracy(told, texts, "doc_id").withColumn("method", F.lit(name))
+        for name, told in (("classifier", by_model), ("lexicon", by_lexicon))
+    ]
+    return settle(rows[0].unionByName(rows[1]), 6)
 
 
 def _series_points(series: DataFrame) -> DataFrame:

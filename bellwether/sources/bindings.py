@@ -161,6 +161,17 @@ def labelled_news(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def labelled_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, text, sentiment) of the labelled documents: toxic ones negative, good ones positive."""
+    label = (
+        F.when(F.col("toxic") == 1, F.lit("negative"))
+        .when(F.col("quality") == 1, F.lit("positive"))
+        .otherwise(F.lit("neutral"))
+    )
+    marks = table(spark, sf_dir, "labels").select("doc_id", label.alias("sentiment"))
+    return table(spark, sf_dir, "documents").select("doc_id", "text").join(marks, "doc_id")
+
+
 def company_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     customers = table(spark, sf_dir, "customer")
     nations = table(spark, sf_dir, "nation")
