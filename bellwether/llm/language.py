@@ -150,18 +150,14 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     letters = F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)).alias("letters")
     declared = F.lower(F.nullif(F.trim(F.col("lang")), F.lit(""))).alias("declared")
     items = docs.select("doc_id", F.xxhash64("text").alias("tid"), "text", F.col("source").alias("own_host"), declared, letters)
-    if evidence is not None:
-        pages = evidence.select(F.col("doc_id").alias("page_of"), "markup", F.col("host").alias("page_host"))
-        items = items.join(pages, F.col("doc_id") == F.col("page_of"), "left").drop("page_of")
-    else:
-        items = items.withColumns({"markup": F.lit(None).cast("string"), "page_host": F.lit(None).cast("string")})
 
     named = docs.select("doc_id", declared, "text", letters).filter("letters and doc_id is not null")
     named = named.filter((F.col("declared") != UNKNOWN) & F.col("declared").isNotNull())
     each = named.select("doc_id", "declared").distinct().groupBy("declared").agg(F.count("*").alias("n"))
     parts = each.select(F.col("declared").alias("of"), (F.lit(float(SAMPLE_ROWS << 30)) / F.col("n")).alias("part"))
     drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < F.col("part")
-    sample = named.join(parts, F.col("declared") == F.col("of")).filter(drawn)
+    # A row per language, each of which costs the driver 256 KB below: the texts stay where they are.
+    sample = named.join(F.broadcast(parts), F.col("declared") == F.col("of")).filter(drawn)
     counted = letter_counts(sample).toArrow().combine_chunks()
     names = sorted(pc.unique(counted.column("declared")).to_pylist())
     table = np.full((len(names) + 1, BUCKETS), 0.5)
@@ -173,7 +169,13 @@ def identify(docs: DataFrame, evidence: DataFrame | None = None) -> DataFrame:
     names.append(UNKNOWN)
     size = len(names)
 
+    # The texts are read for the likelihoods only; what pages declare joins the narrow rows.
     rated = likelihoods(items, table)
+    if evidence is not None:
+        pages = evidence.select(F.col("doc_id").alias("page_of"), "markup", F.col("host").alias("page_host"))
+        rated = rated.join(pages, F.col("doc_id") == F.col("page_of"), "left").drop("page_of")
+    else:
+        rated = rated.withColumns({"markup": F.lit(None).cast("string"), "page_host": F.lit(None).cast("string")})
     best = F.array_position("ll", F.array_max("ll")) - 1
     host = F.coalesce("page_host", "own_host")
     rated = rated.withColumns({"best": best, "host": host}).withColumns(
