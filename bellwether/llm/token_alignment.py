@@ -15,7 +15,7 @@ from bellwether.llm.cross_tokens import Aligned, Pair, spread, units_of
 from bellwether.llm.scratch import bounded_batches, written
 from bellwether.llm.words import slices
 
-SHARD_BYTES, SHARD_ROWS = 8 << 20, 1 << 16  # texts of one shard of the index; places in it have 16 bits
+SHARD_BYTES, SHARD_ROWS = 4 << 20, 1 << 16  # texts of one shard of the index; places in it have 16 bits
 SLICE = 2_000_000  # links whose documents are sorted at once
 _SCHEMA = pa.schema(
     [("shard", pa.int64()), ("place", pa.int32())]
