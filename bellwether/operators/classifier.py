@@ -102,14 +102,14 @@ def classified(texts: DataFrame, weights: np.ndarray | None, key: str, text: str
     """
     table, bare = weight_rows(texts.sparkSession, weights)
     names = table.columns[1:]
-    cells = texts.select(key, F.size(buckets(F.col(text))).alias("n"), F.explode_outer(buckets(F.col(text))).alias("cell"))
-    sums = word_sums(cells, [key, "n"], table, "cell", names)
-    size = F.sqrt(F.greatest("n", F.lit(1)).cast("double"))
-    scored = sums.select(key, "n", F.array(*[F.col(n) / size + F.lit(b) for n, b in zip(names, bare)]).alias("s"))
+    cells = texts.select(key, F.explode_outer(buckets(F.col(text))).alias("cell"))
+    sums = word_sums(cells, key, table, "cell", names)
+    size = F.sqrt(F.greatest("words", F.lit(1)).cast("double"))
+    scored = sums.select(key, "words", F.array(*[F.col(n) / size + F.lit(b) for n, b in zip(names, bare)]).alias("s"))
     top = F.array_max("s")
     total = F.aggregate("s", F.lit(0.0), lambda sofar, x: sofar + F.exp(x - top))
     label = F.element_at(F.array(*[F.lit(x) for x in LABELS]), F.array_position("s", top).cast("int"))
-    blank = F.col("n") < 1
+    blank = F.col("words") < 1
     return scored.select(
         key,
         F.when(blank, F.lit("neutral")).otherwise(label).alias("sentiment"),

@@ -13,12 +13,15 @@ from bellwether.functions.text import (
     word_tokens,
 )
 from bellwether.sources.readers import literal_rows
+from bellwether.sources.steps import stored
 from bellwether.operators.matching import (
     best_match,
     containing_pairs,
+    overlapping_pairs,
     rarest_words,
     rounded,
     similar_pairs,
+    substring_pairs,
 )
 
 # Everyday names and the listed name each one stands for.
@@ -39,6 +42,7 @@ ALIAS_SCORE = 89.5  # at least 90
 RESOLVE_SCORE = 94.5  # at least 95
 
 # Weights of the combined name score, see _name_scores.
+WORDS_WEIGHT = 0.95
 CONTAINED_SCORE = 95.0
 SUBSTRING_SCORE = 90.0
 
@@ -79,7 +83,8 @@ def _name_scores(
     """Scores of cleaned names above bound, as (left, right, score).
 
     The score of names with lengths within a factor 1.5 is the edit ratio, or 95
-    when the words of one are among the words of the other.
+    when the words of one are among the words of the other, or 0.95 of the word-set
+    score of names that share some of their words.
     """
     close = similar_pairs(left, right, bound, left_col, right_col).withColumn(
         "score", rounded(F.col("ratio"))
@@ -91,8 +96,12 @@ def _name_scores(
     inside = containing_pairs(left, right, left_col, right_col).filter(
         long * 2 < short * 3
     )
-    return close.select(left_col, right_col, "score").union(
-        inside.withColumn("score", F.lit(CONTAINED_SCORE))
+    part = overlapping_pairs(left, right, left_col, right_col, bound / WORDS_WEIGHT)
+    shared = part.withColumn("score", rounded(F.col("score") * WORDS_WEIGHT))
+    return (
+        close.select(left_col, right_col, "score")
+        .union(inside.withColumn("score", F.lit(CONTAINED_SCORE)))
+        .union(shared.select(left_col, right_col, "score"))
     )
 
 
@@ -117,25 +126,27 @@ def resolve_aliases(aliases: DataFrame, company_dim: DataFrame) -> DataFrame:
     The guess itself when it is listed, else the name with the same cleaned form,
     else the best match scoring at least 90, else the alias is dropped.
     """
-    listed = _listed(company_dim)
+    listed = stored(_listed(company_dim), "listed")
     names = company_dim.select(F.col("company").alias("same")).distinct()
     guesses = aliases.select(
         "common", "official", clean_company_name(F.col("official")).alias("guess")
     )
-    forms = guesses.select("guess").filter(F.col("guess") != "").distinct()
+    same_form = listed.select(F.col("clean").alias("guess"), F.col("company").alias("by_form"))
+    settled = guesses.join(names, F.col("official") == F.col("same"), "left").join(same_form, "guess", "left")
+    settled = stored(settled, "guesses")
+    is_open = F.col("same").isNull() & F.col("by_form").isNull() & (F.col("guess") != "")
+    forms = settled.filter(is_open).select("guess").distinct()
     scored = (
         _name_scores(forms, listed, "guess", "clean", ALIAS_SCORE)
         .union(_reordered_scores(forms, listed))
         .union(_substring_scores(forms, listed))
     )
-    # An equal cleaned form scores 100, so the best match is that one if there is one.
     found = best_match(scored, "guess", "clean", F.col("score")).join(
         listed.select("clean", F.col("company").alias("near")), "clean"
     )
     return (
-        guesses.join(names, F.col("official") == F.col("same"), "left")
-        .join(found.select("guess", "near"), "guess", "left")
-        .select("common", F.coalesce("same", "near").alias("company"))
+        settled.join(found.select("guess", "near"), "guess", "left")
+        .select("common", F.coalesce("same", "by_form", "near").alias("company"))
         .filter(F.col("company").isNotNull())
     )
 
@@ -151,7 +162,7 @@ def _reordered_scores(guesses: DataFrame, listed: DataFrame) -> DataFrame:
     pairs = similar_pairs(
         left.select("left_sorted").distinct(),
         right.select("right_sorted").distinct(),
-        ALIAS_SCORE / 0.95,
+        ALIAS_SCORE / WORDS_WEIGHT,
         "left_sorted",
         "right_sorted",
     )
@@ -163,33 +174,21 @@ def _reordered_scores(guesses: DataFrame, listed: DataFrame) -> DataFrame:
         pairs.join(left, "left_sorted")
         .join(right, "right_sorted")
         .filter(long * 2 < short * 3)
-        .select("guess", "clean", rounded(F.col("ratio") * 0.95).alias("score"))
+        .select("guess", "clean", rounded(F.col("ratio") * WORDS_WEIGHT).alias("score"))
     )
 
 
 def _substring_scores(guesses: DataFrame, listed: DataFrame) -> DataFrame:
     """Names of which one is a piece of the other, at 1.5 to 8 times the length."""
-    inside = _pieces_of(listed, "clean").join(
-        guesses.withColumn("piece", F.col("guess")), "piece"
-    )
-    around = _pieces_of(guesses, "guess").join(
-        listed.withColumn("piece", F.col("clean")), "piece"
-    )
-    pairs = inside.select("guess", "clean").union(around.select("guess", "clean"))
-    return pairs.distinct().withColumn("score", F.lit(SUBSTRING_SCORE))
-
-
-def _pieces_of(names: DataFrame, name: str) -> DataFrame:
-    """Every substring of a name that is 1/8 to 2/3 as long."""
-    size = F.length(name)
-    sized = (
-        names.select(name)
-        .filter(size >= 2)
-        .withColumn("long", F.explode(F.expr(f"sequence(int(ceil(length({name}) / 8)), "
-                                             f"int(length({name}) * 2 div 3))")))
-        .withColumn("at", F.explode(F.expr(f"sequence(1, length({name}) - long + 1)")))
+    names = listed.select("clean")
+    inside = substring_pairs(names, guesses, "clean", "guess").select("guess", "clean")
+    around = substring_pairs(guesses, names, "guess", "clean").select("guess", "clean")
+    long, short = (
+        F.greatest(F.length("guess"), F.length("clean")),
+        F.least(F.length("guess"), F.length("clean")),
     )
-    return sized.select(name, F.expr(f"substring({name}, at, long)").alias("piece")).distinct()
+    pairs = inside.union(around).filter((long * 2 >= short * 3) & (long <= short * 8))
+    return pairs.withColumn("score", F.lit(SUBSTRING_SCORE))
 
 
 def resolve_names(
@@ -214,20 +213,22 @@ def resolve_names(
     alias_tickers = aliases.join(
         company_dim.groupBy("company").agg(F.min("ticker").alias("ticker")), "company"
     ).groupBy(F.col("common").alias("cleaned")).agg(F.min("ticker").alias("by_alias"))
-    listed = _listed(company_dim)
-    cleaned = wanted.select("cleaned").filter(F.col("cleaned") != "").distinct()
-    scored = _name_scores(cleaned, listed, "cleaned", "clean", RESOLVE_SCORE)
+    listed = stored(_listed(company_dim), "listed")
+    settled = wanted.join(tickers.withColumn("by_ticker", F.col("upper")), "upper", "left").join(
+        alias_tickers, "cleaned", "left"
+    )
+    # Every way of comparing reads the few open names again, so they are written once.
+    settled = stored(settled, "settled")
+    # Only names that neither a ticker nor an alias settles are compared.
+    is_open = F.col("by_ticker").isNull() & F.col("by_alias").isNull() & (F.col("cleaned") != "")
+    still_open = settled.filter(is_open).select("cleaned").distinct()
+    scored = _name_scores(still_open, listed, "cleaned", "clean", RESOLVE_SCORE)
     shown = "ticker" if as_ticker else "company"
     found = best_match(scored, "cleaned", "clean", F.col("score")).join(
         listed.select("clean", F.col(shown).alias("near")), "clean"
     )
-    return (
-        wanted.join(tickers.withColumn("by_ticker", F.col("upper")), "upper", "left")
-        .join(alias_tickers, "cleaned", "left")
-        .join(found.select("cleaned", "near"), "cleaned", "left")
-        .select(
-            name, F.coalesce("by_ticker", "by_alias", "near", F.lit("")).alias("company")
-        )
+    return settled.join(found.select("cleaned", "near"), "cleaned", "left").select(
+        name, F.coalesce("by_ticker", "by_alias", "near", F.lit("")).alias("company")
     )
 
 
@@ -333,12 +334,15 @@ def companies_in_questions(
     aliases: DataFrame,
     key: str = "question_id",
     text: str = "question",
+    direct: DataFrame | None = None,
 ) -> DataFrame:
     """Companies a question asks about, as (key, company).
 
-    Known names in the text; only for questions without one, resolved terms.
+    Known names in the text (direct, where they have been looked up); only for
+    questions without one, resolved terms.
     """
-    direct = gazetteer_match(questions, known, key, text)
+    if direct is None:
+        direct = gazetteer_match(questions, known, key, text)
     silent = questions.join(direct, key, "left_anti")
     terms = question_terms(silent, key, text)
     resolved = resolve_names(terms, company_dim, aliases, name="term").filter("company <> ''")

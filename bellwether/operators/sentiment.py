@@ -209,20 +209,21 @@ def lexicon_score(text: Column, lexicon: dict[str, float] | Column) -> Column:
     return F.round(F.coalesce(total, F.lit(0.0)), 9)
 
 
-def word_sums(words: DataFrame, keys: list[str], weights: DataFrame, word: str, sums: list[str]) -> DataFrame:
-    """Sums of the weights of the words of each key, 0 where none has any; one row per key.
+def word_sums(words: DataFrame, key: str, weights: DataFrame, word: str, sums: list[str]) -> DataFrame:
+    """Number of words of each key (words), and sums of their weights, 0 where none has any.
 
     words has a row for each word of a key, and one with a null word for a key without any. The
     weight table is joined by its size, the sums start in the task that reads the words.
     """
     met = words.join(weights, word, "left")
-    return met.groupBy(*keys).agg(*[F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums])
+    totals = [F.coalesce(F.sum(c), F.lit(0.0)).alias(c) for c in sums]
+    return met.groupBy(key).agg(F.count(word).alias("words"), *totals)
 
 
 def lexicon_scores(texts: DataFrame, lexicon: DataFrame, key: str, text: str = "text") -> DataFrame:
     """(key, lexicon_score) of every text by a table (keyword, weight); each occurrence counts."""
     words = texts.select(key, F.explode_outer(word_tokens(F.col(text))).alias("keyword"))
-    sums = word_sums(words, [key], lexicon.select("keyword", "weight"), "keyword", ["weight"])
+    sums = word_sums(words, key, lexicon.select("keyword", "weight"), "keyword", ["weight"])
     return sums.select(key, F.round("weight", 9).alias("lexicon_score"))
 
 

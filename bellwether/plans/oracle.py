@@ -334,7 +334,32 @@ def _name_scores(left: str, right: str, a: str, b: str, bound: float) -> str:
   JOIN (SELECT {b}, list_distinct(string_split({b}, ' ')) AS bw, unnest(bw) AS word FROM {right})
     USING (word)
   GROUP BY {a}, {b}
-  HAVING count(*) >= least(any_value(len(aw)), any_value(len(bw))) AND {_near_length(a, b)}"""
+  HAVING count(*) >= least(any_value(len(aw)), any_value(len(bw))) AND {_near_length(a, b)}
+  UNION ALL
+  SELECT {a}, {b}, round_even(0.95::double * s, 0)::double FROM ({_word_set_pairs(left, right, a, b)})
+  WHERE s > {bound}::double / 0.95::double"""
+
+
+def _word_set_pairs(left: str, right: str, a: str, b: str) -> str:
+    """(a, b, s) of names that share some but not all words: the best ratio of their word sets."""
+    return f"""
+    SELECT {a}, {b}, greatest(
+      CASE WHEN levenshtein(x, y) <= 0.1::double * whole
+        THEN 100 - 100.0::double * (length(x) + length(y) - 2 * {_lcs("x", "y")}) / whole ELSE 0 END,
+      100 - 100.0::double * (1 + length(x)) / (2 * n + 1 + length(x)),
+      100 - 100.0::double * (1 + length(y)) / (2 * n + 1 + length(y))) AS s
+    FROM (
+      SELECT {a}, {b}, length(array_to_string(held, ' ')) AS n,
+        array_to_string(list_sort(list_filter(aw, lambda w: NOT list_contains(held, w))), ' ') AS x,
+        array_to_string(list_sort(list_filter(bw, lambda w: NOT list_contains(held, w))), ' ') AS y,
+        2 * n + 2 + length(x) + length(y) AS whole
+      FROM (
+        SELECT {a}, {b}, any_value(aw) AS aw, any_value(bw) AS bw, list(word) AS held
+        FROM (SELECT {a}, list_distinct(string_split({a}, ' ')) AS aw, unnest(aw) AS word FROM {left})
+        JOIN (SELECT {b}, list_distinct(string_split({b}, ' ')) AS bw, unnest(bw) AS word FROM {right})
+          USING (word)
+        GROUP BY {a}, {b}
+        HAVING count(*) < least(any_value(len(aw)), any_value(len(bw))) AND {_near_length(a, b)}))"""
 
 
 PARTS = f"""
@@ -751,6 +776,26 @@ FROM names""",
 SELECT DISTINCT lower(e.company) AS ticker, d.company
 FROM ev e LEFT JOIN dim d ON d.ticker = upper(e.company) WHERE e.company IS NOT NULL""",
     "question_terms": _with(QUESTIONS, TERMS) + "SELECT * FROM terms",
+    "nested_names": "WITH RECURSIVE " + """
+asked AS (
+  SELECT p_partkey, lower(CASE p_type
+    WHEN 'ECONOMY' THEN 'Is ' || upper(p_name) || ' better than any ' || split_part(p_name, ' ', 2) || '?'
+    WHEN 'SMALL' THEN split_part(p_name, ' ', 1) || ', ' || p_name || ' or ' || split_part(p_name, ' ', 2) || '?'
+    WHEN 'LARGE' THEN split_part(p_name, ' ', 2) || 's and ' || replace(p_name, ' ', '-') || ' tomorrow'
+    ELSE 'Show ' || p_name || ' for ' || lower(p_brand) END) AS question
+  FROM part),
+listed AS (SELECT p_name AS company FROM part UNION SELECT unnest(string_split(p_name, ' ')) FROM part),
+tried AS (
+  SELECT p_partkey, lower(company) AS low, company, '\\b' || regexp_escape(lower(company)) || '\\b' AS pattern,
+    row_number() OVER (PARTITION BY p_partkey ORDER BY length(company) DESC, company) AS i
+  FROM asked, listed WHERE contains(question, lower(company))),
+walk AS (
+  SELECT p_partkey, 0::bigint AS i, question AS rest, NULL::varchar AS found FROM asked
+  UNION ALL
+  SELECT w.p_partkey, t.i, CASE WHEN regexp_matches(w.rest, t.pattern) THEN replace(w.rest, t.low, '') ELSE w.rest END,
+    CASE WHEN regexp_matches(w.rest, t.pattern) THEN t.company END
+  FROM walk w JOIN tried t ON t.p_partkey = w.p_partkey AND t.i = w.i + 1)
+SELECT p_partkey, found AS company FROM walk WHERE found IS NOT NULL""",
     "gazetteer_match": _with(EVENTS, GAZETTEER) + "SELECT * FROM gaz",
     "companies_in_questions": _with(EVENTS, ASKED) + "SELECT * FROM asked_for",
     "extract_company": _with(DIM) + """,
@@ -764,6 +809,16 @@ heads AS (
 SELECT o_orderkey, CASE WHEN o_orderstatus IN ('F', 'O') THEN ticker ELSE (
     SELECT d.ticker FROM nation_alias a JOIN dim d USING (company)
     WHERE a.common = lower(heads.sub_industry)) END AS company
+FROM heads""",
+    "extract_resolved": _with(DIM) + """,
+heads AS (
+  SELECT o_orderkey, o_orderstatus, ticker, company, sub_industry
+  FROM orders JOIN dim ON ticker = 'C' || o_custkey)
+SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN ticker WHEN 'O' THEN company
+    ELSE lower(sub_industry) END AS spelling,
+  CASE WHEN o_orderstatus IN ('F', 'O') THEN ticker ELSE (
+    SELECT d.ticker FROM nation_alias a JOIN dim d USING (company)
+    WHERE a.common = lower(heads.sub_industry)) END AS company
 FROM heads""",
     "join_ci": _with(SENTIMENT, PREDICTIONS) + f"""
 SELECT lower(pred.company) AS company, ml_prediction, article_count,

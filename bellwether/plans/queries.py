@@ -17,6 +17,7 @@ from bellwether.operators import (
     context,
     direction,
     entities,
+    gazetteer,
     growth,
     keywords,
     market,
@@ -30,6 +31,7 @@ from bellwether.operators import (
 from bellwether.schemas import PREDICTIONS
 from bellwether.session import prepare
 from bellwether.sources import bindings, landed, readers, sinks
+from bellwether.sources.steps import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -668,20 +670,29 @@ def question_terms(spark, d):
     return entities.question_terms(bindings.questions(spark, d))
 
 
+@query
+def nested_names(spark, d):
+    asked, names = bindings.part_questions(spark, d), bindings.part_names(spark, d)
+    return gazetteer.names_in_texts(asked, names, key="p_partkey")
+
+
 @query
 def gazetteer_match(spark, d):
-    return entities.gazetteer_match(
+    return gazetteer.names_in_texts(
         bindings.questions(spark, d), sentiment.company_mentions(bindings.event_mentions(spark, d))
     )
 
 
 def _asked(spark: SparkSession, d: str) -> DataFrame:
     # Names in the text, else resolved terms; nations stand in for everyday names.
+    questions = bindings.questions(spark, d)
+    known = sentiment.company_mentions(bindings.event_mentions(spark, d))
     return entities.companies_in_questions(
-        bindings.questions(spark, d),
-        sentiment.company_mentions(bindings.event_mentions(spark, d)),
+        questions,
+        known,
         bindings.company_dim(spark, d),
         bindings.nation_aliases(spark, d),
+        direct=stored(gazetteer.names_in_texts(questions, known), "direct"),
     )
 
 
@@ -698,6 +709,16 @@ def extract_company(spark, d):
     )
 
 
+@query
+def extract_resolved(spark, d):
+    return gazetteer.resolved_companies(
+        bindings.order_headlines(spark, d),
+        bindings.company_dim(spark, d),
+        bindings.nation_aliases(spark, d),
+        key="o_orderkey",
+    )
+
+
 # Context
 
 

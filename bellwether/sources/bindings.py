@@ -266,6 +266,26 @@ def part_spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "part").select("p_partkey", spelt.alias("name"))
 
 
+def part_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One question per part, whose names lie in one another: the part, its two words and another part's."""
+    name, kind = F.col("p_name"), F.col("p_type")
+    first, second = F.split_part(name, F.lit(" "), F.lit(1)), F.split_part(name, F.lit(" "), F.lit(2))
+    asked = (
+        F.when(kind == "ECONOMY", F.concat(F.lit("Is "), F.upper(name), F.lit(" better than any "), second, F.lit("?")))
+        .when(kind == "SMALL", F.concat(first, F.lit(", "), name, F.lit(" or "), second, F.lit("?")))
+        .when(kind == "LARGE", F.concat(second, F.lit("s and "), first, F.lit("-"), second, F.lit(" tomorrow")))
+        .otherwise(F.concat(F.lit("Show "), name, F.lit(" for "), F.lower("p_brand")))
+    )
+    return table(spark, sf_dir, "part").select("p_partkey", asked.alias("question"))
+
+
+def part_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of parts and the single words of them, as listed names that overlap."""
+    parts = table(spark, sf_dir, "part")
+    words = F.explode(F.split("p_name", " ")).alias("company")
+    return parts.select(F.col("p_name").alias("company")).union(parts.select(words)).distinct()
+
+
 def part_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Brand and size as an everyday name of the smallest-spelt company of theirs."""
     parts = table(spark, sf_dir, "part").join(part_spellings(spark, sf_dir), "p_partkey")

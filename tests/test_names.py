@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from bellwether.functions.similarity import _by_rows, common_subsequence_length
 from bellwether.functions.text import clean_company_name, strip_inc
-from bellwether.operators import entities
-from bellwether.operators.matching import containing_pairs, similar_pairs
+from bellwether.operators import entities, matching
+from bellwether.operators.matching import containing_pairs, overlapping_pairs, similar_pairs
 
 COMPANIES = [
     ("Alphabet Inc. (Class A)", "GOOGL"),
@@ -312,3 +312,82 @@ def test_repeated_alias_resolves_once(spark, dim, rows):
     )
     names = spark.createDataFrame([("Big Fruit",)], "name string")
     assert entities.resolve_names(names, dim, aliases).count() == 1
+
+
+def word_set(a, b):
+    """The best of the three word-set ratios, straight from their definition."""
+    x, y = set(a.split()), set(b.split())
+    s, l, r = (" ".join(sorted(w)) for w in (x & y, x - y, y - x))
+    both = [(s + " " + l, s + " " + r), (s, s + " " + l), (s, s + " " + r)]
+    first = 100 - 100 * (len(l) + len(r) - 2 * lcs(l, r)) / (len(both[0][0]) + len(both[0][1]))
+    return max(first, *(200 * len(p) / (len(p) + len(q)) for p, q in both[1:]))
+
+
+def partial(a, b):
+    x, y = set(a.split()), set(b.split())
+    near = 2 * max(len(a), len(b)) < 3 * min(len(a), len(b))
+    return near and bool(x & y) and bool(x - y) and bool(y - x)
+
+
+@pytest.mark.parametrize("bound", [89.5, 89.5 / 0.95])
+def test_overlapping_pairs_loses_no_pair(spark, bound):
+    rng = random.Random(int(10 * bound))
+    words = ["".join(rng.choice("abcde") for _ in range(rng.randint(1, 14))) for _ in range(25)]
+    left = {" ".join(rng.sample(words, rng.randint(2, 5))) for _ in range(40)}
+    right = set()
+    for name in left:
+        for _ in range(3):
+            parts = [noisy(rng, w, rng.choice((0, 0, 1))).replace(" ", "") or "a" for w in name.split()]
+            rng.shuffle(parts)
+            right.add(" ".join(parts + rng.sample(["x", "yz"], rng.randint(0, 1))))
+    right = sorted(right | set(list(left)[:20]) | {"aaa aaa bbb", "aaa bbbb"})
+    left = sorted(left | {"aaa aaa ccc", "aaa bbb"})
+    wanted = {(a, b): word_set(a, b) for a in left for b in right if partial(a, b) and word_set(a, b) > bound}
+    got = overlapping_pairs(
+        spark.createDataFrame([(x,) for x in left], "l string"),
+        spark.createDataFrame([(x,) for x in right], "r string"),
+        "l", "r", bound,
+    ).collect()
+    assert {(r.l, r.r) for r in got} == set(wanted) and len(got) == len(wanted) > 3
+    for r in got:
+        assert r.score == pytest.approx(wanted[r.l, r.r])
+
+
+def test_overlapping_pairs_with_a_word_in_common(spark):
+    """A word that all names share makes no pairs: what is scored stays near what is found."""
+    rng = random.Random(9)
+    base = ["".join(rng.choice("abcdefghijklmnop") for _ in range(9)) for _ in range(400)]
+    left = spark.createDataFrame([(f"international {w} holding",) for w in base], "l string")
+    right = spark.createDataFrame([(f"holding {w}s international",) for w in base], "r string")
+    found = overlapping_pairs(left, right, "l", "r", 89.5 / 0.95)
+    scored = []
+    original = matching.word_set_score
+    try:
+        matching.word_set_score = lambda a, b: scored.append(1) or F.lit(100.0)
+        candidates = matching.overlapping_pairs(left, right, "l", "r", 89.5 / 0.95).count()
+    finally:
+        matching.word_set_score = original
+    assert scored and found.count() >= 400 and candidates < 4 * found.count()
+
+
+def test_substring_pairs_against_brute_force(spark):
+    rng = random.Random(11)
+    inner = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 6))) for _ in range(80)})
+    outer = sorted({"".join(rng.choice("ab c") for _ in range(rng.randint(1, 30))) for _ in range(120)})
+    got = matching.substring_pairs(
+        spark.createDataFrame([(x,) for x in inner], "i string"),
+        spark.createDataFrame([(x,) for x in outer] + [("",)], "o string"),
+        "i", "o",
+    ).collect()
+    wanted = {(i, o) for i in inner for o in outer if i in o and i != o}
+    assert {tuple(r) for r in got} == wanted and len(got) == len(wanted)
+
+
+def test_partial_word_sets_resolve_aliases(spark):
+    dim = spark.createDataFrame([("General Widget Manufacturing Works", "GWMW"), ("Other", "O")], "company string, ticker string")
+    guesses = spark.createDataFrame(
+        [("widgets", "Works Manufacturing Widgets General"), ("none", "Widget Sellers Association")], "common string, official string"
+    )
+    assert [tuple(r) for r in entities.resolve_aliases(guesses, dim).collect()] == [
+        ("widgets", "General Widget Manufacturing Works")
+    ]
