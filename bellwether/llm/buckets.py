@@ -75,6 +75,7 @@ def bucket_components(
     near: Column,
     verify: Callable[[DataFrame], DataFrame],
     screen: Callable[[DataFrame], tuple[DataFrame, DataFrame]] | None = None,
+    label: DataFrame | None = None,
 ) -> DataFrame:
     """(id, component) of the ids that are not the smallest of their component.
 
@@ -90,19 +91,26 @@ def bucket_components(
     other components, 64 of them in the next round, 256 in the one after. The
     rounds end when no bucket holds an undecided pair of two components, so all
     links that could join components are found; only pairs within one are left out.
-    For the members of buckets with more than SMALL undecided rows, screen may name all
-    pairs with some property and tell what bounds the others: it gets (id) and
-    returns (id, ..., alone) and (a, b). The pairs are verified; all other pairs meet in
-    these buckets with the new values of the carried columns, and ids that are alone
-    leave them. Smaller buckets stay as they are.
+    For the members of buckets with more than SMALL undecided rows, screen may put all
+    pairs with some property into buckets of their own and tell what bounds the others: it
+    gets (id) and returns (id, ..., alone) and such buckets. These are decided in the
+    same way; all other pairs meet in the large buckets with the new values of the carried
+    columns, and ids that are alone leave them. Smaller buckets stay as they are.
+    label (id, component) tells what is known already: only buckets that hold two components count.
     """
     carried = [c for c in buckets.columns if c not in ("key", "id")]
-    row = F.struct("id", *carried)
+    known, apart = [], F.col("id") != F.col("b")
+    if label is not None:
+        buckets = written(_undecided(buckets, label).select("key", "id", "component", *carried), "undecided")
+        known, apart = ["component"], F.col("component") != F.col("component_2")
+    row = F.struct("id", *known, *carried)
     tops = buckets.groupBy("key").agg(F.min(row).alias("top"))
-    heads = tops.select("key", F.col("top.id").alias("b"), *[F.col(f"top.{c}").alias(f"{c}_2") for c in carried])
+    heads = tops.select(
+        "key", F.col("top.id").alias("b"), *[F.col(f"top.{c}").alias(f"{c}_2") for c in (*known, *carried)]
+    )
     compared = buckets.join(heads, "key").filter(F.col("id") != F.col("b"))
-    pairs = compared.filter(near).select(F.col("id").alias("a"), "b").distinct()
-    label = components(verify(pairs))
+    pairs = compared.filter(apart & near).select(F.col("id").alias("a"), "b").distinct()
+    label = components(verify(pairs)) if label is None else merged(label, _between(verify(pairs), label))
     rows = compared.select("key", "id", *carried)
 
     pivots, screened, source = PIVOTS, screen is None, None
@@ -124,7 +132,7 @@ def bucket_components(
             for c in news:
                 sharper = sharper.withColumn(c, F.when(large, F.coalesce(f"new_{c}", c)).otherwise(F.col(c)))
             rows = sharper.select("key", "id", *carried)
-            label = merged(label, _between(verify(special), label))
+            label = bucket_components(special, near, verify, label=label)
             continue
         outer = ranked(pending.filter("component <> core")).select("key", "id", "place")
         # Members of the core come after all pivots.

@@ -119,26 +119,24 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _rare(ids: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, own, alone) and (a, b): how many rare items each id has, and all pairs that share one.
+    """(id, own, alone), and buckets (key, id, n, own) of the ids that share a rare item.
 
-    An item is rare if at most RARE of these ids hold it, so a rare item makes
-    few pairs. All other pairs share none of their rare items; an id that has too few
-    others is alone among those.
+    An item is rare if at most RARE of these ids hold it. All pairs that meet in none of the
+    buckets share none of their rare items; an id that has too few others is alone among
+    those. Items that the same ids hold make one bucket, told by two sums of hashed ids.
     """
-    held = sets.join(ids, "id").select("id", F.explode("items").alias("item"))
-    few = held.groupBy("item").agg(F.count("*").alias("holders")).filter(F.col("holders") <= RARE).select("item")
-    rare = written(held.join(few, "item"), "rare")
-    counts = rare.groupBy("id").agg(F.count("*").alias("own"))
-    sizes = sets.join(ids, "id").select("id", F.size("items").alias("n"))
-    alone = 100 * (F.col("n") - F.col("own")) < percent * F.col("n")
-    pairs = (
-        rare.select("item", F.col("id").alias("a"))
-        .join(rare.select("item", F.col("id").alias("b")), "item")
-        .filter("a > b")
-        .select("a", "b")
-        .distinct()
+    held = sets.join(ids, "id").select("id", F.size("items").alias("n"), F.explode("items").alias("item"))
+    digest = F.xxhash64("id")
+    holders = held.groupBy("item").agg(
+        F.count("*").alias("holders"), F.bit_xor(digest).alias("x"), F.sum(F.shiftright(digest, 20)).alias("s")
     )
-    return sizes.join(counts, "id").select("id", "own", alone.alias("alone")), pairs
+    few = holders.filter(F.col("holders") <= RARE)
+    counts = written(held.join(few.select("item"), "item").groupBy("id", "n").agg(F.count("*").alias("own")), "rare")
+    keys = few.filter("holders > 1").groupBy("holders", "x", "s").agg(F.min("item").alias("item"))
+    none = F.lit(0).cast("long").alias("own")
+    shared = held.join(keys.select("item"), "item").select(F.col("item").alias("key"), "id", F.col("n").cast("long"), none)
+    alone = 100 * (F.col("n") - F.col("own")) < percent * F.col("n")
+    return counts.select("id", "own", alone.alias("alone")), written(shared, "shared")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
