@@ -65,17 +65,23 @@ def merge_available(news: DataFrame, posts: DataFrame) -> DataFrame:
 def attach_sentiment(mentions: DataFrame, scored: DataFrame) -> DataFrame:
     """Left join on (timestamp, headline, text); missing timestamps match each other.
 
-    Rows multiply when the scored side repeats a key. A key held by many rows is
-    split by the adaptive skew join.
+    Rows multiply when the scored side repeats a key. Headline and text meet as a digest of two
+    parts, 128 bits, so the scored side moves without its texts, and texts are not compared
+    letter by letter. A key held by many rows is split by the adaptive skew join.
     """
     extra = [c for c in SENTIMENT_COLUMNS if c in scored.columns]
-    left, right = mentions.alias("m"), scored.alias("s")
+    texts = ["headline", "text"]
+    parts = [F.xxhash64(*texts).alias("d1"), F.xxhash64(F.lit(1), *texts).alias("d2")]
+    # A missing headline or text equals nothing.
+    whole = F.col("headline").isNotNull() & F.col("text").isNotNull()
+    left = mentions.select("*", *[F.when(whole, d).alias(f"_{n}") for n, d in zip(("d1", "d2"), parts)]).alias("m")
+    right = scored.filter(whole).select("timestamp", *extra, *parts).alias("s")
     same = (
         F.col("m.timestamp").eqNullSafe(F.col("s.timestamp"))
-        & (F.col("m.headline") == F.col("s.headline"))
-        & (F.col("m.text") == F.col("s.text"))
+        & (F.col("m._d1") == F.col("s.d1"))
+        & (F.col("m._d2") == F.col("s.d2"))
     )
-    return left.join(right, same, "left").select("m.*", *[f"s.{c}" for c in extra])
+    return left.join(right, same, "left").select("m.*", *[f"s.{c}" for c in extra]).drop("_d1", "_d2")
 
 
 def merge_with_sentiment(news: DataFrame, posts: DataFrame, scored: DataFrame | None):

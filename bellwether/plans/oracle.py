@@ -5,6 +5,7 @@ from __future__ import annotations
 from bellwether.functions.text import LEGAL_FORMS, QUESTION_FILLERS, STOP_WORDS
 from bellwether.operators.prices import FEATURES, STEPS
 from bellwether.sources.bindings import LEXICON_WORDS, THEMES
+from bellwether.sources.readers import FALLBACK_COMPANIES
 
 WORD = r"[\p{L}\p{N}_]+"
 
@@ -541,6 +542,16 @@ FUSED_COLUMNS = "company, article_count, ml_prediction, ml_prediction_score, " +
 ORACLE: dict[str, str] = {
     "scan_lenient": _with(RAW_EVENTS) + """
 SELECT company, sentiment, confidence AS sentiment_score, "timestamp" FROM raw_ev""",
+    "scan_files": _with(RAW_EVENTS) + """
+SELECT company, sentiment, confidence AS sentiment_score, "timestamp" FROM raw_ev WHERE sentiment <> 'negative'""",
+    "scan_files_rejected": """
+SELECT 5 AS fields, count(*) AS lines,
+  max('C' || user_id || ';negative;' || (value / 1000)::varchar || ';' || ts::varchar || ';' || event_type || ' ' || props)
+    AS last_line
+FROM events WHERE event_type = 'error'""",
+    "company_list": f"""
+SELECT s_name AS company, 'C' || s_suppkey AS symbol FROM supplier
+UNION ALL SELECT trim(replace(c, 'Inc.', '')), s FROM (VALUES {', '.join(f"('{c}', '{x}')" for c, x in FALLBACK_COMPANIES)}) t(c, s)""",
     "optional_source": _with(PREDICTIONS) + "SELECT * FROM pred",
     "flatten_json": _with(NEWS) + """,
 lines AS (SELECT *, string_split(body, chr(10)) AS parts FROM news)
@@ -739,6 +750,15 @@ SELECT * EXCLUDE is_last FROM (
   SELECT ticker, trade_date, is_last, {_steps(0)} FROM scaled
   WINDOW t AS (PARTITION BY ticker ORDER BY trade_date)
   QUALIFY row_number() OVER t >= {STEPS}) WHERE is_last""",
+    "sentiment_area": _with(EVENTS) + """
+, told AS (SELECT least(greatest(confidence, 0), 1) AS s, sentiment = 'positive' AS up FROM ev),
+ranked AS (SELECT up, rank() OVER (ORDER BY s) + (count(*) OVER (PARTITION BY s) - 1) / 2.0::double AS place FROM told)
+SELECT count(*) FILTER (up) AS positives, count(*) FILTER (NOT up) AS negatives,
+  round((sum(place) FILTER (up) - count(*) FILTER (up) * (count(*) FILTER (up) + 1) / 2.0::double)
+    / (count(*) FILTER (up) * (count(*) FILTER (NOT up))::double), 9) AS area FROM ranked""",
+    "prices_of_movers": _with(BARS, PREDICTIONS) + """
+SELECT ticker, count(*) AS days, round(max(high), 4) AS high FROM bars
+WHERE trade_date >= '1995-01-01' AND ticker IN (SELECT company FROM pred WHERE ml_prediction = 'up') GROUP BY ticker""",
     "sma_latest": _with(BARS, QUOTES)
     + f"SELECT ticker, {_rounded('sma_20 sma_50', 4)} FROM quotes",
     "latest_quote": _with(BARS, QUOTES) + f"""

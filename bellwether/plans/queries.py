@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 
 from bellwether.functions import labels
 from bellwether.functions.decay import HOURS_RATE, SECONDS_RATE, decay, reference_time
-from bellwether.functions.text import clean_company_name, join_headline_text
+from bellwether.functions.text import clean_company_name, join_headline_text, strip_inc
 from bellwether.functions.values import to_number, to_timestamp
 from bellwether.operators import (
     classifier,
@@ -23,6 +23,7 @@ from bellwether.operators import (
     market,
     mentions,
     prices,
+    recurrent,
     sentiment,
     sketch,
     stats,
@@ -31,7 +32,8 @@ from bellwether.operators import (
 from bellwether.schemas import PREDICTIONS
 from bellwether.session import prepare
 from bellwether.sources import bindings, landed, readers, sinks
-from bellwether.sources.steps import stored
+from bellwether.sources.prices import prices_of, write_price_table
+from bellwether.sources.steps import new_path, stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -94,6 +96,35 @@ def scan_lenient(spark, d):
     )
 
 
+@query
+def scan_files(spark, d):
+    kept, _ = readers.scan_lines(spark, bindings.mention_files(spark, d), ["company", "timestamp"])
+    return kept.select(
+        "company",
+        "sentiment",
+        to_number(F.col("sentiment_score")).alias("sentiment_score"),
+        to_timestamp(F.col("timestamp")).alias("timestamp"),
+    )
+
+
+@query
+def scan_files_rejected(spark, d):
+    _, rejected = readers.scan_lines(spark, bindings.mention_files(spark, d), ["company", "timestamp"])
+    return rejected.groupBy("fields").agg(F.count("*").alias("lines"), F.max("line").alias("last_line"))
+
+
+@query
+def company_list(spark, d):
+    # The named file is not there, so the next source counts, by the place of its columns.
+    missing, found = f"{d}/no_such_list.csv", bindings.company_file(spark, d)
+    listed = readers.read_or_else(
+        lambda: spark.read.option("header", True).csv(missing),
+        lambda: spark.read.option("header", True).csv(found),
+    )
+    named = readers.company_and_symbol(listed).withColumn("company", strip_inc(F.col("company")))
+    return named.unionByName(readers.fallback_companies(spark).withColumn("company", strip_inc(F.col("company"))))
+
+
 @query
 def optional_source(spark, d):
     late = readers.read_or_empty(
@@ -598,6 +629,43 @@ def direction_accuracy(spark, d):
     return direction.direction_accuracy(bindings.prices(spark, d), scores)
 
 
+@query
+def direction_area(spark, d):
+    scores = sentiment.company_sentiment(_weighted(spark, d))
+    return settle(direction.direction_area(bindings.prices(spark, d), scores), 6)
+
+
+@query
+def predict_recurrent(spark, d):
+    scores = sentiment.company_sentiment(_weighted(spark, d))
+    return recurrent.predict_recurrent(bindings.prices(spark, d), scores)
+
+
+@query
+def direction_models(spark, d):
+    scores = sentiment.company_sentiment(_weighted(spark, d))
+    return settle(recurrent.compared_models(bindings.prices(spark, d), scores), 6)
+
+
+@query
+def sentiment_area(spark, d):
+    # How well the confidence of an event's mention tells rising kinds from the others.
+    rows = bindings.event_mentions(spark, d)
+    label = (F.col("sentiment") == "positive").cast("int")
+    score = F.least(F.greatest("confidence", F.lit(0.0)), F.lit(1.0))
+    return settle(direction.area_under_curve(rows.select(score.alias("score"), label.alias("label"))))
+
+
+@query
+def prices_of_movers(spark, d):
+    # The written table is read for the predicted risers only.
+    path = new_path(spark, "prices")
+    write_price_table(bindings.prices(spark, d), path)
+    risers = bindings.predictions(spark, d).filter("ml_prediction = 'up'")
+    bars = prices_of(spark, path, risers.select(F.col("company").alias("ticker")), "1995-01-01")
+    return settle(bars.groupBy("ticker").agg(F.count("*").alias("days"), F.max("high").alias("high")), 4)
+
+
 # Names
 
 

@@ -14,6 +14,7 @@ from bellwether.functions.decay import SECONDS_RATE, decay, reference_time
 from bellwether.functions.text import word_tokens
 from bellwether.schemas import PREDICTIONS
 from bellwether.sources.prices import daily_bars, in_range
+from bellwether.sources.steps import new_path
 
 LEXICON_WORDS = 40
 LABELS = ("positive", "neutral", "negative")
@@ -57,6 +58,30 @@ def event_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return raw.withColumn("company", F.nullif(F.col("company"), F.lit("")))
 
 
+def mention_files(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of text files of all events' mentions, semicolons between cells and a header in each.
+
+    Errors have a cell too many, as a payload with the separator in it makes them.
+    """
+    raw = raw_event_mentions(spark, sf_dir)
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("company", "sentiment", "confidence", "timestamp")]
+    line = F.concat_ws(";", *cells, F.when(F.col("sentiment") == "negative", F.col("headline")))
+    path = new_path(spark, "mentions")
+    header = "Company;Sentiment;Sentiment_Score;Date"
+    # One unquoted column, so lines and header are written as they are.
+    raw.select(line.alias(header)).write.options(header=True, quote="", sep="\u0001", escape="").csv(path)
+    return path
+
+
+def company_file(spark: SparkSession, sf_dir: str) -> str:
+    """A folder of comma-separated files of suppliers, whose first two columns have names of their own."""
+    names = table(spark, sf_dir, "supplier")
+    path = new_path(spark, "companies")
+    columns = [F.col("s_name").alias("Firm"), F.concat(F.lit("C"), "s_suppkey").alias("Code"), F.col("s_acctbal").alias("Rest")]
+    names.select(*columns).write.options(header=True).csv(path)
+    return path
+
+
 def text_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled mentions with the headline, text and url of a document."""
     docs = table(spark, sf_dir, "documents")

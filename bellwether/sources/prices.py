@@ -56,6 +56,18 @@ def write_price_table(prices: DataFrame, path: str) -> None:
     prices.repartition("ticker", year).write.mode("overwrite").partitionBy("ticker").parquet(path)
 
 
+def prices_of(
+    spark: SparkSession, path: str, tickers: DataFrame, start: str | None = None, end: str | None = None
+) -> DataFrame:
+    """Bars of the tickers (ticker) from a table that write_price_table() wrote.
+
+    The list prunes directories when the join runs: its tickers are sent to the scan, which
+    opens the directories of those only.
+    """
+    bars = read_price_table(spark, path, start, end)
+    return bars.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+
+
 def daily_bars(
     trades: DataFrame,
     ticker: Column,

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.errors import AnalysisException
@@ -134,6 +135,49 @@ def read_lenient(
     raise ValueError(f"no dialect gives columns {required}, first read gave {found}")
 
 
+def detect_dialect(
+    header: str, required: Iterable[str], aliases: dict[str, str] = MENTION_ALIASES
+) -> tuple[dict[str, str], list[str]]:
+    """(options, columns) of the first dialect under which a header line has the required columns.
+
+    Separators are tried with quotes first, then without. Raises ValueError if none fits.
+    """
+    required = set(required)
+    for quote in ('"', ""):
+        for separator in SEPARATORS:
+            cells = next(csv.reader([header], delimiter=separator, quoting=csv.QUOTE_MINIMAL if quote else csv.QUOTE_NONE))
+            names = [c.strip() for c in cells]
+            if required <= {aliases.get(c, c) for c in names} and len(set(names)) == len(names):
+                return {"sep": separator, "quote": quote or _NEVER}, names
+    raise ValueError(f"no dialect gives columns {sorted(required)} in {header!r}")
+
+
+def scan_lines(
+    spark: SparkSession, path: str, required: Iterable[str], aliases: dict[str, str] = MENTION_ALIASES
+) -> tuple[DataFrame, DataFrame]:
+    """(kept, rejected) rows of the text files of a path, each of which begins with one header line.
+
+    The dialect follows from the header. kept has text columns, named by the header after alias
+    repair, empty cells NULL, short rows filled with NULL. rejected has (line, fields): the rows with
+    more fields than the header, as they stand in the file. Lines equal to the header and
+    blank ones are in neither. Both read the files once each, line by line, in any number of tasks.
+    """
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    first = lines.filter(F.trim("line") != "").first()
+    if first is None:
+        raise ValueError(f"no header in {path}")
+    options, columns = detect_dialect(first.line, required, aliases)
+    body = lines.filter((F.trim("line") != "") & (F.col("line") != F.lit(first.line)))
+    # One cell more than the header has tells the rows that are too long; the rest of them follows in "line".
+    ddl = ", ".join(f"`{name}` string" for name in [*columns, _OVERFLOW])
+    record = F.from_csv("line", F.lit(ddl), {**options, "nullValue": _NEVER, "escape": '"'}).alias("r")
+    parsed = body.select("line", record)
+    longer = F.col(f"r.{_OVERFLOW}").isNotNull()
+    kept = blank_to_null(parsed.filter(~longer).select(*[F.col(f"r.`{c}`") for c in columns]))
+    cells = F.size(F.split("line", "\\Q" + options["sep"] + "\\E"))
+    return repair_columns(kept, aliases), parsed.filter(longer).select("line", cells.alias("fields"))
+
+
 # Conditions under which a source counts as missing.
 _ABSENT = ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA")
 
