@@ -115,9 +115,10 @@ def company_details(
 ) -> DataFrame:
     """Growth rows with sentiment, theme score, latest quote and headlines.
 
-    headlines has (company_key, headlines); quotes are by ticker.
+    headlines has (company_key, headlines); quotes are by ticker. The theme score needs a theme
+    in growth or sentiment and themes (theme, macro_sentiment_score).
     """
-    named = join_theme(join_ignoring_case(growth, sentiment), themes)
+    named = join_theme(join_ignoring_case(growth, sentiment), themes).drop("theme")
     tickers = tickers_of(growth, company_dim, name="company")
     quoted = tickers.join(quotes.select("ticker", *QUOTE_COLUMNS), "ticker", "left")
     return (
@@ -134,6 +135,7 @@ def company_context(selection: DataFrame, details: DataFrame) -> DataFrame:
     return selection.join(details.select(*wanted), "company", "left")
 
 
+# Labels and layout of the lines below.
 def context_line(headlines: str = "headlines") -> Column:
     """Text block of one company for a model's input."""
     lead = F.concat(

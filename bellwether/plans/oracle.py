@@ -512,9 +512,12 @@ tick AS (
   SELECT k, min(ticker) AS ticker FROM (
     SELECT company AS k, ticker FROM dim UNION ALL SELECT ticker, ticker FROM dim) GROUP BY k),
 details AS (
-  SELECT g.*, negative, neutral, positive, NULL::double AS macro_sentiment_score, t.ticker,
+  SELECT g.*, negative, neutral, positive, macro_sentiment_score, t.ticker,
     current_price, sma_20, sma_50, previous_close, day_high, day_low, volume, headlines
   FROM growth g LEFT JOIN labels_of l USING (company)
+  LEFT JOIN customer ON g.company = 'C' || c_custkey
+  LEFT JOIN (SELECT c_mktsegment AS theme, avg(normalized_sentiment) AS macro_sentiment_score
+    FROM cs JOIN customer ON company = 'C' || c_custkey GROUP BY 1) ON theme = c_mktsegment
   LEFT JOIN tick t ON t.k = g.company LEFT JOIN quotes qu ON qu.ticker = t.ticker
   LEFT JOIN heads h ON h.company_key = upper(g.company))"""
 

@@ -818,32 +818,35 @@ def join_theme_optional(spark, d):
 
 @query
 def context_select(spark, d):
-    return settle(
-        context.select_context(
-            bindings.questions(spark, d), _asked(spark, d), _growth(spark, d)
-        )
-    )
+    grown = stored(_growth(spark, d), "growth")
+    return settle(context.select_context(bindings.questions(spark, d), _asked(spark, d), grown))
 
 
-def _details(spark: SparkSession, d: str) -> DataFrame:
+def _details(spark: SparkSession, d: str, grown: DataFrame) -> DataFrame:
+    sectors = bindings.company_sectors(spark, d)
+    # The growth table has the sentiment of every company, so its means per sector need no further scan.
+    scores = grown.select("company", F.col("sentiment_score").alias("normalized_sentiment"))
+    themes = sentiment.sector_sentiment(scores, sectors).toDF("theme", "macro_sentiment_score")
+    labels = sentiment.label_counts(bindings.event_mentions(spark, d))
     return context.company_details(
-        _growth(spark, d),
-        sentiment.label_counts(bindings.event_mentions(spark, d)),
+        grown,
+        labels.join(sectors.withColumnRenamed("sector", "theme"), "company", "left"),
         bindings.company_dim(spark, d),
         prices.latest_quotes(bindings.prices(spark, d)),
         _headline_lists(spark, d),
+        themes,
     )
 
 
 @query
 def company_context(spark, d):
-    chosen = context.select_context(
-        bindings.questions(spark, d), _asked(spark, d), _growth(spark, d)
-    )
-    shown = context.company_context(chosen, _details(spark, d))
+    grown = stored(_growth(spark, d), "growth")
+    chosen = context.select_context(bindings.questions(spark, d), _asked(spark, d), grown)
+    shown = context.company_context(chosen, _details(spark, d, grown))
     return settle(shown.withColumn("headlines", F.array_join("headlines", "; ")), 4)
 
 
 @query
 def context_lines(spark, d):
-    return _details(spark, d).select("company", context.context_line().alias("line"))
+    grown = stored(_growth(spark, d), "growth")
+    return _details(spark, d, grown).select("company", context.context_line().alias("line"))
