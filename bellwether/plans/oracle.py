@@ -762,6 +762,17 @@ SELECT count(*) FILTER (up) AS positives, count(*) FILTER (NOT up) AS negatives,
     "prices_of_movers": _with(BARS, PREDICTIONS) + """
 SELECT ticker, count(*) AS days, round(max(high), 4) AS high FROM bars
 WHERE trade_date >= '1995-01-01' AND ticker IN (SELECT company FROM pred WHERE ml_prediction = 'up') GROUP BY ticker""",
+    "market_returns": """
+WITH closes AS (
+  SELECT date_trunc('day', o_orderdate)::timestamp AS trade_date, arg_max(o_totalprice, (o_orderdate, o_totalprice)) AS close
+  FROM orders GROUP BY 1)
+SELECT trade_date, round(close, 6) AS close, round(close / lag(close) OVER w - 1, 6) AS change,
+  round(close / first_value(close) OVER w - 1, 6) AS total_change FROM closes WINDOW w AS (ORDER BY trade_date)""",
+    "signals_by_day": _with(SENTIMENT) + """
+SELECT company, article_count, round(weighted_sentiment_sum, 9) AS weighted_sentiment_sum,
+  round(normalized_sentiment, 9) AS normalized_sentiment,
+  round(time_decayed_sentiment, 9) AS time_decayed_sentiment, total_mentions
+FROM cs LEFT JOIN dm USING (company)""",
     "sma_latest": _with(BARS, QUOTES)
     + f"SELECT ticker, {_rounded('sma_20 sma_50', 4)} FROM quotes",
     "latest_quote": _with(BARS, QUOTES) + f"""

@@ -19,6 +19,7 @@ from bellwether.operators import (
     entities,
     gazetteer,
     growth,
+    increments,
     keywords,
     market,
     mentions,
@@ -589,6 +590,28 @@ def market_mood(spark, d):
     )
 
 
+@query
+def market_returns(spark, d):
+    # One row per order: the operator itself makes one close of each day.
+    orders = bindings.table(spark, d, "orders")
+    series = orders.select(
+        F.col("o_orderdate").cast("timestamp").alias("trade_date"), F.col("o_totalprice").alias("close")
+    )
+    return settle(market.daily_returns(series), 6)
+
+
+@query
+def signals_by_day(spark, d):
+    # All days but the newest first, then the newest alone: only its partial sums are made anew.
+    rows = bindings.event_mentions(spark, d)
+    newest = rows.agg(F.max(F.to_date("timestamp"))).scalar()
+    is_new = F.coalesce(F.to_date("timestamp") >= newest, F.lit(False))
+    path = new_path(spark, "partials")
+    increments.write_days(rows.filter(~is_new), path)
+    increments.write_days(rows.filter(is_new), path)
+    return settle(increments.signals(spark, path, reference_time(rows)))
+
+
 @query
 def market_indicators(spark, d):
     return settle(
