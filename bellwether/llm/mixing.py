@@ -151,15 +151,16 @@ def _corrected(wanted: DataFrame, cap: int) -> DataFrame:
 
 
 def copy_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
-    """(source, size, source_size, target, base, mark): copies of every document of a source and size.
+    """(source, size, source_size, target, base, mark, share): copies of every document of a source and size.
 
-    sized holds (doc_id, source, size), one row per document. A document takes
-    base copies, and one more if draw(doc_id) is at most mark. Within a source,
+    sized holds (doc_id, tid, source, size), one row per document, tid being a hash of its text. A
+    document takes base copies, and one more if draw(doc_id, tid) is under mark, or is mark and
+    the row belongs to the share of the equal rows that is still wanted. Within a source,
     sizes ascend and the running sum of wanted copies is rounded, which misses the
     target by less than the largest document; single copies of fitting size then
     take the rest of the error away.
     """
-    sized = written(sized.select("doc_id", "source", "size"), "sizes")
+    sized = written(sized.select("doc_id", "tid", "source", "size"), "sizes")
     counted = written(sized.groupBy("source", "size").agg(F.count("*").alias("n")), "cells")
     totals = counted.select("source", (F.col("size") * F.col("n")).alias("size"))
     aims = written(targets(totals, weights, cap), "targets")
@@ -183,48 +184,72 @@ def copy_plan(sized: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = C
     )
     wanted = written(wanted, "wanted")
     partly = wanted.filter("more > 0").select("source", "size", "no", "n", "more")
+    # Equal rows draw alike, so draws are counted before they are ordered.
     drawn = (
         sized.join(partly.withColumnRenamed("source", "s").withColumnRenamed("size", "z"), F.col("source").eqNullSafe(F.col("s")) & (F.col("size") == F.col("z")))
-        .select("no", "size", "n", "more", draw("doc_id").alias("drawn"))
+        .groupBy("no", "size", "n", "more", draw("doc_id", "tid").alias("drawn"))
+        .agg(F.count("*").alias("ties"))
         .withColumn("part", F.floor(F.col("drawn") / F.lit(2.0**63) * F.ceil(F.col("n") / CELL)))
     )
-    parts = drawn.groupBy("no", "size", "part").agg(F.count("*").alias("rows"))
+    parts = drawn.groupBy("no", "size", "part").agg(F.sum("ties").alias("rows"))
     earlier = Window.partitionBy("no", "size").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     parts = parts.withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0))).drop("rows")
-    within = F.row_number().over(Window.partitionBy("no", "size", "part").orderBy("drawn"))
+    within = F.sum("ties").over(Window.partitionBy("no", "size", "part").orderBy("drawn"))
+    last = F.min(F.struct("drawn", "ties", "upto", "more")).alias("last")
     marks = (
         drawn.withColumn("within", within)
         .join(parts, ["no", "size", "part"])
-        .filter(F.col("before") + F.col("within") <= F.col("more"))
+        .withColumn("upto", F.col("before") + F.col("within"))
+        .filter(F.col("upto") >= F.col("more"))
         .groupBy("no", "size")
-        .agg(F.max("drawn").alias("mark"))
+        .agg(last)
     )
+    missing = F.col("last.more") - F.col("last.upto") + F.col("last.ties")
     return written(
         wanted.join(marks, ["no", "size"], "left").select(
-            "source", "size", "source_size", "target", "base", F.coalesce("mark", F.lit(-1)).alias("mark")
+            "source",
+            "size",
+            "source_size",
+            "target",
+            "base",
+            F.coalesce("last.drawn", F.lit(-1)).alias("mark"),
+            F.coalesce(missing / F.col("last.ties"), F.lit(0.0)).alias("share"),
         ),
         "copies",
     )
 
 
-def draw(doc_id: Column | str) -> Column:
-    """A fixed draw of a document, from 0 to 2**63 - 1."""
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 1)
+def draw(*columns: Column | str) -> Column:
+    """A fixed draw of a row, from 0 to 2**63 - 1."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 1)
+
+
+def _sized(docs: DataFrame) -> DataFrame:
+    return docs.select(
+        "doc_id", F.xxhash64("text").alias("tid"), "source", word_count("text").alias("size"),
+        draw(F.monotonically_increasing_id()).alias("row_draw"),
+    )
+
 
+def _copies(rows: DataFrame, plan: DataFrame) -> tuple[DataFrame, Column]:
+    """rows(doc_id, tid, source, size, row_draw) joined with their plan, and the copies of a row.
 
-def _copies(docs: DataFrame, plan: DataFrame, size: Column) -> tuple[DataFrame, Column]:
-    """docs (with doc_id and source) joined with its plan, and the copies of a row."""
-    same = docs["source"].eqNullSafe(plan["source"]) & (size == plan["size"])
-    more = F.when(draw(docs["doc_id"]) <= plan["mark"], 1).otherwise(0)
-    return docs.join(plan, same), plan["base"] + more
+    Of the equal rows at the mark a share is taken, by their place in the input.
+    """
+    same = rows["source"].eqNullSafe(plan["source"]) & (rows["size"] == plan["size"])
+    own = draw(rows["doc_id"], rows["tid"])
+    tie = (own == plan["mark"]) & (rows["row_draw"] < plan["share"] * F.lit(2.0**63))
+    return rows.join(plan, same), plan["base"] + F.when((own < plan["mark"]) | tie, 1).otherwise(0)
 
 
 def taken_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int = CAP) -> DataFrame:
     """The rows of docs, each as often as the mix takes it; columns as they are (see mixed_sources)."""
-    plan = copy_plan(docs.select("doc_id", "source", word_count("text").alias("size")), weights, cap)
-    joined, copies = _copies(docs, plan, word_count(docs["text"]))
-    row = F.struct(*[docs[c] for c in docs.columns]).alias("row")
-    repeated = joined.select(row, F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy"))
+    plan = copy_plan(_sized(docs), weights, cap)
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("row")
+    rows = docs.select(whole).select("row", "row.doc_id", F.xxhash64("row.text").alias("tid"), "row.source")
+    rows = rows.withColumns({"size": word_count("row.text"), "row_draw": draw(F.monotonically_increasing_id())})
+    joined, copies = _copies(rows, plan)
+    repeated = joined.select("row", F.explode(F.array_repeat(F.lit(1), copies.cast("int"))).alias("copy"))
     return repeated.select("row.*")
 
 
@@ -234,12 +259,13 @@ def mixed_sources(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, cap: int
     size counts the words of the whole text; taken is copies times size, at most
     cap times the size. Null texts, empty texts and texts without words have size 0 and
     are taken once. A null source is a source, the last one; a null doc_id is an
-    id like any other. Rows that repeat a doc_id within a source and size are
-    taken alike. An empty table gives no rows; other columns are ignored.
+    id like any other. Rows that repeat a doc_id and a text are taken as often as their source's
+    target asks for, some of them once more than the others: which ones follows from their place
+    in the input. An empty table gives no rows; other columns are ignored.
     """
-    sized = docs.select("doc_id", "source", word_count("text").alias("size"))
+    sized = _sized(docs)
     plan = copy_plan(sized, weights, cap)
-    joined, copies = _copies(sized, plan, sized["size"])
+    joined, copies = _copies(sized, plan)
     return joined.select(
         sized["doc_id"],
         sized["size"],

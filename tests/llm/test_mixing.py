@@ -90,3 +90,15 @@ def test_tilt_is_exponential_in_the_size(spark):
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert mixed_sources(docs).collect() == [] and taken_documents(docs).collect() == []
+
+
+def test_repeated_and_null_ids_come_near_the_target(spark):
+    text = "ten words of one text that many rows all repeat"
+    rows = [(7, text, "a")] * 1000 + [(None, text, "b")] * 900 + [(100 + i, text + str(i), "c") for i in range(100)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(6)
+    got = mixed_sources(docs).collect()
+    for name, ids in (("a", lambda i: i == 7), ("b", lambda i: i is None)):
+        own = [r for r in got if ids(r.doc_id)]
+        taken, target = sum(r.taken for r in own), own[0].target
+        assert abs(taken - target) < 0.06 * target, (name, taken, target)
+        assert 0 < taken != 2 * own[0].source_size and max(r.copies for r in own) - min(r.copies for r in own) <= 1
