@@ -70,6 +70,13 @@ def _between(links: DataFrame, label: DataFrame) -> DataFrame:
     return links.filter("a <> b").distinct()
 
 
+def _with_smallest(buckets: DataFrame, carried: list[str]) -> DataFrame:
+    """buckets without the smallest id of each key, which stands beside the others as b, its columns with _2."""
+    tops = buckets.groupBy("key").agg(F.min(F.struct("id", *carried)).alias("top"))
+    heads = tops.select("key", F.col("top.id").alias("b"), *[F.col(f"top.{c}").alias(f"{c}_2") for c in carried])
+    return buckets.join(heads, "key").filter(F.col("id") != F.col("b"))
+
+
 def bucket_components(
     buckets: DataFrame,
     near: Column,
@@ -85,7 +92,8 @@ def bucket_components(
     verify keeps their pair: it gets (a, b) plus further columns and returns the
     rows that link.
 
-    Every bucket first compares all members with its smallest, a row per member.
+    Every id is first compared with one, the smallest that it meets in a bucket; then every bucket
+    that still holds two components compares all members with its smallest, a row per member.
     Buckets whose members then still belong to several components go on: members
     outside the bucket's largest component are pivots and meet all members of
     other components, 64 of them in the next round, 256 in the one after. The
@@ -99,18 +107,15 @@ def bucket_components(
     label (id, component) tells what is known already: only buckets that hold two components count.
     """
     carried = [c for c in buckets.columns if c not in ("key", "id")]
-    known, apart = [], F.col("id") != F.col("b")
-    if label is not None:
-        buckets = written(_undecided(buckets, label).select("key", "id", "component", *carried), "undecided")
-        known, apart = ["component"], F.col("component") != F.col("component_2")
-    row = F.struct("id", *known, *carried)
-    tops = buckets.groupBy("key").agg(F.min(row).alias("top"))
-    heads = tops.select(
-        "key", F.col("top.id").alias("b"), *[F.col(f"top.{c}").alias(f"{c}_2") for c in (*known, *carried)]
-    )
-    compared = buckets.join(heads, "key").filter(F.col("id") != F.col("b"))
-    pairs = compared.filter(apart & near).select(F.col("id").alias("a"), "b").distinct()
-    label = components(verify(pairs)) if label is None else merged(label, _between(verify(pairs), label))
+    if label is None:
+        # One pair of each id first: in a large group the smallest members of its buckets differ,
+        # and most of their pairs are decided by these few.
+        near_pairs = _with_smallest(buckets, carried).filter(near)
+        label = components(verify(near_pairs.groupBy(F.col("id").alias("a")).agg(F.min("b").alias("b"))))
+    apart = written(_undecided(buckets, label).select("key", "id", "component", *carried), "undecided")
+    compared = _with_smallest(apart, ["component", *carried])
+    pairs = compared.filter((F.col("component") != F.col("component_2")) & near).select(F.col("id").alias("a"), "b")
+    label = merged(label, _between(verify(pairs.distinct()), label))
     rows = compared.select("key", "id", *carried)
 
     pivots, screened, source = PIVOTS, screen is None, None
