@@ -4,10 +4,12 @@ import random
 import zlib
 
 import numpy as np
+import pyarrow as pa
+import pytest
 from pyspark.sql import functions as F
 
+from bellwether.llm import toxicity as toxicity_module
 from bellwether.llm.toxicity import fit, remainder, scores, swapped_sentences, toxicity, word_features
-import pyarrow as pa
 
 INSULTS = ["blorgish", "snarfel", "gruntak"]
 
@@ -76,3 +78,50 @@ def test_swaps_and_features():
     table = word_features(pa.array(["Word!", "wo", "--", "WORDs"]))
     assert table.shape == (4, 3) and (table[2] == 0).all() and table[1, 0] != 0 and (table[1, 1:] == 0).all()
     assert table[0, 1] == table[3, 1] and table[0, 0] != table[3, 0]
+
+
+def plain_features(text):
+    """The feature hashes of a text, word by word."""
+    found = set()
+    for word in set((text or "").replace("\x0b", " ").replace("\x0c", " ").split()):
+        found |= set(word_features(pa.array([word], pa.large_string())).ravel().tolist())
+    return found - {0}
+
+
+def test_scores_against_plain_sums(spark):
+    rng = np.random.default_rng(3)
+    words = "vile rotten kind day the of Clown! idiot, sunny people".split()
+    known = np.array(sorted(plain_features(" ".join(words[:7]))), np.int64)
+    weights = rng.normal(size=len(known))
+    rows = [(i, " ".join(rng.choice(words, rng.integers(0, 30)))) for i in range(80)]
+    rows += [(None, "vile day"), (5, None), (5, ""), (7, "vile " * 30_000 + "kind")]
+    got = toxicity_module.scores(spark.createDataFrame(rows, "doc_id long, text string"), known, weights, -0.5).collect()
+    place = {f: i for i, f in enumerate(known.tolist())}
+    want = []
+    for i, text in rows:
+        total = sum(weights[place[f]] for f in plain_features(text) if f in place) - 0.5
+        want.append((i, round(1 / (1 + np.exp(-total)), 9)))
+    assert sorted(((r.doc_id, round(r.score, 9)) for r in got), key=str) == sorted(want, key=str)
+
+
+@pytest.mark.parametrize("fairness", [0.0, 2.0])
+def test_fit_is_the_minimum_of_the_whole_loss(fairness):
+    """The dense gradient of the penalised loss, written out, is zero where the fit ends."""
+    rng = np.random.default_rng(4)
+    x = (rng.random((300, 12)) < 0.3).astype(float)
+    toxic = (x[:, 0] + x[:, 1] + rng.normal(0, 0.5, 300) > 0.7).astype(float)
+    weight = rng.random(300) + 0.5
+    swaps = [([0], [2], 5), ([3, 4], [], 2), ([], [1], 1)]
+    index, columns = np.nonzero(x)
+    w, b = toxicity_module.fit_weights(index, columns, toxic, weight, swaps, 12, fairness)
+    p = 1 / (1 + np.exp(-(x @ w + b)))
+    slope = x.T @ (weight * (p - toxic)) + toxicity_module.RIDGE * w
+    all_times = sum(t for _, _, t in swaps)
+    for plus, minus, times in swaps:
+        change = np.zeros(12)
+        change[plus], change[minus] = 1, -1
+        slope += fairness * 300 * times / all_times * (change @ w) * change
+    assert np.abs(slope).max() < 0.05 and abs((weight * (p - toxic)).sum()) < 0.05
+    if fairness:
+        free, _ = toxicity_module.fit_weights(index, columns, toxic, weight, swaps, 12, 0.0)
+        assert abs(w[0] - w[2]) < 0.5 * abs(free[0] - free[2])
