@@ -34,7 +34,42 @@ FORMAT = {
 COLUMNS = "doc_id long, part int, place long, before long, n_tokens int, ids array<int>"
 WORDS_HELD = 400_000  # words whose ids a worker remembers, whatever the input
 
-_memories: dict[str, tuple] = {}
+# Words of these letters and a tail of these signs are two pieces of the tokenizer for sure: letters
+# that lower-case to one of themselves, and signs other than the apostrophe, which begins short forms.
+_LETTERS, _SIGNS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
+
+_memories: dict[str, _Memory] = {}
+
+
+def _spelt() -> dict[int, str]:
+    """How a byte-level vocabulary spells the letters beyond ASCII: a letter for each byte."""
+    shown = [b for b in range(256) if 33 <= b <= 126 or 161 <= b <= 172 or b >= 174]
+    letter = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
+    return {code: "".join(letter[b] for b in chr(code).encode()) for code in range(0xC0, 0x100)}
+
+
+_SPELT = _spelt()
+
+
+def _pieces(words: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array, np.ndarray]:
+    """(piece numbers of all words in order, start of each word and end, distinct pieces, whether letters only).
+
+    A word of plain letters and signs is its letters in lower case and, if there are any, its
+    signs; any other word is one piece.
+    """
+    plain = pc.match_substring_regex(words, f"^[{_LETTERS}]+[{_SIGNS}]*$")
+    letters = pc.utf8_lower(pc.replace_substring_regex(words, f"[{_SIGNS}]*$", ""))
+    signs = pc.replace_substring_regex(words, f"^[{_LETTERS}]+", "")
+    tailed = pc.and_(plain, pc.not_equal(signs, "")).to_numpy(zero_copy_only=False)
+    firsts = pc.if_else(plain, letters, words)
+    both = pa.chunked_array([firsts, signs.filter(pa.array(tailed))]).combine_chunks().dictionary_encode()
+    codes = both.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    starts = np.concatenate(([0], np.cumsum(1 + tailed)))
+    order = np.empty(len(codes), np.int64)
+    order[starts[:-1]] = codes[: len(words)]
+    order[starts[1:][tailed] - 1] = codes[len(words) :]
+    kinds = pc.match_substring_regex(both.dictionary, f"^[{_LETTERS}]+$").to_numpy(zero_copy_only=False)
+    return order, starts, both.dictionary, kinds
 
 
 class _Memory:
@@ -49,18 +84,26 @@ class _Memory:
         self.starts = np.zeros(1, np.int64)
         self.flat = np.zeros(0, np.int32)
 
-    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+    def _encode(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words; plain ones are lower-case letters, which the vocabulary's model takes as they are."""
+        found: list[list[int]] = [[]] * len(words)
+        tokenize = self.tokenizer.model.tokenize
+        for i in np.flatnonzero(plain).tolist():
+            found[i] = [token.id for token in tokenize(words[i].translate(_SPELT))]
+        rest = np.flatnonzero(~plain).tolist()
+        encoded_rest = self.tokenizer.encode_batch_fast([words[i] for i in rest], add_special_tokens=False)
+        for i, e in zip(rest, encoded_rest, strict=True):
+            found[i] = e.ids
         sizes = np.fromiter(map(len, found), np.int64, len(found))
         flat = np.fromiter((i for ids in found for i in ids), np.int32, int(sizes.sum()))
         return sizes, flat
 
-    def lookup(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    def lookup(self, words: list[str], plain: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, size) of every word's ids in the returned flat array."""
         get = self.places.get
         places = np.fromiter((get(w, -1) for w in words), np.int64, len(words))
         missing = np.flatnonzero(places < 0)
-        sizes, flat = self._encode([words[i] for i in missing.tolist()])
+        sizes, flat = self._encode([words[i] for i in missing.tolist()], plain[missing])
         ends = self.starts[-1] + np.cumsum(sizes)
         all_starts = np.concatenate((self.starts, ends))
         all_flat = np.concatenate((self.flat, flat))
@@ -85,12 +128,17 @@ def _memory(path: str) -> _Memory:
 def encoded(texts: pa.Array, path: str, end_id: int) -> pa.ListArray:
     """Ids of every whole text and the end id; white space must separate the tokenizer's words.
 
-    Each distinct word is encoded once: the tokenizer drops ASCII white space and
-    never joins across it, so a text's ids are its words' ids in order.
+    Each distinct piece of a word is encoded once: the tokenizer drops ASCII white space,
+    never joins across it nor across letters and signs, so a text's ids are its pieces' ids in order.
     """
-    codes, starts, words = split_words(texts)
+    words_at, starts, words = split_words(texts)
+    pieces, bounds, names, plain = _pieces(words)
+    own = np.diff(bounds)[words_at]
+    ends = np.concatenate(([0], np.cumsum(own)))
+    codes = pieces[np.repeat(bounds[:-1][words_at] - ends[:-1], own) + np.arange(ends[-1])]
+    starts = ends[starts]
     memory = _memory(path)
-    first, size, flat = memory.lookup(words.to_pylist())
+    first, size, flat = memory.lookup(names.to_pylist(), plain)
     lengths = size[codes]
     before = np.concatenate(([0], np.cumsum(lengths)))
     taken = np.repeat(first[codes] - before[:-1], lengths) + np.arange(before[-1])
@@ -115,7 +163,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str, end_id: int = 1) -> No
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, place, before = TaskContext.get().partitionId(), 0, 0
         for batch in batches:
-            for rows in slices(batch, "text", 2 << 20):
+            for rows in slices(batch, "text", 4 << 20):
                 ids = encoded(rows.column("text"), path, end_id)
                 sizes = np.diff(ids.offsets.to_numpy())
                 ends = before + np.cumsum(sizes, dtype=np.int64)

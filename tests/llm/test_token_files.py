@@ -22,6 +22,9 @@ def texts():
     rows = [None, "", " ", "Hello's WORLD", "a<|endoftext|>b <|STARTOFTEXT|>", "naïve café é ß Σας ΣΑΣ", "\x0b\x0c\r\n x\ty"]
     rows += ["non breaking space line", "日本語 emoji 😀😀 1234", "don't can't 'll ''s"]
     rows += [" ".join(rng.choice(("alpha", "Beta!", "12.5", "qux,")) for _ in range(rng.randrange(1, 300))) for _ in range(30)]
+    pieces = ["Été", "ÀÖØß", "ÿ", "naïve", "x", "IBM", "don't", "it's.", "co-op", "e\u0301t", "ŀ", "İx", "1a", "a1", "...", "!?", "'", "word'", "-a-"]
+    signs = ["", ".", ",", "!)", "_", "`~", "@#", "'", "--", "…", "«"]
+    rows += [" ".join(rng.choice(pieces) + rng.choice(signs) for _ in range(200)) for _ in range(20)]
     return rows
 
 
