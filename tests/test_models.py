@@ -44,6 +44,7 @@ def test_net_without_samples(spark):
     none = spark.createDataFrame([], "ticker string, trade_date timestamp, close double")
     sentiment = spark.createDataFrame([], "company string, normalized_sentiment double")
     assert recurrent.predict_recurrent(none, sentiment).isEmpty()
+    assert tuple(direction.direction_area(none, sentiment).first()) == (0, 0, None)
     assert recurrent.compared_models(none, sentiment).isEmpty()
 
 
