@@ -56,7 +56,8 @@ def surviving(words: np.ndarray, starts: np.ndarray) -> np.ndarray:
             at, segment = at[long[segment]], segment[long[segment]]
     done.append(_bounds(at, segment))
     found = np.concatenate(done)
-    return found[np.argsort(found[:, 0])][np.diff(found, axis=1)[np.argsort(found[:, 0]), 0] >= SHORTEST]
+    found = found[found[:, 1] - found[:, 0] >= SHORTEST]
+    return found[np.argsort(found[:, 0])]
 
 
 def _bounds(at: np.ndarray, segment: np.ndarray) -> np.ndarray:

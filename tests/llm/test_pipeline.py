@@ -4,7 +4,6 @@ import random
 
 import corpus_pipeline
 from bellwether.llm.mixing import mixed_sources
-from bellwether.llm.near_dedup import near_duplicates
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string"
 
@@ -35,6 +34,36 @@ def tables(spark, folder):
     return rows
 
 
+def similar(x, y):
+    """Edit similarity of 0.8 at least, by plain rows of distances."""
+    most = max(len(x), len(y)) // 5
+    if abs(len(x) - len(y)) > most:
+        return False
+    row = list(range(len(y) + 1))
+    for i, a in enumerate(x, 1):
+        before, row = row, [i]
+        for j, b in enumerate(y, 1):
+            row.append(min(before[j] + 1, row[-1] + 1, before[j - 1] + (a != b)))
+    return row[-1] <= most
+
+
+def plain_components(texts):
+    """Smallest doc_id reachable over pairs with a Jaccard similarity of 0.8 of their five-word windows."""
+    sets = {}
+    for i, text in texts.items():
+        words = text.lower().split()
+        sets[i] = {tuple(words[j : j + 5]) for j in range(max(1, len(words) - 4))} if words else set()
+    least = {i: i for i in texts}
+    links = [
+        (a, b) for a in sets for b in sets
+        if a < b and sets[a] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    ]
+    for _ in texts:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    return least
+
+
 def test_stages(spark, tmp_path):
     rows = tables(spark, tmp_path)
     docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
@@ -52,12 +81,18 @@ def test_stages(spark, tmp_path):
     assert sorted(language) == sorted(r[0] for r in rows if r[0] not in (400, 401, 402))
     lines = out["line_dedup"].collect()
     assert 403 not in {r.doc_id for r in lines}
-    seen = [x for r in lines for x in r.text.split("\n")]
-    assert len(seen) >= len(set(seen)) and all(r.n_chars == len(r.text) for r in lines if r.doc_id < 160)
+    seen = [" ".join(x.lower().split()) for r in lines for x in r.text.split("\n") if x.split()]
+    assert len(seen) == len(set(seen)) and all(r.n_chars == len(r.text) for r in lines if r.doc_id < 160)
+    # Every line that is gone has an equal one, or one of an edit similarity of 0.8 at least, that stays.
+    kept = set(seen)
+    for i, text, _, _ in rows:
+        for line in (text or "").lower().split("\n") if i in language else []:
+            line = " ".join(line.split())
+            assert not line or line in kept or any(similar(line, other) for other in kept), line
 
     near = out["minhash_near_dedup"].collect()
     ids = [r.doc_id for r in near]
-    want = {r.component_id for r in near_duplicates(out["line_dedup"]).collect()}
+    want = set(plain_components({r.doc_id: r.text for r in lines}).values())
     assert len(ids) == len(set(ids)) and set(ids) == want
     assert len({i for i in ids if 300 <= i < 310}) == 1
 
