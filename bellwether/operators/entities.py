@@ -373,13 +373,32 @@ def _position(text: Column, spelling: Column, as_written: Column) -> Column:
     return F.regexp_instr(searched, word_bounded(looked))
 
 
-def _place(text: Column, spelling: Column, as_written: Column, ticker: Column) -> Column:
-    """Sort key of a name in a text: earliest first, longer first at one place."""
-    return F.struct(
-        _position(text, spelling, as_written).alias("position"),
-        (-F.length(spelling)).alias("size"),
-        ticker.alias("ticker"),
+def _earliest(headlines: DataFrame, names: DataFrame, key: str, headline: str, shown: str) -> DataFrame:
+    """(key, place): the earliest known name of each headline, the longer one at one place, then the smaller shown.
+
+    Words and names meet by a join that carries keys only, and the headline joins
+    back where there is a candidate; a short name list is broadcast by its size.
+    """
+    words = headlines.select(
+        key, F.explode(F.array_distinct(word_tokens(F.col(headline)))).alias("word")
     )
+    hits = words.join(_name_keys(names, "spelling", words), "word").drop("word")
+    position = _position(F.col(headline), F.col("spelling"), F.col("as_written"))
+    place = F.struct(position.alias("position"), (-F.length("spelling")).alias("size"), F.col(shown))
+    placed = hits.join(headlines.select(key, headline), key).select(key, place.alias("place"))
+    return placed.filter(F.col("place.position") > 0).groupBy(key).agg(F.min("place").alias("place"))
+
+
+def earliest_spelling(headlines: DataFrame, names: DataFrame, key: str, headline: str = "headline") -> DataFrame:
+    """(key, spelling) of the earliest known name in each headline, for name lists (spelling, as_written) of any length.
+
+    Each distinct headline is searched once, so rows of equal or no key stay apart.
+    """
+    digest = F.md5(headline).alias("digest")
+    rows = headlines.filter(F.col(headline).isNotNull()).select(key, headline, digest)
+    texts = rows.groupBy("digest").agg(F.first(headline).alias("text"))
+    found = _earliest(texts, names, "digest", "text", "spelling")
+    return rows.join(found, "digest").select(key, F.col("place.spelling").alias("spelling"))
 
 
 def extract_company(
@@ -391,24 +410,9 @@ def extract_company(
     """Company of the earliest known name in a headline, as (key, company).
 
     Longer names win at the same place. Headlines without a known name are left out.
-    Words and names meet by a join that carries keys only, and the headline joins
-    back where there is a candidate; a short name list is broadcast by its size.
     """
-    words = headlines.select(
-        key, F.explode(F.array_distinct(word_tokens(F.col(headline)))).alias("word")
-    )
-    hits = words.join(_name_keys(names, "spelling", words), "word").drop("word")
-    placed = hits.join(headlines.select(key, headline), key).select(
-        key,
-        _place(
-            F.col(headline), F.col("spelling"), F.col("as_written"), F.col("ticker")
-        ).alias("place"),
-    )
-    return (
-        placed.filter(F.col("place.position") > 0)
-        .groupBy(key)
-        .agg(F.min("place")["ticker"].alias("company"))
-    )
+    found = _earliest(headlines, names, key, headline, "ticker")
+    return found.select(key, F.col("place.ticker").alias("company"))
 
 
 def attach_companies(mentions: DataFrame, names: DataFrame) -> DataFrame:

@@ -120,11 +120,12 @@ def earliest_names(
 
     names has (spelling, as_written, ticker); as_written spellings count in their own case only.
     Of spellings that differ in case only, the first as such. A headline without one has no row.
+    More than HELD spellings meet the headlines by a join on words, with the same result.
     """
-    listed = names.select("spelling", "as_written").filter("spelling <> ''").distinct()
+    listed = stored(names.select("spelling", "as_written").filter("spelling <> ''").distinct(), "spelt")
     rows = sorted(tuple(r) for r in listed.limit(HELD + 1).collect())
     if len(rows) > HELD:
-        raise ValueError(f"more than {HELD} spellings: use entities.extract_company")
+        return entities.earliest_spelling(headlines, listed, key, headline)
     trie, kind = Trie([r[0] for r in rows]), dict(headlines.dtypes)[key]
 
     def first(raw: str) -> str | None:

@@ -62,3 +62,14 @@ def test_first_name_is_resolved(spark, rows):
     assert rows(by_join) == [(i, c) for i, _, c in got]
     names = entities.name_list(dim, aliases).withColumn("n", F.lit(1))
     assert gazetteer.earliest_names(headlines.limit(0), names, "id").collect() == []
+
+
+def test_long_lists_find_the_same_first_name(spark, monkeypatch, rows):
+    names = [(n, False) for n in NAMES] + [("META", True), ("C1", True), ("Up", True), ("up", False)]
+    listed = spark.createDataFrame(names, "spelling string, as_written boolean")
+    heads = [(i // 2 if i % 7 else None, t) for i, t in enumerate([*texts()[:-1], "Up or up", "up, Up", "META, meta"])]
+    headlines = spark.createDataFrame(heads, "id int, headline string")
+    by_trie = rows(gazetteer.earliest_names(headlines, listed, "id"))
+    monkeypatch.setattr(gazetteer, "HELD", 3)
+    assert rows(gazetteer.earliest_names(headlines, listed, "id")) == by_trie
+    assert len(by_trie) > 100 and any(i is None for i, _ in by_trie)
