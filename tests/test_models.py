@@ -101,3 +101,24 @@ def test_list_prunes_directories(spark, tmp_path):
     assert found.count() == 6
     plan = found._jdf.queryExecution().executedPlan().toString()
     assert "dynamicpruning" in plan.lower()
+
+
+def test_joined_layers_equal_single_ones():
+    """One layer after the other, step by step, in plain form."""
+    rng = np.random.default_rng(7)
+    x, flat = rng.normal(size=(70, 10, 3)), recurrent.started(3) + rng.normal(0, 0.1, len(recurrent.started(3)))
+    sizes = [int(np.prod(s)) for s in recurrent.shapes(3)]
+    parts = [w.reshape(s) for w, s in zip(np.split(flat, np.cumsum(sizes)[:-1]), recurrent.shapes(3), strict=True)]
+    given, n = x, recurrent.CELLS
+    for w, b in zip(parts[0:-2:2], parts[1:-2:2], strict=True):
+        h, c, states = np.zeros((len(x), n)), np.zeros((len(x), n)), []
+        for t in range(x.shape[1]):
+            z = np.concatenate((given[:, t], h), axis=1) @ w + b
+            i, f, o = (1 / (1 + np.exp(-z[:, k * n : (k + 1) * n])) for k in range(3))
+            c = f * c + i * np.tanh(z[:, 3 * n :])
+            h = o * np.tanh(c)
+            states.append(h)
+        given = np.stack(states, axis=1)
+    plain = 1 / (1 + np.exp(-(given[:, -1] @ parts[-2] + parts[-1])))
+    assert recurrent.chances(flat, x) == pytest.approx(plain, abs=1e-12)
+    assert len(recurrent.chances(flat, x[:0])) == 0
