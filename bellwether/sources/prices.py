@@ -7,6 +7,9 @@ from pyspark.sql import functions as F
 
 from bellwether.schemas import PRICES
 
+DIRECTORIES = 200  # of a price table, at most
+GROUP = "ticker_group"  # column of the directories that tickers share
+
 
 def in_range(
     prices: DataFrame, start: str | None, end: str | None, column: str = "trade_date"
@@ -26,8 +29,8 @@ def in_range(
 def read_price_table(
     spark: SparkSession, path: str, start: str | None = None, end: str | None = None
 ) -> DataFrame:
-    """Parquet laid out by ticker."""
-    return in_range(spark.read.parquet(path), start, end)
+    """Bars of a table that write_price_table() wrote."""
+    return in_range(spark.read.parquet(path), start, end).drop(GROUP)
 
 
 def read_price_files(
@@ -47,13 +50,25 @@ def read_price_files(
     return in_range(typed, start, end)
 
 
+def _group() -> Column:
+    return F.pmod(F.xxhash64("ticker"), F.lit(DIRECTORIES)).cast("int")
+
+
 def write_price_table(prices: DataFrame, path: str) -> None:
     """One directory per ticker, so a ticker filter prunes directories.
 
-    A ticker's bars of one year go through one task, so a year is one file.
+    More than DIRECTORIES tickers share that many directories by a hash of the ticker, sorted by
+    it, so the number of files does not grow with the tickers and a filter skips row groups.
+    The bars of one directory and year go through one task, so a year is one file.
     """
     year = F.year("trade_date")
-    prices.repartition("ticker", year).write.mode("overwrite").partitionBy("ticker").parquet(path)
+    if prices.select("ticker").distinct().limit(DIRECTORIES + 1).count() <= DIRECTORIES:
+        prices.repartition("ticker", year).write.mode("overwrite").partitionBy("ticker").parquet(path)
+        return
+    columns = [c for c in prices.columns if c != "ticker"]
+    grouped = prices.select(*columns, "ticker", _group().alias(GROUP)).repartition(GROUP, year)
+    rows = grouped.sortWithinPartitions(GROUP, "ticker", "trade_date")
+    rows.write.mode("overwrite").partitionBy(GROUP).parquet(path)
 
 
 def prices_of(
@@ -61,11 +76,13 @@ def prices_of(
 ) -> DataFrame:
     """Bars of the tickers (ticker) from a table that write_price_table() wrote.
 
-    The list prunes directories when the join runs: its tickers are sent to the scan, which
-    opens the directories of those only.
+    The list prunes directories when the join runs: its tickers, or the groups they fall in, are
+    sent to the scan, which opens the directories of those only.
     """
-    bars = read_price_table(spark, path, start, end)
-    return bars.join(tickers.select("ticker").distinct(), "ticker", "left_semi")
+    bars, wanted = in_range(spark.read.parquet(path), start, end), tickers.select("ticker").distinct()
+    if GROUP not in bars.columns:
+        return bars.join(wanted, "ticker", "left_semi")
+    return bars.join(wanted.withColumn(GROUP, _group()), [GROUP, "ticker"], "left_semi").drop(GROUP)
 
 
 def daily_bars(

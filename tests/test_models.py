@@ -103,6 +103,24 @@ def test_list_prunes_directories(spark, tmp_path):
     assert "dynamicpruning" in plan.lower()
 
 
+def test_many_tickers_share_directories(spark, tmp_path, rows, monkeypatch):
+    days = [(f"T{t}" if t else None, datetime(2024, 1, 1) + timedelta(days=200 * i), float(t)) for t in range(40) for i in range(3)]
+    bars = spark.createDataFrame(days, "ticker string, trade_date timestamp, close double")
+    listed = [("T3", 1), ("T3", 2), ("T17", 1), ("none", 1), (None, 1), ("T5", 9)]
+    wanted = spark.createDataFrame(listed, "ticker string, n int").filter("n < 5")
+    seen = []
+    for most in (100, 4):
+        monkeypatch.setattr(price_files, "DIRECTORIES", most)
+        path = tmp_path / f"prices{most}"
+        price_files.write_price_table(bars, str(path))
+        assert len([p for p in path.iterdir() if p.is_dir()]) <= 40 and (most > 4 or len(list(path.glob("*/*.parquet"))) <= 8)
+        found, whole = price_files.prices_of(spark, str(path), wanted, "2024-02-01"), price_files.read_price_table(spark, str(path))
+        seen.append((found.columns, rows(found), whole.columns, rows(whole), whole.schema["ticker"].dataType))
+        assert "dynamicpruning" in found._jdf.queryExecution().executedPlan().toString().lower()
+    assert seen[0] == seen[1]
+    assert len(seen[0][1]) == 4 and len(seen[0][3]) == 120
+
+
 def test_joined_layers_equal_single_ones():
     """One layer after the other, step by step, in plain form."""
     rng = np.random.default_rng(7)
