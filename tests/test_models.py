@@ -121,6 +121,16 @@ def test_many_tickers_share_directories(spark, tmp_path, rows, monkeypatch):
     assert len(seen[0][1]) == 4 and len(seen[0][3]) == 120
 
 
+def test_samples_lie_in_files_of_few_rows(spark, monkeypatch):
+    monkeypatch.setattr(direction, "FILE_ROWS", 100)
+    days = [(f"T{t}", datetime(2024, 1, 1) + timedelta(days=i), float(i * 7 % 11 + t)) for t in range(9) for i in range(90)]
+    prices = spark.createDataFrame(days, "ticker string, trade_date timestamp, close double")
+    sentiment = spark.createDataFrame([], "company string, normalized_sentiment double")
+    samples = direction.written_samples(direction.model_rows(prices, sentiment))
+    files = samples.groupBy(F.input_file_name()).count().collect()
+    assert sum(r["count"] for r in files) > 600 and max(r["count"] for r in files) <= 100
+
+
 def test_joined_layers_equal_single_ones():
     """One layer after the other, step by step, in plain form."""
     rng = np.random.default_rng(7)
