@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bellwether.llm.buckets import bucket_components
@@ -17,6 +18,7 @@ from bellwether.llm.words import hashed, mixed, seed, shingle_hashes, slices, sp
 
 BINS, ROWS = 96, 4  # 24 bands of 4 coordinates
 RARE = 64  # holders of a rare item, at most
+MARKS = 8  # longs in which a set marks its items, a bit each
 _EMPTY = np.uint64(2**64 - 1)
 _BIN = seed(1 << 20)
 
@@ -95,14 +97,31 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
     )
 
 
+def marks(items: np.ndarray) -> np.ndarray:
+    """MARKS longs with the bit of every item set. Bits that only one of two sets has stand for different items."""
+    bits = np.zeros(64 * MARKS, np.uint8)
+    bits[(items % np.uint64(64 * MARKS)).astype(np.intp)] = 1
+    return np.packbits(bits).view(np.int64)
+
+
 def shingle_sets(docs: DataFrame, k: int) -> DataFrame:
-    """(id, items): the hashed shingle set of every document."""
+    """(id, items, marks): the hashed shingle set of every document and its bits."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, sets in _sets(batches, k):
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed(sets)], ["id", "items"])
+            table = np.array([marks(s) for s in sets], np.int64).reshape(-1, MARKS)
+            columns = [pa.array(np.ascontiguousarray(column)) for column in table.T]
+            bits = pa.StructArray.from_arrays(columns, [f"m{i}" for i in range(MARKS)])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), _signed(sets), bits], ["id", "items", "marks"])
+
+    kind = ", ".join(f"m{i}: long" for i in range(MARKS))
+    return docs.select("doc_id", "text").mapInArrow(run, f"id long, items array<long>, marks struct<{kind}>")
 
-    return docs.select("doc_id", "text").mapInArrow(run, "id long, items array<long>")
+
+def _missing(a: str, b: str) -> Column:
+    """Items of a that b lacks, at least: the bits of a that b has not; 0 where nothing is known."""
+    bits = [F.bit_count(F.col(f"{a}.m{i}").bitwiseAND(F.bitwise_not(F.col(f"{b}.m{i}")))) for i in range(MARKS)]
+    return F.coalesce(reduce(lambda x, y: x + y, bits), F.lit(0))
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -118,8 +137,10 @@ def _linked(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     )
 
 
-def _rare(ids: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(id, own, alone), and buckets (key, id, n, own) of the ids that share a rare item.
+def _rare(
+    ids: DataFrame, sets: DataFrame, percent: int, marked: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame]:
+    """(id, own, alone), and buckets (key, id, n, own) of the ids that share a rare item, with marks if marked has them.
 
     An item is rare if at most RARE of these ids hold it. All pairs that meet in none of the
     buckets share none of their rare items; an id that has too few others is alone among
@@ -136,6 +157,8 @@ def _rare(ids: DataFrame, sets: DataFrame, percent: int) -> tuple[DataFrame, Dat
     none = F.lit(0).cast("long").alias("own")
     shared = held.join(keys.select("item"), "item").select(F.col("item").alias("key"), "id", F.col("n").cast("long"), none)
     alone = 100 * (F.col("n") - F.col("own")) < percent * F.col("n")
+    if marked is not None:
+        shared = shared.join(marked, "id", "left")
     return counts.select("id", "own", alone.alias("alone")), written(shared, "shared")
 
 
@@ -151,6 +174,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     band key form a bucket, and bucket_components() decides all candidates, on
     the full sets, whatever the size of a bucket. Members of large buckets that share
     a rare item are compared directly; what is not rare bounds what others can share.
+    Pairs whose marks alone tell that they differ too much never fetch their sets.
 
     Null and empty texts and texts without a word have no shingles, link with
     nothing and stay. A null doc_id cannot be linked: component_id is null and
@@ -165,19 +189,27 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     keyed = classes.select("id", "n", F.explode("bands").alias("key")).distinct()
     shared = keyed.groupBy("key").agg(F.count("*").alias("members")).filter("members > 1").select("key")
     own = F.lit(0).cast("long").alias("own")
-    buckets = written(keyed.join(shared, "key").select("key", "id", "n", own), "buckets")
-    wanted = written(buckets.select(F.col("id").alias("doc_id")).distinct(), "wanted")
+    met = written(keyed.join(shared, "key").select("key", "id", "n", own), "met")
+    wanted = written(met.select(F.col("id").alias("doc_id")).distinct(), "wanted")
     near_docs = possible(docs.select("doc_id", "text"), ["doc_id"], wanted)
     sets = written(shingle_sets(near_docs.join(wanted, "doc_id", "left_semi"), k), "sets")
-
-    most = F.least(F.col("n") - F.col("own"), F.col("n_2") - F.col("own_2"))
+    # Of an id with several texts the marks tell nothing.
+    same = F.when(F.min("marks") == F.max("marks"), F.min("marks"))
+    marked = written(sets.groupBy("id").agg(same.alias("marks")), "marks")
+    buckets = written(met.join(marked, "id", "left").select("key", "id", "n", "own", "marks"), "buckets")
+    dropped(met)
+
+    n, n_2 = F.col("n"), F.col("n_2")
+    most = F.least(
+        n - F.col("own"), n_2 - F.col("own_2"), n - _missing("marks", "marks_2"), n_2 - _missing("marks_2", "marks")
+    )
     label = bucket_components(
         buckets,
-        100 * most >= percent * (F.col("n") + F.col("n_2") - most),
+        (100 + percent) * most >= percent * (n + n_2),
         lambda pairs: _linked(pairs, sets, percent),
-        lambda ids: _rare(ids, sets, percent),
+        lambda ids: _rare(ids, sets, percent, marked),
     )
-    for done in (buckets, wanted, sets):
+    for done in (buckets, wanted, sets, marked):
         dropped(done)
     heads = classes.select("n", "d1", "d2", F.col("id").alias("head"))
     found = table.join(heads, ["n", "d1", "d2"], "left")

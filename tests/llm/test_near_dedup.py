@@ -140,6 +140,46 @@ def test_screen_leaves_small_buckets(spark, monkeypatch):
     assert {(r.id, r.component) for r in label.collect()} == want
 
 
+def test_marks_never_tell_too_much():
+    rng = np.random.default_rng(4)
+    for size in (1, 40, 300, 5000):
+        items = mixed(rng.integers(0, 2**62, 2 * size).astype(np.uint64))
+        a, b = items[: size + size // 2], items[size // 2 :]
+        one, other = near_dedup.marks(a), near_dedup.marks(b)
+        assert len(one) == near_dedup.MARKS
+        assert np.bitwise_count(one & ~other).sum() <= len(np.setdiff1d(a, b))
+
+
+def test_far_members_of_a_family_are_not_fetched(spark, monkeypatch):
+    """Variants of one text that share buckets but are not near: few pairs may meet with their sets."""
+    rng = random.Random(6)
+    base = " ".join(rng.choices([f"w{i}" for i in range(400)], k=120))
+    rows = [(i, edited(rng, base, 2 if i % 6 == 0 else rng.randrange(7, 10))) for i in range(150)]
+    fetched, linked = [], near_dedup._linked
+
+    def counted(pairs, *others):
+        fetched.append(pairs.count())
+        return linked(pairs, *others)
+
+    monkeypatch.setattr(near_dedup, "_linked", counted)
+    docs = spark.createDataFrame([(i, t, "c", "k") for i, t in rows], SCHEMA)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(docs, 3, 85).collect()}
+    want = brute(rows, 3, 85)
+    assert got == want
+    assert sum(fetched) < 600, fetched
+
+
+def test_one_id_with_several_texts(spark):
+    """Ids with several texts have no marks of their own, and keep all their links."""
+    rng = random.Random(7)
+    texts = [" ".join(f"v{rng.randrange(10**6)}" for _ in range(80)) for _ in range(2)]
+    near = [edited(rng, t, 1) for t in texts]
+    rows = [(1, near[0]), (1, near[1]), (5, texts[0]), (6, texts[1])]
+    docs = spark.createDataFrame([(i, t, "c", "k") for i, t in rows], SCHEMA)
+    got = sorted((r.doc_id, r.component_id) for r in near_duplicates(docs, 3, 85).collect())
+    assert got == [(1, 1), (1, 1), (5, 1), (6, 1)]
+
+
 def test_nulls_repeats_and_empty(spark):
     text = "a b c d e f g h"
     rows = [(None, text), (5, text), (5, text), (4, text), (9, None), (8, "")]
