@@ -6,7 +6,7 @@ import re
 import pytest
 import xxhash
 
-from bellwether.llm import buckets
+from bellwether.llm import buckets, line_dedup
 from bellwether.llm.line_dedup import AGREE, BLOCKS, DISTANCE, PERCENT, line_report, with_lines_removed
 
 SCHEMA = "doc_id long, text string, source string, n_chars int, key string, removed string"
@@ -150,3 +150,52 @@ def test_blocks_hold_all_bits():
 def test_empty(spark):
     docs = spark.createDataFrame([], SCHEMA)
     assert line_report(docs).collect() == [] and with_lines_removed(docs).collect() == []
+
+
+def test_lines_without_partner_get_no_block_keys(spark, monkeypatch):
+    rows = []
+    real = line_dedup.written
+
+    def counted(df, name, **options):
+        table = real(df, name, **options)
+        rows.append((name, table.count()))
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    keyed = []
+    block_keys = line_dedup._block_keys
+    monkeypatch.setattr(line_dedup, "_block_keys", lambda sim: keyed.append(dict(rows)) or block_keys(sim))
+    texts = [" ".join(f"w{i * 1000 + k}" for k in range(30)) for i in range(200)]
+    texts += [texts[7] + "!", texts[9][:-1]]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    assert sum(r.n_removed for r in line_report(docs).collect()) == 2
+    assert keyed[0]["distinct"] == 202 and keyed[0].get("wanted") == 4
+
+
+def test_met_finds_every_near_simhash(spark):
+    rng = random.Random(3)
+    sims = []
+    for n in range(600):
+        base = rng.getrandbits(64)
+        # DISTANCE bits anywhere, crowded into one end, and one bit too many.
+        for bits in (rng.sample(range(64), DISTANCE), rng.sample(range(24), DISTANCE), rng.sample(range(64), DISTANCE + 1)):
+            if n % 3 == len(bits) % 3 or n % 2:
+                sims += [base, base ^ sum(1 << b for b in bits)]
+                base = rng.getrandbits(64)
+    sims += [0, (1 << 64) - 1, 1 << 63, sims[0]]
+    want = {i for i, x in enumerate(sims) if any(i != j and (x ^ y).bit_count() <= DISTANCE for j, y in enumerate(sims))}
+    signed = [x - (1 << 64) if x >> 63 else x for x in sims]
+    got = line_dedup._met(spark.createDataFrame(list(enumerate(signed)), "id long, sim long")).collect()
+    assert {r.id for r in got} == want and len(got) == len(want) and len(want) < len(sims)
+
+
+def test_simhash_of_long_lines(spark):
+    rng = random.Random(4)
+    lines = [" ".join(f"{rng.getrandbits(30):x}" for _ in range(n)) for n in (1, 2, 3, 40, 4100, 20000)]
+    lines.append(" ".join(chr(0x4E00 + i) for i in range(16383)))
+    made = spark.createDataFrame(
+        [(i, 0, 0, i, 0, len(x), x) for i, x in enumerate(lines)],
+        "doc_id long, tid long, pos int, k1 long, k2 long, chars int, line string",
+    )
+    sims = {r.doc_id: r.sim % (1 << 64) for r in line_dedup._simhash(made).collect()}
+    assert sims == {i: simhash(x) for i, x in enumerate(lines)}
