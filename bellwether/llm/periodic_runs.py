@@ -18,6 +18,7 @@ from bellwether.llm.words import mixed, seed, slices, split_words
 SHORTEST, TIMES = 24, 3  # words of a run at least, and periods of it at least
 WINDOW = 8  # words that a probe of the lag scan compares at once
 ROUNDS = 200  # splitting only narrows what the lag scan reads, so ending it early loses nothing
+SLICE = 1 << 20  # bytes of texts that a worker holds as word numbers at once
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 RUNS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64()), ("period", pa.int64())]))
 
@@ -146,6 +147,32 @@ def runs_of(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[int, list[t
             yield text, sorted(runs, key=lambda r: (r[0], r[2]))
 
 
+def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of periodic_runs() of batches with doc_id and text, SLICE bytes of texts at a time."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            words, starts, names = split_words(part.column("text"))
+            kept = np.ones(len(words), bool)
+            rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
+            for text, runs in runs_of(words, starts):
+                for start, length, period in runs:
+                    first = int(starts[text]) + start
+                    kept[first + period : first + length] = False
+                rows[text] = [{"start": s, "length": n, "period": q} for s, n, q in runs]
+            ends = np.concatenate(([0], np.cumsum(kept)))[starts]
+            left = names.take(pa.array(words[kept])).cast(pa.string())
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), left), " ")
+            yield pa.RecordBatch.from_arrays(
+                [
+                    part.column("doc_id"),
+                    pa.array(np.diff(starts)),
+                    pa.array(rows, RUNS),
+                    texts,
+                ],
+                ["doc_id", "n_words", "runs", "collapsed"],
+            )
+
+
 def periodic_runs(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, runs, collapsed) of every row of docs(doc_id, text).
 
@@ -162,48 +189,18 @@ def periodic_runs(docs: DataFrame) -> DataFrame:
     """
     bounded_batches(docs.sparkSession)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch, "text"):
-                words, starts, names = split_words(part.column("text"))
-                kept = np.ones(len(words), bool)
-                rows: list[list[dict]] = [[] for _ in range(part.num_rows)]
-                for text, runs in runs_of(words, starts):
-                    for start, length, period in runs:
-                        first = int(starts[text]) + start
-                        kept[first + period : first + length] = False
-                    rows[text] = [{"start": s, "length": n, "period": q} for s, n, q in runs]
-                ends = np.concatenate(([0], np.cumsum(kept)))[starts]
-                left = names.take(pa.array(words[kept])).cast(pa.string())
-                texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), left), " ")
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        part.column("doc_id"),
-                        pa.array(np.diff(starts)),
-                        pa.array(rows, RUNS),
-                        texts,
-                    ],
-                    ["doc_id", "n_words", "runs", "collapsed"],
-                )
-
     return docs.select("doc_id", "text").mapInArrow(
-        run,
+        scanned,
         "doc_id long, n_words long, runs array<struct<start: long, length: long, period: long>>, collapsed string",
     )
 
 
-def with_repeats(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text), the texts of every tenth id (by h = crc32 of the decimal id) made periodic.
-
-    With g = h // 10 and n words, words from place a = g % n on repeat the first
-    p = 1 + (n - a) // (3 + g % 8) of them. Texts without a word and rows without an id stay as they are.
-    """
-    bounded_batches(docs.sparkSession)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column("text").to_pylist()
-            for row, doc_id in enumerate(batch.column("doc_id").to_pylist()):
+def repeated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as with_repeats() has them, SLICE bytes of texts at a time."""
+    for batch in batches:
+        for part in slices(batch, "text", SLICE):
+            texts = part.column("text").to_pylist()
+            for row, doc_id in enumerate(part.column("doc_id").to_pylist()):
                 h = 1 if doc_id is None else zlib.crc32(str(doc_id).encode())
                 words = _WORD.findall(texts[row] or "") if h % 10 == 0 else []
                 if words:
@@ -211,9 +208,18 @@ def with_repeats(docs: DataFrame) -> DataFrame:
                     a = g % n
                     p = 1 + (n - a) // (3 + g % 8)
                     texts[row] = " ".join(words[:a] + [words[a + i % p] for i in range(n - a)])
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(texts, pa.string())], ["doc_id", "text"])
+
+
+def with_repeats(docs: DataFrame) -> DataFrame:
+    """docs(doc_id, text), the texts of every tenth id (by h = crc32 of the decimal id) made periodic.
+
+    With g = h // 10 and n words, words from place a = g % n on repeat the first
+    p = 1 + (n - a) // (3 + g % 8) of them. Texts without a word and rows without an id stay as they are.
+    """
+    bounded_batches(docs.sparkSession)
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, text string")
+    return docs.select("doc_id", "text").mapInArrow(repeated, "doc_id long, text string")
 
 
 def run_report(found: DataFrame) -> DataFrame:

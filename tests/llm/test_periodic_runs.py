@@ -7,8 +7,10 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
+from bellwether.llm import periodic_runs as module
 from bellwether.llm.periodic_runs import lag_scan, periodic_runs, run_report, runs_of, surviving, with_repeats
 from bellwether.llm.queries import QUERIES
 
@@ -126,3 +128,14 @@ def test_query(spark):
     short = {i for i, t in docs if len(t or "") < 12_000}
     assert sorted(r for r in got if r[0] in short) == sorted(expected(i, t) for i, t in docs if i in short)
     assert len(got) == len(docs)
+
+
+def test_workers_hold_a_slice_of_a_batch():
+    text = " ".join(f"w{i}" for i in range(50_000))
+    ids = list(range(40))
+    batch = pa.RecordBatch.from_pydict({"doc_id": ids, "text": [text] * 39 + [None]})
+    most = module.SLICE // len(text) + 1
+    for step in (module.repeated, module.scanned):
+        parts = list(step(iter([batch])))
+        assert max(p.num_rows for p in parts) <= most < len(ids)
+        assert [i for p in parts for i in p.column("doc_id").to_pylist()] == ids
