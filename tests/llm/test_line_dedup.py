@@ -199,3 +199,39 @@ def test_simhash_of_long_lines(spark):
     )
     sims = {r.doc_id: r.sim % (1 << 64) for r in line_dedup._simhash(made).collect()}
     assert sims == {i: simhash(x) for i, x in enumerate(lines)}
+
+
+def test_met_of_a_large_group_makes_few_pairs(spark, monkeypatch):
+    rng = random.Random(5)
+    tables = {}
+    real = line_dedup.written
+
+    def counted(df, name, **options):
+        tables[name] = real(df, name, **options)
+        monkeypatch.setitem(rows, name, tables[name].count())
+        return tables[name]
+
+    rows = {}
+    monkeypatch.setattr(line_dedup, "written", counted)
+    base = rng.getrandbits(63)
+    sims = list({base ^ sum(1 << b for b in rng.sample(range(63), 3)) for _ in range(400)})
+    far = [rng.getrandbits(63) for _ in range(50)]
+    alone = [base ^ sum(1 << b for b in (2, 24, 25, 26, 45, 46, 47))]  # differs from the base in every span
+    lines = list(enumerate(sims + far + alone))
+    want = {i for i, x in lines if any(i != j and (x ^ y).bit_count() <= DISTANCE for j, y in lines)}
+    got = {r.id for r in line_dedup._met(spark.createDataFrame(lines, "id long, sim long")).collect()}
+    assert got == want and len(want) >= len(sims)
+    # Of a group of n only lines without a near neighbour go on to the lookups' pairs, not n * n of them.
+    assert rows["lone"] < len(sims) // 10
+
+
+def test_block_keys_stay_small_in_a_plan(spark):
+    lines = spark.createDataFrame([(1, 5), (2, 5 ^ (1 << 63 - 1)), (3, -1)], "id long, sim long")
+    keyed = line_dedup._block_keys(lines)
+    keys = {i: {r.key for r in keyed.filter(f"id = {i}").collect()} for i in (1, 2, 3)}
+    n = len(BLOCKS)
+    choices = n * (n - 1) * (n - 2) // 6
+    assert AGREE == 3 and {len(k) for k in keys.values()} == {choices}
+    # The choices without the last block, and none of those of unlike lines.
+    assert len(keys[1] & keys[2]) == (n - 1) * (n - 2) * (n - 3) // 6 and not keys[1] & keys[3]
+    assert keyed._jdf.queryExecution().optimizedPlan().toString().count("shiftright") < 5 * n
