@@ -235,3 +235,20 @@ def test_block_keys_stay_small_in_a_plan(spark):
     # The choices without the last block, and none of those of unlike lines.
     assert len(keys[1] & keys[2]) == (n - 1) * (n - 2) * (n - 3) // 6 and not keys[1] & keys[3]
     assert keyed._jdf.queryExecution().optimizedPlan().toString().count("shiftright") < 5 * n
+
+
+def test_block_keys_are_not_broadcast(spark, monkeypatch):
+    """Spark takes 120 keys of a line for one row, so they would be broadcast by the size of the lines."""
+    plans = {}
+    real = line_dedup.written
+
+    def seen(df, name, **options):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return real(df, name, **options)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    texts = [f"{i} " + " ".join(f"w{i * 1000 + k}" for k in range(60)) for i in range(100)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(t + "!" for t in texts)])], "doc_id long, text string")
+    assert sum(r.n_removed for r in line_report(docs).collect()) > 50
+    by_key = [x for x in plans["buckets"].splitlines() if "Join [key" in x]
+    assert by_key and all("SortMergeJoin" in x or "ShuffledHashJoin" in x for x in by_key), by_key
