@@ -252,3 +252,30 @@ def test_block_keys_are_not_broadcast(spark, monkeypatch):
     assert sum(r.n_removed for r in line_report(docs).collect()) > 50
     by_key = [x for x in plans["buckets"].splitlines() if "Join [key" in x]
     assert by_key and all("SortMergeJoin" in x or "ShuffledHashJoin" in x for x in by_key), by_key
+
+
+def test_simhashes_with_the_bits_of_a_span_are_looked_up_as_one(spark, monkeypatch):
+    rng = random.Random(6)
+    rows, cells = {}, []
+    real, real_cells = line_dedup.written, line_dedup._cells
+
+    def counted(df, name, **options):
+        table = real(df, name, **options)
+        rows[name] = table.count()
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", counted)
+    monkeypatch.setattr(line_dedup, "_cells", lambda known: cells.append(real_cells(known)) or cells[0])
+    low = 12345
+    sims = [low | rng.getrandbits(41) << 22 for _ in range(500)]
+    near = [sims[5] ^ 1 << 30, sims[6] ^ 0b11 << 21, sims[7]]
+    lines = list(enumerate(sims + near))
+    want = {i for i, x in lines if any(i != j and (x ^ y).bit_count() <= DISTANCE for j, y in lines)}
+    # Counted before _met() drops the tables that the cells come from.
+    monkeypatch.setattr(line_dedup, "dropped", lambda df: None)
+    got = {r.id for r in line_dedup._met(spark.createDataFrame(lines, "id long, sim long")).collect()}
+    assert got == want and rows["sims"] == len({x for _, x in lines})
+    held = {r.cell: (r.sims, r.fresh) for r in cells[0].filter(f"cell < {1 << 22}").collect()}
+    assert len(held) == 2 and len(held[low][0]) == len(set(sims + near)) - 1
+    told, fresh = held[low]
+    assert 0 < fresh < len(told) and set(told[fresh:]) <= {dict(lines)[i] for i in want}
