@@ -279,3 +279,26 @@ def test_simhashes_with_the_bits_of_a_span_are_looked_up_as_one(spark, monkeypat
     assert len(held) == 2 and len(held[low][0]) == len(set(sims + near)) - 1
     told, fresh = held[low]
     assert 0 < fresh < len(told) and set(told[fresh:]) <= {dict(lines)[i] for i in want}
+
+
+def test_rows_that_share_a_key_by_chance_leave_the_buckets(spark, monkeypatch):
+    held = {}
+    real = line_dedup.written
+
+    def kept(df, name, **options):
+        table = real(df, name, **options)
+        if name == "buckets":
+            held[name] = table.collect()
+        return table
+
+    monkeypatch.setattr(line_dedup, "written", kept)
+    texts = [f"{i} " + " ".join(f"w{i * 1000 + k}" for k in range(60)) for i in range(300)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, *(t + "!" for t in texts)])], "doc_id long, text string")
+    assert sum(r.n_removed for r in line_report(docs).collect()) > 200
+    members = {}
+    for r in held["buckets"]:
+        members.setdefault(r.key, []).append(r)
+    assert len(members) > 200
+    for rows in members.values():
+        for x in rows:
+            assert any(x.id != y.id and ((x.sim ^ y.sim) % (1 << 64)).bit_count() <= DISTANCE for y in rows)
