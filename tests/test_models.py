@@ -150,3 +150,17 @@ def test_joined_layers_equal_single_ones():
     plain = 1 / (1 + np.exp(-(given[:, -1] @ parts[-2] + parts[-1])))
     assert recurrent.chances(flat, x) == pytest.approx(plain, abs=1e-12)
     assert len(recurrent.chances(flat, x[:0])) == 0
+
+
+def test_passes_over_written_samples_hash_no_days(spark):
+    days = [(f"T{t}", datetime(2024, 1, 1) + timedelta(days=i), float(i * 7 % 11 + t)) for t in range(4) for i in range(60)]
+    prices = spark.createDataFrame(days, "ticker string, trade_date timestamp, close double")
+    sentiment = spark.createDataFrame([], "company string, normalized_sentiment double")
+    samples = direction.written_samples(direction.model_rows(prices, sentiment)).filter("known")
+    read = direction.split_samples(samples)
+    hashed = direction.split_samples(samples.select("ticker", "trade_date", "is_last", "target"))
+    for part, again in zip(read, hashed, strict=True):
+        assert "md5" not in part._jdf.queryExecution().optimizedPlan().toString()
+        assert "md5" in again._jdf.queryExecution().optimizedPlan().toString()
+        keys = [sorted(tuple(r) for r in p.select("ticker", "trade_date").collect()) for p in (part, again)]
+        assert keys[0] == keys[1] and keys[0]
